@@ -57,5 +57,5 @@ def standard_label(c: Column | str) -> Column:
 
 def longer(df: DataFrame, ids: list[str], values: list[str], name: str, value: str) -> DataFrame:
     """Columns to rows, through one array so a single pass of ``df`` is enough."""
-    pairs = F.array(*[F.struct(F.lit(v).alias(name), F.col(v).alias(value)) for v in values])
-    return df.select(*ids, F.inline(pairs))
+    pairs = ", ".join(f"named_struct('{name}', '{v}', '{value}', `{v}`)" for v in values)
+    return df.selectExpr(*[f"`{c}`" for c in ids], f"inline(array({pairs}))")

@@ -67,19 +67,31 @@ def leakage_perturbation(
 def leakage_equality(
     features: DataFrame, names: list[str], metrics: list[str]
 ) -> DataFrame:
-    """For each (feature, metric): are they the same on every row?"""
-    pairs = [(f, m) for f in names for m in metrics]
-    one = features.agg(
+    """For each (feature, metric): are they the same on every row?
+
+    A row's answers for one feature are bits of a number, one per metric; the bits
+    left after ``bit_and`` are the metrics it always equals.
+    """
+
+    def same(f: str) -> Column:
+        bits = F.lit(0)
+        for i, m in enumerate(metrics):
+            hit = F.col(f).cast("double").eqNullSafe(F.col(m))
+            bits = bits.bitwiseOR(F.when(hit, F.lit(1 << i)).otherwise(F.lit(0)))
+        return bits
+
+    one = features.agg(*[F.bit_and(same(f)).alias(f) for f in names])
+    per_feature = longer(one, [], names, "feature", "bits")
+    answers = F.array(
         *[
-            F.bool_and(F.col(f).cast("double").eqNullSafe(F.col(m))).alias(f"p{i}")
-            for i, (f, m) in enumerate(pairs)
+            F.struct(
+                F.lit(m).alias("metric"),
+                (F.col("bits").bitwiseAND(F.lit(1 << i)) != 0).alias("same"),
+            )
+            for i, m in enumerate(metrics)
         ]
     )
-    entries = [
-        F.struct(F.lit(f).alias("feature"), F.lit(m).alias("metric"), F.col(f"p{i}").alias("same"))
-        for i, (f, m) in enumerate(pairs)
-    ]
-    return one.select(F.inline(F.array(*entries)))
+    return per_feature.select("feature", F.inline(answers))
 
 
 def leakage_shift(features: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:

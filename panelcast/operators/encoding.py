@@ -60,21 +60,23 @@ def apply_codes(df: DataFrame, codes: CodeMaps, spec: PanelSpec = PanelSpec()) -
     return apply_map(with_entity, codes.segment, spec.segment, spec.segment_code)
 
 
-def nominal_indexer(
+def nominal_indexers(
     codes: CodeMaps, spec: PanelSpec = PanelSpec(), invalid: str = "error"
-) -> StringIndexerModel:
-    """Pipeline stage that restores the categoricals with the full vocabulary.
+) -> list[StringIndexerModel]:
+    """Pipeline stages that restore the categoricals with the full vocabulary.
 
     Built from the fitted maps, not from the rows being scored, so a payload with few
     members keeps every category in the column's ML metadata. The labels are held by
     the model on the driver, as a tree's categorical features must be anyway.
     """
-    def labels(m: DataFrame) -> list[str]:
-        return [r["value"] for r in m.orderBy("code").select("value").collect()]
-
-    return StringIndexerModel.from_arrays_of_labels(
-        [labels(codes.entity), labels(codes.segment)],
-        inputCols=spec.series,
-        outputCols=spec.codes,
-        handleInvalid=invalid,
-    )
+
+    def stage(m: DataFrame, column: str, code: str) -> StringIndexerModel:
+        labels = [r["value"] for r in m.orderBy("code").select("value").collect()]
+        return StringIndexerModel.from_labels(
+            labels, inputCol=column, outputCol=code, handleInvalid=invalid
+        )
+
+    return [
+        stage(codes.entity, spec.entity, spec.entity_code),
+        stage(codes.segment, spec.segment, spec.segment_code),
+    ]

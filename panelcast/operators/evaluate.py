@@ -65,41 +65,34 @@ def score(
     ``zone_wmape`` weighs every row; ``ai_brand_wmape`` first sums segments by entity
     and month; ``mase`` averages scaled errors and skips series without a scale.
     """
-    err = F.abs(F.col("y") - F.col("pred"))
+    err = "abs(y - pred)"
+    per_cell = {
+        "n": "count(1)",
+        "sy": "sum(y)",
+        "sp": "sum(pred)",
+        "err": f"sum({err})",
+        "scaled": f"sum(try_divide({err}, scale))",
+        "n_scaled": f"count(try_divide({err}, scale))",
+        "rel": f"sum(try_divide({err}, abs(y)))",
+        "n_rel": f"count(try_divide({err}, abs(y)))",
+        "sse": f"sum({err} * {err})",
+        "yy": "sum(y * y)",
+    }
     cells = rows.groupBy(*by, spec.entity, spec.date).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("y").alias("y"),
-        F.sum("pred").alias("pred"),
-        F.sum(err).alias("err"),
-        F.sum(ratio(err, F.col("scale"))).alias("scaled"),
-        F.count(ratio(err, F.col("scale"))).alias("n_scaled"),
-        F.sum(ratio(err, F.abs("y"))).alias("rel"),
-        F.count(ratio(err, F.abs("y"))).alias("n_rel"),
-        F.sum(err * err).alias("sse"),
-        F.sum(F.col("y") * F.col("y")).alias("yy"),
+        *[F.expr(e).alias(c) for c, e in per_cell.items()]
     )
-    total_err = F.abs(F.col("y") - F.col("pred"))
     sums = cells.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        F.sum("y").alias("y"),
-        F.sum("err").alias("err"),
-        F.sum(total_err).alias("total_err"),
-        F.sum("scaled").alias("scaled"),
-        F.sum("n_scaled").alias("n_scaled"),
-        F.sum("rel").alias("rel"),
-        F.sum("n_rel").alias("n_rel"),
-        F.sum("sse").alias("sse"),
-        F.sum("yy").alias("yy"),
+        F.expr("sum(abs(sy - sp)) AS total_err"),
+        *[F.expr(f"sum({c}) AS {c}") for c in per_cell if c != "sp"],
     )
-    sst = F.col("yy") - F.col("y") * F.col("y") / F.col("n")
-    return sums.select(
-        *by,
-        F.col("n").alias("n_rows"),
-        (ratio(F.col("err"), F.col("y")) * 100.0).alias("zone_wmape"),
-        (ratio(F.col("total_err"), F.col("y")) * 100.0).alias("ai_brand_wmape"),
-        ratio(F.col("scaled"), F.col("n_scaled")).alias("mase"),
-        (ratio(F.col("rel"), F.col("n_rel")) * 100.0).alias("mape"),
-        (F.lit(1.0) - ratio(F.col("sse"), sst)).alias("r2"),
+    return sums.selectExpr(
+        *[f"`{c}`" for c in by],
+        "n AS n_rows",
+        "try_divide(err, sy) * 100D AS zone_wmape",
+        "try_divide(total_err, sy) * 100D AS ai_brand_wmape",
+        "try_divide(scaled, n_scaled) AS mase",
+        "try_divide(rel, n_rel) * 100D AS mape",
+        "1D - try_divide(sse, yy - sy * sy / n) AS r2",
     )
 
 

@@ -19,6 +19,11 @@ def series_window(spec: PanelSpec) -> WindowSpec:
     return Window.partitionBy(*spec.series).orderBy(spec.date)
 
 
+def over_series(spec: PanelSpec, frame: str = "") -> str:
+    """The same window as SQL text; long column lists are cheaper to build that way."""
+    return f"OVER (PARTITION BY `{spec.entity}`, `{spec.segment}` ORDER BY `{spec.date}` {frame})"
+
+
 def segment_totals(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     """(segment, date, total, lzt): the whole cross-section's target and its log."""
     totals = panel.groupBy(spec.segment, spec.date).agg(F.sum(spec.target).alias("total"))
@@ -34,56 +39,56 @@ def with_levels(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     return levels.join(totals, [spec.segment, spec.date], "left")
 
 
-def history_columns(spec: PanelSpec, newest: int) -> dict[str, Column]:
-    """Window columns over a series.
+def history_columns(spec: PanelSpec, newest: int) -> list[str]:
+    """Window columns over a series, as SQL text.
 
     ``newest`` is how many rows back the most recent usable month lies: 1 describes
     an observed row (its own month is not usable), 0 describes the row that would
     come next, so the last row of a series yields next month's features directly.
     """
-    w = series_window(spec)
 
-    def back(c: str, k: int) -> Column:
+    def back(c: str, k: int) -> str:
         steps = k - 1 + newest
-        return F.lag(c, steps).over(w) if steps else F.col(c)
+        return f"lag(`{c}`, {steps}) {over_series(spec)}" if steps else f"`{c}`"
+
+    def over_last(n: int) -> str:
+        def end(rows: int) -> str:
+            return f"{rows} PRECEDING" if rows else "CURRENT ROW"
 
-    def last(n: int) -> WindowSpec:
-        return w.rowsBetween(-(n - 1) - newest, -newest)
+        return over_series(spec, f"ROWS BETWEEN {end(n - 1 + newest)} AND {end(newest)}")
 
-    cols = {f"ly_l{k}": back("ly", k) for k in range(1, spec.max_lag + 2)}
+    cols = [f"{back('ly', k)} AS ly_l{k}" for k in range(1, spec.max_lag + 2)]
     # frame aggregates skip missing months, so a short history still yields a value
-    cols["_mean3"] = F.avg("ly").over(last(3))
-    cols["_mean6"] = F.avg("ly").over(last(spec.max_lag))
-    cols["sd6"] = F.stddev_samp("ly").over(last(spec.max_lag))
-    cols["zt_l1"] = back("lzt", 1)
-    cols["_zt_l2"] = back("lzt", 2)
+    cols += [
+        f"avg(ly) {over_last(3)} AS _mean3",
+        f"avg(ly) {over_last(spec.max_lag)} AS _mean6",
+        f"stddev_samp(ly) {over_last(spec.max_lag)} AS sd6",
+        f"{back('lzt', 1)} AS zt_l1",
+        f"{back('lzt', 2)} AS _zt_l2",
+    ]
     for c in spec.exog:
-        cols[f"{c}_l1"] = back(c, 1)
-        cols[f"_{c}_l2"] = back(c, 2)
+        cols += [f"{back(c, 1)} AS `{c}_l1`", f"{back(c, 2)} AS `_{c}_l2`"]
     return cols
 
 
-def derived_columns(spec: PanelSpec) -> dict[str, Column]:
-    """Arithmetic on the window columns."""
-    cols = {f"d_l{k}": F.col(f"ly_l{k}") - F.col(f"ly_l{k + 1}") for k in (1, 2, 3)}
-    cols["rm3"] = F.col("_mean3") - F.col("ly_l1")
-    cols["rm6"] = F.col("_mean6") - F.col("ly_l1")
-    cols["zt_d1"] = F.col("zt_l1") - F.col("_zt_l2")
-    cols["share_l1"] = F.col("ly_l1") - F.col("zt_l1")
-    for c in spec.exog:
-        cols[f"{c}_d1"] = F.col(f"{c}_l1") - F.col(f"_{c}_l2")
-    return cols
+def derived_columns(spec: PanelSpec) -> list[str]:
+    """Arithmetic on the window columns, as SQL text."""
+    return [
+        *[f"ly_l{k} - ly_l{k + 1} AS d_l{k}" for k in (1, 2, 3)],
+        "_mean3 - ly_l1 AS rm3",
+        "_mean6 - ly_l1 AS rm6",
+        "zt_l1 - _zt_l2 AS zt_d1",
+        "ly_l1 - zt_l1 AS share_l1",
+        *[f"`{c}_l1` - `_{c}_l2` AS `{c}_d1`" for c in spec.exog],
+    ]
 
 
-def _finish(df: DataFrame, date: Column, spec: PanelSpec, codes: CodeMaps | None) -> DataFrame:
-    helpers = ["_mean3", "_mean6", "_zt_l2", *[f"_{c}_l2" for c in spec.exog]]
-    out = df.withColumns(
-        {
-            **derived_columns(spec),
-            **calendar_columns(date, spec),
-            "series_id": series_id(spec),
-        }
-    ).drop(*helpers)
+def _finish(df: DataFrame, date: str, spec: PanelSpec, codes: CodeMaps | None) -> DataFrame:
+    helpers = {"_mean3", "_mean6", "_zt_l2", *[f"_{c}_l2" for c in spec.exog]}
+    kept = [f"`{c}`" for c in df.columns if c not in helpers]
+    out = df.selectExpr(*kept, *derived_columns(spec)).withColumns(
+        {**calendar_columns(F.col(date), spec), "series_id": series_id(spec)}
+    )
     return apply_codes(out, codes, spec) if codes else out
 
 
@@ -96,8 +101,8 @@ def transform(
     series), and rows without enough history carry NULLs. The code columns are added
     when ``codes`` are given.
     """
-    seen = with_levels(panel, spec).withColumns(history_columns(spec, newest=1))
-    return _finish(seen, F.col(spec.date), spec, codes)
+    seen = with_levels(panel, spec).selectExpr("*", *history_columns(spec, newest=1))
+    return _finish(seen, spec.date, spec, codes)
 
 
 def as_of_month(panel: DataFrame, spec: PanelSpec) -> Column:
@@ -145,14 +150,14 @@ def scoring_frame(
     ``'keep'`` leaves it NULL.
     """
     month = next_month(as_of_month(panel, spec))
-    is_last = F.lead(F.lit(1)).over(series_window(spec)).isNull()
+    is_last = f"lead(1) {over_series(spec)} IS NULL AS _is_last"
     ahead = (
         with_levels(panel, spec)
-        .withColumns({**history_columns(spec, newest=0), "_is_last": is_last})
+        .selectExpr("*", *history_columns(spec, newest=0), is_last)
         .where("_is_last")
         .withColumn("target_month", month)
     )
-    out = _finish(ahead, F.col("target_month"), spec, codes)
+    out = _finish(ahead, "target_month", spec, codes)
     if on_incomplete == "error":
         out = require_features(out, spec.feature_order if codes else spec.numeric_features)
     elif on_incomplete != "keep":
@@ -166,9 +171,7 @@ def require_features(df: DataFrame, names: list[str]) -> DataFrame:
 
     The check rides on ``ly_l1``, which every forecast needs for its level.
     """
-    lacking = F.lit(False)
-    for name in names:
-        lacking = lacking | F.col(name).isNull()
+    lacking = F.expr(" OR ".join(f"`{name}` IS NULL" for name in names))
     message = F.concat(F.lit("not enough history to build all features: "), F.col("series_id"))
     return df.withColumn(
         "ly_l1", F.when(lacking, F.raise_error(message).cast("double")).otherwise(F.col("ly_l1"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.lineage import materialise
 from panelcast.operators.baselines import as_forecast
-from panelcast.operators.encoding import CodeMaps, nominal_indexer
+from panelcast.operators.encoding import CodeMaps, nominal_indexers
 from panelcast.operators.features import reconstruct, scoring_frame
 from panelcast.spec import PanelSpec
 
@@ -36,7 +36,7 @@ def _bins(codes: CodeMaps) -> int:
 
 def _trees(codes: CodeMaps, estimator: Estimator, spec: PanelSpec) -> Pipeline:
     assembler = VectorAssembler(inputCols=spec.feature_order, outputCol="features")
-    return Pipeline(stages=[nominal_indexer(codes, spec), assembler, estimator])
+    return Pipeline(stages=[*nominal_indexers(codes, spec), assembler, estimator])
 
 
 def boosted_trees(codes: CodeMaps, spec: PanelSpec = PanelSpec(), **params) -> Pipeline:
@@ -60,7 +60,7 @@ def linear(
     one_hot = [f"{c}_onehot" for c in spec.codes]
     return Pipeline(
         stages=[
-            nominal_indexer(codes, spec),
+            *nominal_indexers(codes, spec),
             VectorAssembler(inputCols=spec.numeric_features, outputCol="numeric"),
             StandardScaler(inputCol="numeric", outputCol="scaled", withMean=True),
             OneHotEncoder(inputCols=spec.codes, outputCols=one_hot),

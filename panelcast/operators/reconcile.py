@@ -25,8 +25,18 @@ def reconcile_total(forecast: DataFrame, spec: PanelSpec = PanelSpec()) -> DataF
 
 
 def with_total(forecast: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
-    rows = forecast.select(*spec.series, *FORECAST_VALUES)
-    return rows.unionByName(reconcile_total(rows, spec))
+    """Segment rows and the total rows of ``reconcile_total``, in one pass.
+
+    Each row counts for its own segment and for the total, so the forecast behind it
+    is not computed a second time for the totals.
+    """
+    label = F.explode(F.array(F.col(spec.segment), F.lit(spec.total_label)))
+    both = forecast.withColumn(spec.segment, label)
+    summed = both.groupBy(*spec.series, "target_month").agg(
+        F.sum("last_actual").alias("last_actual"), F.sum("prediction").alias("prediction")
+    )
+    change = pct_change(F.col("prediction"), F.col("last_actual"))
+    return summed.withColumn("pct_change", change).select(*spec.series, *FORECAST_VALUES)
 
 
 def tag(
@@ -70,6 +80,7 @@ def forecast_summary(forecast: DataFrame, spec: PanelSpec = PanelSpec()) -> Data
     )
     return head.select(
         "total_prediction",
+        "total_last_actual",
         pct_change(F.col("total_prediction"), F.col("total_last_actual")).alias("total_pct_change"),
         "n_entities",
         F.col("_top.name").alias("largest_entity"),

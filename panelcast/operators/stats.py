@@ -229,16 +229,15 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_a, column_b, corr) for each pair, from one aggregate."""
-    pairs = list(combinations(columns, 2))
-    one = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    entries = [
-        F.struct(
-            F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"c{i}").alias("corr")
-        )
-        for i, (a, b) in enumerate(pairs)
+    """(column_a, column_b, corr) for each pair; NULL where a column is constant."""
+    matrix = correlation_matrix(df, columns)
+    rows = [
+        (columns[i], columns[j], None if np.isnan(matrix[i, j]) else float(matrix[i, j]))
+        for i, j in combinations(range(len(columns)), 2)
     ]
-    return one.select(F.inline(F.array(*entries)))
+    return df.sparkSession.createDataFrame(
+        rows, "column_a string, column_b string, corr double"
+    )
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:

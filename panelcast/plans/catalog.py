@@ -23,7 +23,7 @@ from panelcast.operators import features as X
 from panelcast.plans import training
 from panelcast.sources import crosstab
 from panelcast.sources import panel as P
-from panelcast.sources.star import FIRST_MONTH, FIRST_OPEN_MONTH, monthly_panel
+from panelcast.sources.star import FIRST_MONTH, FIRST_OPEN_MONTH, monthly_panel, read_table
 from panelcast.spec import SPLIT, TEST, TRAIN, PanelSpec
 
 SPEC = PanelSpec()
@@ -100,7 +100,7 @@ def panel_without_total(spark, folder):
 
 @query
 def labels_standardised(spark, folder):
-    part = spark.read.parquet(f"{folder}/part.parquet")
+    part = read_table(spark, folder, "part")
     messy = F.concat(F.lit("  "), F.col("p_name"), F.lit("   "), F.col("p_type"), F.lit(" "))
     return part.select(
         "p_partkey",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.columns import month_start
@@ -15,9 +15,23 @@ from panelcast.spec import PanelSpec
 FIRST_MONTH = date(1995, 1, 1)
 FIRST_OPEN_MONTH = date(2001, 11, 1)
 
+# Declared, so that planning reads no file footers; only the columns used.
+TABLES = {
+    "lineitem": "l_partkey bigint, l_suppkey bigint, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
+
+
+def _hundredths(c: str) -> Column:
+    return F.rint(F.col(c) * 100.0).cast("bigint")
 
 
 def panel_cells(
@@ -30,29 +44,23 @@ def panel_cells(
     second shuffle as at most one row per entity and month. Store totals then come
     from a window whose group is the entities one store sold in one month.
     """
-    value = F.col("l_extendedprice").cast("decimal(12,2)") * (
-        F.lit(1) - F.col("l_discount").cast("decimal(4,2)")
-    )
+    # Money and quantities have two decimals: whole hundredths add exactly, and a sum
+    # that left 64 bits would fail the job instead of losing digits.
+    net = _hundredths("l_extendedprice") * (F.lit(100) - _hundredths("l_discount"))
     lines = (
-        _table(spark, folder, "lineitem")
+        read_table(spark, folder, "lineitem")
         .where(F.col("l_shipdate") < F.lit(before))
         .select(
             "l_partkey",
             F.col("l_suppkey").alias("store"),
             month_start(F.col("l_shipdate").cast("date")).alias(spec.date),
-            value.alias("v"),
-            F.col("l_quantity").cast("decimal(12,2)").alias("q"),
+            net.alias("v"),
+            _hundredths("l_quantity").alias("q"),
         )
     )
-    parts = _table(spark, folder, "part").select(
+    parts = read_table(spark, folder, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias(spec.entity)
     )
-    stores = (
-        _table(spark, folder, "supplier")
-        .join(_table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(_table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(F.col("s_suppkey").alias("store"), F.col("r_name").alias(spec.segment))
-    )
 
     sold = (
         lines.join(parts, "l_partkey")
@@ -69,8 +77,16 @@ def panel_cells(
             ),
         }
     )
+    # one dimension at a time: each is a file of known size, broadcast only if small
+    stores = read_table(spark, folder, "supplier").withColumnRenamed("s_suppkey", "store")
+    nations = read_table(spark, folder, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
+    regions = read_table(spark, folder, "region").select(
+        F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias(spec.segment)
+    )
     return (
         with_store.join(stores, "store")
+        .join(nations, "s_nationkey")
+        .join(regions, "n_regionkey")
         .groupBy(*spec.key)
         .agg(
             F.sum("v").alias("v"),
@@ -89,26 +105,33 @@ def monthly_panel(
     spec: PanelSpec = PanelSpec(),
     before: date = FIRST_OPEN_MONTH,
 ) -> DataFrame:
-    """The panel, from cells that are written once so every reader scans the small table."""
+    """The panel as a written table, so every branch of a later plan is a plain scan.
+
+    The cells are written first: the segment sums and the cells themselves both read
+    them, and the lines are scanned once.
+    """
     cells = materialise(panel_cells(spark, folder, spec, before))
     segments = cells.groupBy(spec.segment, spec.date).agg(
         F.sum("v").alias("zv"), F.sum("new_stores").alias("zs")
     )
 
-    def dbl(c: str):
-        return F.col(c).cast("double")
+    def dbl(c: str, units: float = 1.0) -> Column:
+        return F.col(c).cast("double") / units if units != 1.0 else F.col(c).cast("double")
 
+    # stored units: net value in 1/10000, quantity in 1/100
+    v, h, zv = dbl("v", 1e4), dbl("h", 1e4), dbl("zv", 1e4)
     metrics = {
-        "value_lakhs": dbl("v") / 1e5,
+        "value_lakhs": v / 1e5,
         "numeric_dist_pct": dbl("s") * 100.0 / dbl("zs"),
-        "wtd_dist_val": dbl("h") * 100.0 / dbl("zv"),
+        "wtd_dist_val": h * 100.0 / zv,
         "num_stores": dbl("s"),
-        "ms_value": dbl("v") * 100.0 / dbl("zv"),
-        "volume_tonnes": dbl("q"),
-        "sah": dbl("v") * 100.0 / dbl("h"),
+        "ms_value": v * 100.0 / zv,
+        "volume_tonnes": dbl("q", 1e2),
+        "sah": v * 100.0 / h,
         "str_days": dbl("s") * 30.0 / dbl("n"),
-        "pdo_rs": dbl("v") / dbl("s"),
+        "pdo_rs": v / dbl("s"),
     }
-    return cells.join(segments, [spec.segment, spec.date]).select(
+    panel = cells.join(segments, [spec.segment, spec.date]).select(
         *spec.key, *[expr.alias(name) for name, expr in metrics.items()]
     )
+    return materialise(panel)
