@@ -522,7 +522,7 @@ FROM part""",
     "fallback_forecast": on_panel(
         "SELECT brand, zone, CAST(date + INTERVAL 1 MONTH AS DATE) AS target_month, "
         "value_lakhs AS last_actual, value_lakhs AS prediction, CAST(0 AS DOUBLE) AS pct_change, "
-        "'fallback' AS source, 'none' AS model_version, CAST(1 AS INTEGER) AS contract_version "
+        "'fallback' AS source, 'none' AS model_version, CAST(0 AS INTEGER) AS contract_version "
         "FROM panel WHERE date = (SELECT max(date) FROM panel)"
     ),
     "forecast_envelope": stmt(

@@ -362,7 +362,8 @@ def forecast_summary(spark, folder):
 
 @query
 def fallback_forecast(spark, folder):
-    return reconcile.tag(B.fallback_forecast(_panel(spark, folder), SPEC), "fallback", "none")
+    rows = B.fallback_forecast(_panel(spark, folder), SPEC)
+    return reconcile.tag(rows, "fallback", "none", contract_version=0)
 
 
 @query
