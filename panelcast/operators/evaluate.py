@@ -7,6 +7,8 @@ grains is a function of those sums.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,6 +190,23 @@ def monthly_bias(rows: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     )
 
 
+def fold_bounds(train_end: str, n_folds: int = 5, months: int = 6) -> list[tuple[int, date, date]]:
+    """(fold, cutoff, end): train up to the cutoff, validate from there up to the end.
+
+    The last fold ends at ``train_end``, so the holdout is never touched.
+    """
+    last = date.fromisoformat(train_end)
+
+    def earlier(n: int) -> date:
+        m = last.year * 12 + last.month - 1 - n
+        return date(m // 12, m % 12 + 1, 1)
+
+    return [
+        (i, earlier(months * (n_folds - i + 1)), earlier(months * (n_folds - i)))
+        for i in range(1, n_folds + 1)
+    ]
+
+
 def expanding_folds(
     frame: DataFrame,
     train_end: str,
@@ -197,19 +216,12 @@ def expanding_folds(
 ) -> DataFrame:
     """Rows copied into each fold they take part in, with ``fold`` and ``role``.
 
-    Fold i trains on everything up to its cutoff and validates on the next
-    ``months`` months; the last fold ends at ``train_end``, so the holdout is never
-    touched. Cutoffs are calendar arithmetic on constants, so no join is needed.
+    Bounds are constants, so no join is needed.
     """
-    end = F.to_date(F.lit(train_end))
     folds = F.array(
         *[
-            F.struct(
-                F.lit(i).alias("fold"),
-                F.add_months(end, -months * (n_folds - i + 1)).alias("cutoff"),
-                F.add_months(end, -months * (n_folds - i)).alias("fold_end"),
-            )
-            for i in range(1, n_folds + 1)
+            F.struct(F.lit(i).alias("fold"), F.lit(c).alias("cutoff"), F.lit(e).alias("fold_end"))
+            for i, c, e in fold_bounds(train_end, n_folds, months)
         ]
     )
     role = F.when(F.col(spec.date) <= F.col("cutoff"), "train").when(
@@ -220,6 +232,21 @@ def expanding_folds(
     )
 
 
+def validation_rows(
+    frame: DataFrame,
+    train_end: str,
+    n_folds: int = 5,
+    months: int = 6,
+    spec: PanelSpec = PanelSpec(),
+) -> DataFrame:
+    """Only the validation rows, each with its ``fold``: their windows do not overlap."""
+    fold = F.lit(None).cast("int")
+    for i, cutoff, end in fold_bounds(train_end, n_folds, months):
+        inside = (F.col(spec.date) > F.lit(cutoff)) & (F.col(spec.date) <= F.lit(end))
+        fold = F.when(inside, F.lit(i)).otherwise(fold)
+    return frame.withColumn("fold", fold).where("fold IS NOT NULL")
+
+
 def fold_sizes(folds: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     return folds.groupBy("fold", "role").agg(
         F.count(F.lit(1)).alias("n_rows"),

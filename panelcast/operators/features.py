@@ -30,13 +30,16 @@ def segment_totals(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     return totals.withColumn("lzt", log_positive("total"))
 
 
-def with_levels(panel: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Add ``y``, ``ly`` and the cross-section's log total ``lzt``."""
-    totals = segment_totals(panel, spec).drop("total")
+def _levels(panel: DataFrame, totals: DataFrame, spec: PanelSpec) -> DataFrame:
     levels = panel.withColumns(
         {"y": F.col(spec.target).cast("double"), "ly": log_positive(spec.target)}
     )
-    return levels.join(totals, [spec.segment, spec.date], "left")
+    return levels.join(totals.drop("total"), [spec.segment, spec.date], "left")
+
+
+def with_levels(panel: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Add ``y``, ``ly`` and the cross-section's log total ``lzt``."""
+    return _levels(panel, segment_totals(panel, spec), spec)
 
 
 def history_columns(spec: PanelSpec, newest: int) -> list[str]:
@@ -144,17 +147,23 @@ def scoring_frame(
     """Next month's features, one row per series.
 
     Equal to transforming the extended panel and keeping the target month, but the
-    features are read off each series' last row, so nothing is appended and the
-    panel is shuffled once. A series that ended early is still scored from its own
-    last rows. ``on_incomplete='error'`` fails the job on a missing feature,
-    ``'keep'`` leaves it NULL.
+    features are read off each series' last row, so nothing is appended. Only the
+    last rows a feature can reach are kept; that limit is applied before the shuffle
+    as well. It counts rows, not months, so series with gaps keep the right ones.
+    A series that ended early is still scored from its own last rows.
+    ``on_incomplete='error'`` fails the job on a missing feature, ``'keep'`` leaves
+    it NULL.
     """
     month = next_month(as_of_month(panel, spec))
-    is_last = f"lead(1) {over_series(spec)} IS NULL AS _is_last"
+    newest_first = Window.partitionBy(*spec.series).orderBy(F.desc(spec.date))
+    recent = panel.withColumn("_age", F.row_number().over(newest_first)).where(
+        F.col("_age") <= spec.max_lag + 1
+    )
+    # the cross-section is summed over the whole panel, not over the kept rows
     ahead = (
-        with_levels(panel, spec)
-        .selectExpr("*", *history_columns(spec, newest=0), is_last)
-        .where("_is_last")
+        _levels(recent, segment_totals(panel, spec), spec)
+        .selectExpr("*", *history_columns(spec, newest=0))
+        .where("_age = 1")
         .withColumn("target_month", month)
     )
     out = _finish(ahead, "target_month", spec, codes)

@@ -78,9 +78,10 @@ def linear(
 
 def fit_order(train: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     """Rows in a fixed layout, written once: every boosting round rereads them, and
-    subsampling depends on which rows share a partition."""
+    subsampling depends on which rows share a partition. Hashing the whole key spreads
+    rows evenly and, unlike sampled ranges, places them the same way in every run."""
     parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid_out = train.repartitionByRange(parts, *spec.key).sortWithinPartitions(*spec.key)
+    laid_out = train.repartition(parts, *spec.key).sortWithinPartitions(*spec.key)
     return materialise(laid_out)
 
 

@@ -19,10 +19,11 @@ from panelcast.operators.evaluate import (
     candidate_rows,
     cv_scores,
     evaluate,
-    expanding_folds,
+    fold_bounds,
     quality_gate,
     score,
     select_candidate,
+    validation_rows,
     with_scale,
 )
 from panelcast.operators.features import (
@@ -93,15 +94,6 @@ def keep_run(run: Backtest, panel: DataFrame, train_end: str, folder: str, run_i
     write_reference(backtest_frame(panel, train_end, spec), f"{folder}/reference")
 
 
-def _fold_error(
-    frame: DataFrame, fold: int, pipeline: Pipeline, metric: str, spec: PanelSpec
-) -> float:
-    part = frame.where(F.col("fold") == fold)
-    model = pipeline.fit(part.where("role = 'train'"))
-    scored = predict_level(model, part.where("role = 'valid'"), "model")
-    return score(candidate_rows(scored, ["model"], spec), spec).head()[metric]
-
-
 def random_search(
     frame: DataFrame,
     train_end: str,
@@ -117,18 +109,23 @@ def random_search(
 ) -> DataFrame:
     """Random draws of hyper-parameters on expanding folds, the best one flagged.
 
-    Each fit is a distributed job; the driver only keeps one error per draw and fold.
+    Each fit is a distributed job on a date range of the one written frame; the driver
+    only keeps an error per draw and fold.
     """
     settings = list(itertools.product(*grid.values()))
     picked = random.Random(seed).sample(settings, min(draws, len(settings)))
     train = frame.where(F.col(SPLIT) == TRAIN)
-    folds = fit_order(expanding_folds(train, train_end, n_folds, months, spec), spec)
+    laid_out = fit_order(train, spec)
+    day = F.col(spec.date)
     rows = []
     for values in picked:
         params = dict(zip(grid, values))
         label = ", ".join(f"{k}={v}" for k, v in params.items())
-        for fold in range(1, n_folds + 1):
-            error = _fold_error(folds, fold, learner(codes, **params), metric, spec)
+        for fold, cutoff, end in fold_bounds(train_end, n_folds, months):
+            model = learner(codes, **params).fit(laid_out.where(day <= F.lit(cutoff)))
+            valid = laid_out.where((day > F.lit(cutoff)) & (day <= F.lit(end)))
+            scored = predict_level(model, valid, "model")
+            error = score(candidate_rows(scored, ["model"], spec), spec).head()[metric]
             rows.append((label, fold, error))
     errors = frame.sparkSession.createDataFrame(
         rows, "candidate string, fold int, error double"
@@ -178,6 +175,6 @@ def cross_validate(
     a fold can be scored without a refit.
     """
     train = frame.where(F.col(SPLIT) == TRAIN)
-    valid = expanding_folds(train, train_end, n_folds, months, spec).where("role = 'valid'")
+    valid = validation_rows(train, train_end, n_folds, months, spec)
     rows = candidate_rows(valid, candidates, spec, keep=("fold",))
     return select_candidate(cv_scores(rows, spec))
