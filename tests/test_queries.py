@@ -36,6 +36,10 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sql, name):
     got = QUERIES[name](spark, FOLDER)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # no pairs of rows, and no Python between the scans and the result
+    for word in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas", "InArrow"):
+        assert word not in plan
     cursor = sql.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(got.columns) == sorted(columns)
