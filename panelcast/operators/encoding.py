@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.lineage import materialise
-from panelcast.functions.ordering import position_within
+from panelcast.functions.ordering import running
 from panelcast.spec import PanelSpec
 
 
@@ -22,27 +22,36 @@ class CodeMaps:
 
 
 def fit_codes(panel: DataFrame, spec: PanelSpec = PanelSpec()) -> CodeMaps:
-    """Both vocabularies from one pass over the distinct members."""
+    """Both vocabularies from one pass over the distinct members.
+
+    Members are numbered in one global order, entities first; a segment's code then
+    leaves out the entities counted before it.
+    """
     members = (
         panel.select(*spec.series)
         .distinct()
         .select(
             F.inline(
                 F.array(
-                    *[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in spec.series]
+                    F.struct(F.lit(1).alias("is_entity"), F.col(spec.entity).alias("value")),
+                    F.struct(F.lit(0).alias("is_entity"), F.col(spec.segment).alias("value")),
                 )
             )
         )
         .where("value IS NOT NULL")
         .distinct()
     )
-    ranked = materialise(position_within(members, ["name"], [F.col("value")]))
+    order = [F.desc("is_entity"), F.col("value")]
+    ranked = running(members, order, sums={"entities": "is_entity"})
+    skipped = F.when(F.col("is_entity") == 0, F.col("entities")).otherwise(0)
+    coded = materialise(
+        ranked.select("is_entity", "value", (F.col("position") - 1 - skipped).cast("int").alias("code"))
+    )
 
-    def one(column: str) -> DataFrame:
-        code = (F.col("position") - 1).cast("int").alias("code")
-        return ranked.where(F.col("name") == column).select("value", code)
+    def one(flag: int) -> DataFrame:
+        return coded.where(F.col("is_entity") == flag).select("value", "code")
 
-    return CodeMaps(one(spec.entity), one(spec.segment))
+    return CodeMaps(one(1), one(0))
 
 
 def apply_map(df: DataFrame, codes: DataFrame, column: str, code: str) -> DataFrame:

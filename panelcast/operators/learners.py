@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -29,23 +31,20 @@ GBT_DEFAULTS = {
 }
 
 
-def _bins(codes: CodeMaps) -> int:
-    """Trees need a bin for every category."""
-    return max(32, codes.entity.count(), codes.segment.count())
-
-
 def _trees(codes: CodeMaps, estimator: Estimator, spec: PanelSpec) -> Pipeline:
+    indexers = nominal_indexers(codes, spec)
+    # trees need a bin for every category
+    bins = max(estimator.getMaxBins(), *[len(i.labels) for i in indexers])
     assembler = VectorAssembler(inputCols=spec.feature_order, outputCol="features")
-    return Pipeline(stages=[*nominal_indexers(codes, spec), assembler, estimator])
+    return Pipeline(stages=[*indexers, assembler, estimator.setMaxBins(bins)])
 
 
 def boosted_trees(codes: CodeMaps, spec: PanelSpec = PanelSpec(), **params) -> Pipeline:
-    settings = {**GBT_DEFAULTS, "maxBins": _bins(codes), **params}
-    return _trees(codes, GBTRegressor(labelCol=LABEL, **settings), spec)
+    return _trees(codes, GBTRegressor(labelCol=LABEL, **{**GBT_DEFAULTS, **params}), spec)
 
 
 def random_forest(codes: CodeMaps, spec: PanelSpec = PanelSpec(), **params) -> Pipeline:
-    settings = {"numTrees": 100, "maxDepth": 8, "seed": 42, "maxBins": _bins(codes), **params}
+    settings = {"numTrees": 100, "maxDepth": 8, "seed": 42, **params}
     return _trees(codes, RandomForestRegressor(labelCol=LABEL, **settings), spec)
 
 
@@ -76,11 +75,17 @@ def linear(
     )
 
 
-def fit_order(train: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
+def fit_order(
+    train: DataFrame, spec: PanelSpec = PanelSpec(), rows_per_part: int = 500_000
+) -> DataFrame:
     """Rows in a fixed layout, written once: every boosting round rereads them, and
-    subsampling depends on which rows share a partition. Hashing the whole key spreads
-    rows evenly and, unlike sampled ranges, places them the same way in every run."""
-    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    subsampling depends on which rows share a partition.
+
+    The number of partitions follows the number of rows, so it neither depends on the
+    session nor leaves a round of many tiny tasks. Hashing the whole key spreads rows
+    evenly and, unlike sampled ranges, places them the same way in every run.
+    """
+    parts = max(1, math.ceil(train.count() / rows_per_part))
     laid_out = train.repartition(parts, *spec.key).sortWithinPartitions(*spec.key)
     return materialise(laid_out)
 

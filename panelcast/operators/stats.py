@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.columns import ratio
-from panelcast.functions.lineage import materialise
 from panelcast.functions.ordering import running
 from panelcast.operators.features import series_window
 from panelcast.spec import PanelSpec
@@ -29,7 +28,6 @@ def concentration(panel: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
         sums={"cum_value": "value"},
         position="rank",
     )
-    ranked = materialise(ranked)
     totals = ranked.agg(
         F.struct(F.sum("value").alias("v"), F.sum(F.col("value") * F.col("value")).alias("vv"))
     )
@@ -129,33 +127,27 @@ def welch(df: DataFrame, is_first: Column, value: str) -> DataFrame:
 def kruskal(df: DataFrame, group: Column, value: str) -> DataFrame:
     """Kruskal-Wallis H with tie-averaged ranks and tie correction.
 
-    Equal values are counted first, so a value shared by very many rows is one row
-    when ranks are computed; ranks are running counts over range partitions.
+    Equal values of a group are counted first, so a value shared by very many rows is
+    a few rows when ranks are computed; ranks are running counts over range partitions.
     """
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(F.col(value).alias("value"), group.alias("g"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    ties = counts.groupBy("value").agg(
-        F.sum("c").alias("t"), F.collect_list(F.struct("g", "c")).alias("groups")
-    )
-    ranked = running(ties, [F.col("value")], sums={"upto": "t"})
-    mean_rank = F.col("upto") - (F.col("t") - 1) / 2.0
-    t = F.col("t").cast("double")
-    # a group's rank sum and its size, carrying the tie term once per value
-    spread = ranked.select(
-        mean_rank.alias("rank"), (t * t * t - t).alias("tie"), F.posexplode("groups")
-    ).select(
-        "rank",
-        F.when(F.col("pos") == 0, F.col("tie")).otherwise(0.0).alias("tie"),
-        F.col("col.g").alias("g"),
-        F.col("col.c").alias("c"),
-    )
-    per_group = spread.groupBy("g").agg(
-        F.sum("c").alias("n"),
-        F.sum(F.col("rank") * F.col("c")).alias("r"),
-        F.sum("tie").alias("tie"),
+    ranked = running(counts, [F.col("value"), F.col("g")], sums={"upto": "c"})
+    ties = ranked.groupBy("value").agg(
+        F.min(F.col("upto") - F.col("c")).alias("below"), F.sum("c").cast("double").alias("t")
+    )
+    per_group = (
+        ranked.join(ties, "value")
+        .groupBy("g")
+        .agg(
+            F.sum("c").alias("n"),
+            F.sum((F.col("below") + (F.col("t") + 1) / 2.0) * F.col("c")).alias("r"),
+            # summed over the rows of a value this is t^3 - t
+            F.sum(F.col("c") * (F.col("t") * F.col("t") - 1)).alias("tie"),
+        )
     )
     one = per_group.agg(
         F.count(F.lit(1)).alias("k"),

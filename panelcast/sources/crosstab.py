@@ -97,19 +97,28 @@ def block_violations(crosstab: DataFrame, metrics: list[str], row: str = "_row")
     return labels.unionByName(sizes)
 
 
+def require_constant_blocks(crosstab: DataFrame, metrics: list[str], row: str = "_row") -> None:
+    """Naming rows by position is only right when every block lists them alike."""
+    found = block_violations(crosstab, metrics, row).limit(5).collect()
+    if found:
+        places = ", ".join(f"{r['problem']} at {r['place']}" for r in found)
+        raise ValueError(f"metric blocks differ: {places}")
+
+
 def flatten_crosstab(
     crosstab: DataFrame, metrics: list[str], spec: PanelSpec = PanelSpec(), row: str = "_row"
 ) -> DataFrame:
     """One row per (entity, segment, month) with the metrics named by position.
 
-    Months come from the column labels; a month without any value is not a row.
+    Months come from the column labels; a month without any value is not a row, and an
+    error sentinel in a derived row is not a value.
     """
     labels = {c: d for c in crosstab.columns if (d := month_of_label(c))}
     name = F.element_at(F.array(*[F.lit(m) for m in metrics]), _position(row))
     named = crosstab.select("BRAND", "ZONES", name.alias("metric"), *labels)
     cells = F.array(
         *[
-            F.struct(F.lit(d).alias("date"), F.col(c).cast("double").alias("value"))
+            F.struct(F.lit(d).alias("date"), F.col(c).try_cast("double").alias("value"))
             for c, d in labels.items()
         ]
     )

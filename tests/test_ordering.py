@@ -21,6 +21,28 @@ def test_running_matches_a_sorted_list(spark):
     assert {r["id"]: (r["position"], r["upto"]) for r in got} == want
 
 
+def test_running_over_many_merged_ranges(spark):
+    settings = {
+        "spark.sql.shuffle.partitions": "40",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = spark.range(20000).select(F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("k"), "id")
+        got = running(df, [F.col("k"), F.col("id")], sums={"upto": "id"}).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    total = 0
+    for pos, r in enumerate(sorted(got, key=lambda r: (r["k"], r["id"])), start=1):
+        total += r["id"]
+        assert (r["position"], r["upto"]) == (pos, total)
+
+
 def test_running_of_nothing(spark):
     df = spark.createDataFrame([], "k int, n int")
     assert running(df, [F.col("k")], sums={"upto": "n"}).collect() == []

@@ -36,7 +36,7 @@ def write_crosstab(path, rows, swap=False):
             if swap and (b, z) == ("elm", "west"):
                 order[0], order[2] = order[2], order[0]
             for label, name in order:
-                cells = [at[d].get(name, -7.0) if d in at else "" for d in MONTHS]
+                cells = [at[d].get(name, "ERR") if d in at else "" for d in MONTHS]
                 out.writerow([b, z, label, *cells, 1.0, 2.0])
 
 
@@ -75,7 +75,7 @@ def test_crosstab_is_named_by_position(spark, tmp_path, rows):
     assert "MAT LY" in raw.columns
     kept = T.drop_leakage(raw)
     assert not {"YTD TY", "MAT LY"} & set(kept.columns)
-    assert T.block_violations(kept, NAMES).count() == 0
+    T.require_constant_blocks(kept, NAMES)
     flat = T.drop_leakage(T.flatten_crosstab(kept, NAMES), ["val_growth", "vol_growth"])
     got = {(r["brand"], r["zone"], r["date"]): r for r in flat.collect()}
     assert len(got) == len(gappy)
@@ -89,6 +89,8 @@ def test_crosstab_with_a_reordered_block_is_reported(spark, tmp_path, rows):
     write_crosstab(path, rows, swap=True)
     found = T.block_violations(T.read_crosstab(spark, path), NAMES).collect()
     assert {(r["problem"], r["place"]) for r in found} == {("label", "1"), ("label", "3")}
+    with pytest.raises(ValueError, match="metric blocks differ: label at"):
+        T.require_constant_blocks(T.read_crosstab(spark, path), NAMES)
     short = T.block_violations(T.read_crosstab(spark, path), NAMES[:-1]).where("problem = 'size'")
     assert short.count() == len(ENTITIES) * len(SEGMENTS)
 
