@@ -487,7 +487,7 @@ FROM part""",
                 for c in ("brand", "zone")
             ]
             + [
-                f"SELECT '{m}', 'double', count(*) > count({m}), min({m}), max({m}), NULL, true "
+                f"SELECT '{m}', 'double', count(*) > count({m}), min({m}), max({m}), 0, true "
                 "FROM train"
                 for m in METRICS
             ]

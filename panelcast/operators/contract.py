@@ -189,7 +189,8 @@ def enforce(report: DataFrame, upto: int = REFUSING) -> None:
 def fit_ranges(stamped: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     """Per column, what the train rows allow: type, nullability, range, category count.
 
-    Category values themselves are the code maps; here only their number is kept.
+    Category values themselves are the code maps; here only their number is kept, and
+    0 stands for a column that is not a category.
     """
     train = stamped.where(F.col(SPLIT) == TRAIN)
     types = {f.name: f.dataType.simpleString() for f in stamped.schema.fields}
@@ -218,7 +219,7 @@ def fit_ranges(stamped: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
 
     entries = [entry(c, none, none, F.lit(0), F.col(f"{c}__n")) for c in spec.series]
     entries += [
-        entry(c, F.col(f"{c}__min"), F.col(f"{c}__max"), F.col(f"{c}__nulls"), none)
+        entry(c, F.col(f"{c}__min"), F.col(f"{c}__max"), F.col(f"{c}__nulls"), F.lit(0))
         for c in numeric
     ]
     return one.select(F.inline(F.array(*entries)))
