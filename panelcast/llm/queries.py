@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, packing, url_filter, warc
-from panelcast.llm.common import read
+from panelcast.llm import bpe, exact_dedup, langid, packing, quality, topk, toxicity, url_filter, warc
+from panelcast.llm.common import in_fold, labelled, read
 
 # The rules and limits that the queries are asked to apply: fixed values.
 URL_RULES = [
@@ -33,21 +33,93 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings", "vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = read(spark, folder, "pages", "page_id", "url", "html")
     return warc.archive_pages(pages).drop("url")
 
 
+def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return exact_dedup.exact_copies(docs).drop("chars")
+
+
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text", "lang")
+    held_out = F.coalesce(in_fold("doc_id", 3) == 1, F.lit(False))
+    languages = langid.learn(docs.where(~held_out))
+    found = langid.identify(docs, languages)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "reliable")
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    labels = read(spark, folder, "labels", "doc_id", "toxic")
+    model = toxicity.fit(labelled(docs, labels.where(in_fold("doc_id", 5) != 0)))
+    held_out = F.coalesce(in_fold("doc_id", 5) == 0, F.lit(False))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text", "lang")
+    labels = read(spark, folder, "labels", "doc_id", "quality").where("quality = 1")
+    return quality.quality(docs, labelled(docs, labels.select("doc_id")))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_warc": op6_warc,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 _RULE_ROWS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
 
 ORACLES = {
+    "op5_exact_top_k": """
+WITH components AS (
+  SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
+),
+bad AS (SELECT DISTINCT vec_id FROM components WHERE x IS NULL OR NOT isfinite(x)),
+ints AS (
+  SELECT vec_id, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x
+  FROM components WHERE vec_id NOT IN (SELECT vec_id FROM bad)
+),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM ints q JOIN ints c ON q.i = c.i AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+  GROUP BY q.vec_id, c.vec_id
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op7_exact_dedup": r"""
+WITH plain AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n_code_points,
+    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t
+  FROM documents
+),
+ranked AS (
+  SELECT doc_id, t,
+    first_value(doc_id) OVER (PARTITION BY t ORDER BY n_code_points DESC, doc_id) AS keep_id,
+    count(*) OVER (PARTITION BY t) AS group_size
+  FROM plain
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM ranked
+""",
     "op1_url_filter": f"""
 WITH rules(r_host, r_path, r_verdict) AS (VALUES {_RULE_ROWS}),
 rests AS (
