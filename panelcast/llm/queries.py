@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, exact_dedup, langid, packing, quality, topk, toxicity, url_filter, warc
+from panelcast.llm import (
+    bpe,
+    exact_dedup,
+    langid,
+    ngram_join,
+    packing,
+    quality,
+    topk,
+    toxicity,
+    url_filter,
+    warc,
+)
 from panelcast.llm.common import in_fold, labelled, read
 
 # The rules and limits that the queries are asked to apply: fixed values.
@@ -23,6 +34,11 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, folder, "pages", "page_id", "url"), URL_RULES)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return ngram_join.similar_documents(docs, ngram_join.Rule(words=3, num=90, den=100))
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(read(spark, folder, "documents", "doc_id", "text"), ranks)
@@ -73,6 +89,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_exact_top_k": op5_exact_top_k,
@@ -86,6 +103,34 @@ QUERIES = {
 _RULE_ROWS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
 
 ORACLES = {
+    "op2_ngram_jaccard_join": rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.UPPER.lower()}'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+lists AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS grams
+  FROM words
+),
+sets AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM lists),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM sets a JOIN sets b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a
+)
+SELECT lists.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, min(r) AS component_id
+FROM lists JOIN reach ON reach.doc_id = lists.doc_id
+GROUP BY lists.doc_id, grams
+""",
     "op5_exact_top_k": """
 WITH components AS (
   SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
