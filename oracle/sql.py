@@ -29,10 +29,10 @@ NUMERIC = [
     "is_festive",
 ]
 LOGGED = NUMERIC[:5]
-TRAIN_END = "DATE '2001-04-01'"
-LAST = "DATE '2001-10-01'"
+LAST = "(SELECT last_closed FROM bounds)"
+TRAIN_END = "(SELECT CAST(last_closed - INTERVAL 6 MONTH AS DATE) FROM bounds)"
 
-PANEL = """
+BASE = """
 lines AS (
   SELECT p_brand AS brand, r_name AS zone, l_suppkey AS store,
          CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
@@ -41,8 +41,10 @@ lines AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey
        JOIN supplier ON l_suppkey = s_suppkey
        JOIN nation ON s_nationkey = n_nationkey
-       JOIN region ON n_regionkey = r_regionkey
-  WHERE l_shipdate < TIMESTAMP '2001-11-01'),
+       JOIN region ON n_regionkey = r_regionkey),
+bounds AS (
+  SELECT CAST(date_trunc('month', CAST(max(l_shipdate) AS DATE) + 1) - INTERVAL 1 MONTH AS DATE)
+    AS last_closed FROM lineitem),
 store_sales AS (SELECT zone, date, store, sum(v) AS sv FROM lines GROUP BY zone, date, store),
 zone_sales AS (
   SELECT zone, date, sum(v) AS zv, count(DISTINCT store) AS zs FROM lines GROUP BY zone, date),
@@ -55,7 +57,7 @@ handled AS (
   FROM (SELECT DISTINCT brand, zone, date, store FROM lines) JOIN store_sales
        USING (zone, date, store)
   GROUP BY brand, zone, date),
-panel AS (
+all_months AS (
   SELECT brand, zone, date,
          CAST(v AS DOUBLE) / 1e5 AS value_lakhs,
          CAST(s AS DOUBLE) * 1e2 / CAST(zs AS DOUBLE) AS numeric_dist_pct,
@@ -67,6 +69,8 @@ panel AS (
          CAST(s AS DOUBLE) * 3e1 / CAST(n AS DOUBLE) AS str_days,
          CAST(v AS DOUBLE) / CAST(s AS DOUBLE) AS pdo_rs
   FROM cells JOIN handled USING (brand, zone, date) JOIN zone_sales USING (zone, date))"""
+PANEL = BASE + ",\npanel AS (SELECT * FROM all_months)"
+CLOSED = BASE + ",\npanel AS (SELECT * FROM all_months WHERE date <= (SELECT last_closed FROM bounds))"
 
 KEY = "brand, zone, date"
 W = "PARTITION BY brand, zone ORDER BY date"
@@ -92,6 +96,11 @@ def on_panel(select: str, *ctes: str) -> str:
     return stmt([PANEL, *ctes], select)
 
 
+def on_closed(select: str, *ctes: str) -> str:
+    """On the months that the lines cover to their end."""
+    return stmt([CLOSED, *ctes], select)
+
+
 def feats(src: str, out: str) -> str:
     """CTEs that end in ``out``: ``src`` with every feature except the codes."""
     lags = [f"lag(ly, {k}) OVER w AS ly_l{k}" for k in range(1, 8)]
@@ -164,16 +173,24 @@ scale AS (
 bt AS (
   SELECT clean.*, naive, seasonal_naive, drift, ar1, scale
   FROM clean JOIN hist USING ({KEY}) LEFT JOIN scale USING (brand, zone))"""
-BACKTEST = [PANEL, F_, CLEAN, COEF, PRED]
+BACKTEST = [CLOSED, F_, CLEAN, COEF, PRED]
 
 
 def long(candidates: list[str], where: str = "split = 'test'") -> str:
+    shared = " AND ".join(f"{c} IS NOT NULL" for c in candidates)
     parts = [
         f"SELECT '{c}' AS candidate, {KEY}, y, {c} AS pred, scale FROM bt "
-        f"WHERE {where} AND {c} IS NOT NULL"
+        f"WHERE {where} AND {shared}"
         for c in candidates
     ]
-    return "long AS (" + " UNION ALL ".join(parts) + ")"
+    covered = [
+        f"SELECT '{c}' AS candidate, count({c}) / count(*)::DOUBLE AS coverage FROM bt WHERE {where}"
+        for c in candidates
+    ]
+    return (
+        "long AS (" + " UNION ALL ".join(parts) + "),\n"
+        "covered AS (" + " UNION ALL ".join(covered) + ")"
+    )
 
 
 SCORES = """
@@ -183,11 +200,20 @@ zone_grain AS (
          1.0 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y)) AS r2
   FROM long GROUP BY candidate),
 total_grain AS (
-  SELECT candidate, 100.0 * sum(abs(y - pred)) / sum(y) AS ai_brand_wmape
+  SELECT candidate, 100.0 * sum(abs(y - pred)) / sum(y) AS ai_brand_wmape,
+         100.0 * avg(abs(y - pred) / abs(y)) AS total_mape,
+         1.0 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y)) AS total_r2
   FROM (SELECT candidate, brand, date, sum(y) AS y, sum(pred) AS pred FROM long
         GROUP BY candidate, brand, date)
   GROUP BY candidate),
-scores AS (SELECT * FROM zone_grain JOIN total_grain USING (candidate))"""
+segment_grain AS (
+  SELECT candidate, 100.0 * sum(abs(y - pred)) / sum(y) AS segment_wmape
+  FROM (SELECT candidate, zone, date, sum(y) AS y, sum(pred) AS pred FROM long
+        GROUP BY candidate, zone, date)
+  GROUP BY candidate),
+scores AS (
+  SELECT * FROM covered LEFT JOIN zone_grain USING (candidate)
+  LEFT JOIN total_grain USING (candidate) LEFT JOIN segment_grain USING (candidate))"""
 
 
 def metric_rows(metrics: list[str]) -> str:
@@ -220,11 +246,12 @@ fc AS (
          exp(ly) AS last_actual, exp(ly + a + b * step) AS prediction
   FROM ahead LEFT JOIN coef USING (brand, zone)),
 totals AS (
-  SELECT brand, 'All India (U+R)' AS zone, target_month, sum(last_actual) AS last_actual,
-         sum(prediction) AS prediction
+  SELECT brand, 'All India (U+R)' AS zone, target_month,
+         CASE WHEN bool_and(last_actual IS NOT NULL) THEN sum(last_actual) END AS last_actual,
+         CASE WHEN bool_and(prediction IS NOT NULL) THEN sum(prediction) END AS prediction
   FROM fc GROUP BY brand, target_month),
 fc_all AS (SELECT * FROM fc UNION ALL SELECT * FROM totals)"""
-AR1_CTES = [PANEL, F_, COEF, AR1]
+AR1_CTES = [CLOSED, F_, COEF, AR1]
 FC_COLUMNS = (
     f"brand, zone, target_month, {r('last_actual', 9)} AS last_actual, "
     f"{r('prediction')} AS prediction, {r('(prediction / last_actual - 1) * 100')} AS pct_change"
@@ -244,7 +271,7 @@ payload AS (
         SELECT * FROM panel
         WHERE brand = 'Brand#6' AND zone = 'MIDDLE EAST' AND date = {LAST})
   WHERE NOT (brand = 'Brand#2' AND zone = 'EUROPE')
-    AND NOT (brand = 'Brand#3' AND zone = 'AFRICA' AND date < DATE '2001-08-01'))"""
+    AND NOT (brand = 'Brand#3' AND zone = 'AFRICA' AND date < {LAST} - INTERVAL 2 MONTH))"""
 NULLS = " UNION ALL ".join(
     f"SELECT '{m}' AS metric, CAST(count(*) AS BIGINT) AS n_null FROM payload "
     f"WHERE {m} IS NULL HAVING count(*) > 0"
@@ -357,7 +384,8 @@ folds AS (
 CV = " UNION ALL ".join(
     f"""SELECT '{c}' AS candidate, fold, sum(abs(y - {c})) / sum(y) * 100 AS e
   FROM bt JOIN folds ON date > cutoff AND date <= fold_end
-  WHERE split = 'train' AND {c} IS NOT NULL GROUP BY fold"""
+  WHERE split = 'train' AND naive IS NOT NULL AND seasonal_naive IS NOT NULL AND drift IS NOT NULL
+  GROUP BY fold"""
     for c in ("naive", "seasonal_naive", "drift")
 )
 
@@ -448,7 +476,7 @@ FROM part""",
         CLEAN,
         CODES,
     ),
-    "target_month": on_panel(
+    "target_month": on_closed(
         "SELECT max(date) AS as_of, "
         "CAST(date_trunc('month', max(date)) + INTERVAL 1 MONTH AS DATE) AS target_month "
         "FROM panel"
@@ -456,44 +484,76 @@ FROM part""",
     "series_last": on_panel(
         "SELECT brand, zone, max(date) AS date, "
         + _csv(f"arg_max({m}, date) FILTER (WHERE {m} IS NOT NULL) AS {m}" for m in METRICS)
-        + " FROM payload GROUP BY brand, zone",
-        PAYLOAD,
+        + " FROM panel GROUP BY brand, zone",
     ),
-    "extended_panel": on_panel("SELECT * FROM ext", EXTENDED_PANEL),
-    "scoring_frame": on_panel(
+    "extended_panel": on_closed("SELECT * FROM ext", EXTENDED_PANEL),
+    "scoring_frame": on_closed(
         f"SELECT brand, zone, date AS target_month, {r('ly_l1')} AS ly_l1, {FEATURES} "
         f"FROM {coded('s')} WHERE date = (SELECT tm FROM month_ahead)",
         EXTENDED_PANEL,
         feats("ext", "s"),
         CODES,
     ),
-    "history_depth": on_panel(
+    "history_depth": on_closed(
         "SELECT brand, zone, count(*) AS n_rows FROM payload GROUP BY brand, zone "
         "HAVING count(*) < 7",
         PAYLOAD,
     ),
-    "contract_shallow": on_panel(SHALLOW, PAYLOAD),
-    "contract_incomplete": on_panel(INCOMPLETE, PAYLOAD),
-    "contract_nulls": on_panel(NULLS, PAYLOAD),
-    "contract_nonpositive": on_panel(NONPOSITIVE, PAYLOAD),
-    "contract_unknown": on_panel(UNKNOWN, PAYLOAD),
-    "contract_report": on_panel(REPORT, PAYLOAD),
+    "contract_shallow": on_closed(SHALLOW, PAYLOAD),
+    "contract_incomplete": on_closed(INCOMPLETE, PAYLOAD),
+    "contract_nulls": on_closed(NULLS, PAYLOAD),
+    "contract_nonpositive": on_closed(NONPOSITIVE, PAYLOAD),
+    "contract_unknown": on_closed(UNKNOWN, PAYLOAD),
+    "contract_report": on_closed(REPORT, PAYLOAD),
     "contract_ranges": on_panel(
         union(
             [
-                f"SELECT '{c}' AS column_name, 'string' AS dtype, false AS nullable, "
+                f"SELECT '{c}' AS column_name, '{kind}' AS dtype, count(*) > count({c}) AS nullable, "
                 f"CAST(NULL AS DOUBLE) AS min_value, CAST(NULL AS DOUBLE) AS max_value, "
-                f"count(DISTINCT {c}) AS n_allowed, true AS required FROM train"
-                for c in ("brand", "zone")
+                f"{n} AS n_allowed, count(*) = count({c}) AS required FROM train"
+                for c, kind, n in (
+                    ("brand", "string", "count(DISTINCT brand)"),
+                    ("zone", "string", "count(DISTINCT zone)"),
+                    ("date", "date", "CAST(NULL AS BIGINT)"),
+                )
             ]
             + [
-                f"SELECT '{m}', 'double', count(*) > count({m}), min({m}), max({m}), 0, true "
-                "FROM train"
+                f"SELECT '{m}', 'double', count(*) > count({m}), min({m}), max({m}), NULL, "
+                f"count(*) = count({m}) FROM train"
                 for m in METRICS
             ]
         ),
         STAMPED,
     ),
+    "contract_allowed": on_panel(
+        "SELECT DISTINCT 'brand' AS column_name, brand AS value FROM train "
+        "UNION ALL SELECT DISTINCT 'zone', zone FROM train",
+        STAMPED,
+    ),
+    "series_ids": on_panel(
+        "SELECT brand || '|' || zone AS series_id, count(*) AS count FROM panel GROUP BY brand, zone"
+    ),
+    "totals_with_gaps": stmt(
+        [
+            *AR1_CTES,
+            """gaps AS (
+  SELECT brand, target_month,
+         CASE WHEN zone = 'ASIA' AND brand IN ('Brand#1', 'Brand#2') THEN NULL ELSE prediction END AS p
+  FROM fc)""",
+        ],
+        f"""SELECT brand, target_month, {r('CASE WHEN count(p) = count(*) THEN sum(p) END')} AS prediction,
+  count(*) AS n_segments, count(*) - count(p) AS n_missing
+FROM gaps GROUP BY brand, target_month""",
+    ),
+    "eval_with_gaps": stmt(
+        [
+            CLOSED, F_, CLEAN, COEF, PRED,
+            "whole AS (SELECT *, CASE WHEN zone <> 'ASIA' THEN ar1 END AS partial FROM bt)",
+            long(["partial", "naive"]).replace("FROM bt", "FROM whole"),
+            SCORES,
+        ],
+        metric_rows([*BASIC, "coverage"]),
+    ),
     "contract_range_violations": on_panel(
         union(
             f"SELECT '{m}' AS column_name, "
@@ -514,12 +574,12 @@ FROM part""",
     ),
     "forecast_summary": stmt(
         AR1_CTES,
-        f"SELECT {r('sum(prediction)')} AS total_prediction, "
+        f"SELECT {r('CASE WHEN bool_and(prediction IS NOT NULL) THEN sum(prediction) END')} AS total_prediction, "
         f"{r('sum(last_actual)', 9)} AS total_last_actual, count(*) AS n_entities, "
-        f"{r('(sum(prediction) / sum(last_actual) - 1) * 100')} AS total_pct_change, "
+        f"{r('(CASE WHEN bool_and(prediction IS NOT NULL) THEN sum(prediction) END / sum(last_actual) - 1) * 100')} AS total_pct_change, "
         "arg_max(brand, prediction) AS largest_entity FROM totals",
     ),
-    "fallback_forecast": on_panel(
+    "fallback_forecast": on_closed(
         "SELECT brand, zone, CAST(date + INTERVAL 1 MONTH AS DATE) AS target_month, "
         "value_lakhs AS last_actual, value_lakhs AS prediction, CAST(0 AS DOUBLE) AS pct_change, "
         "'fallback' AS source, 'none' AS model_version, CAST(0 AS INTEGER) AS contract_version "
@@ -543,11 +603,12 @@ FROM fc LEFT JOIN swing USING (brand, zone)""",
     "parity_diff": stmt(
         [
             *AR1_CTES,
-            """got AS (SELECT brand, zone, value_lakhs AS got FROM panel
+            """got AS (SELECT brand, zone, CAST(date + INTERVAL 1 MONTH AS DATE) AS target_month,
+         value_lakhs AS got FROM panel
   WHERE date = (SELECT max(date) FROM panel)),
 both_sides AS (
   SELECT brand || '|' || zone AS key, got, prediction AS want, abs(got - prediction) AS d
-  FROM got FULL JOIN fc_all USING (brand, zone))""",
+  FROM got FULL JOIN fc_all USING (brand, zone, target_month))""",
         ],
         f"""SELECT count(*) FILTER (WHERE got IS NOT NULL AND want IS NOT NULL) AS n_compared,
   count(*) FILTER (WHERE got IS NULL) AS n_missing,
@@ -577,7 +638,7 @@ FROM both_sides""",
     "eval_naive": evaluated(["naive"], BASIC),
     "eval_ar1": evaluated(["ar1"], BASIC),
     "eval_extended": evaluated(
-        ["naive", "seasonal_naive", "drift", "ar1"], [*BASIC, "mape", "r2"]
+        ["naive", "seasonal_naive", "drift", "ar1"], [*BASIC, "mape", "r2", "total_mape", "total_r2", "segment_wmape", "coverage"],
     ),
     "quality_gate": stmt(
         [
@@ -585,13 +646,15 @@ FROM both_sides""",
             long(["ar1", "naive"]),
             SCORES,
             """pair AS (
-  SELECT m.ai_brand_wmape AS w, m.ai_brand_wmape / n.ai_brand_wmape AS v, m.mase / n.mase AS s
+  SELECT m.ai_brand_wmape AS w, m.ai_brand_wmape / n.ai_brand_wmape AS v, m.mase / n.mase AS s,
+         m.coverage AS c, n.coverage AS nc
   FROM scores m, scores n WHERE m.candidate = 'ar1' AND n.candidate = 'naive')""",
         ],
         f"""SELECT 'ai_brand_wmape' AS gate, {r('w')} AS value, CAST(6 AS DOUBLE) AS threshold,
   w <= 6.0 AS passed FROM pair
 UNION ALL SELECT 'vs_naive', {r('v')}, CAST(0.8 AS DOUBLE), v <= 0.8 FROM pair
-UNION ALL SELECT 'naive_rel_mase', {r('s')}, CAST(1 AS DOUBLE), s < 1.0 FROM pair""",
+UNION ALL SELECT 'naive_rel_mase', {r('s')}, CAST(1 AS DOUBLE), s < 1.0 FROM pair
+UNION ALL SELECT 'coverage', {r('c')}, nc, c >= nc FROM pair""",
     ),
     "beats_naive": backtest(
         f"""SELECT count(*) AS n_entities, count(*) FILTER (WHERE m < n) AS n_better,
@@ -612,7 +675,7 @@ FROM long GROUP BY candidate, date""",
 FROM long GROUP BY candidate, brand""",
         long(["ar1", "naive"]),
     ),
-    "cv_folds": on_panel(
+    "cv_folds": on_closed(
         """SELECT fold, 'train' AS role, count(*) AS n_rows, min(date) AS first_month,
   max(date) AS last_month
 FROM clean JOIN folds ON date <= cutoff WHERE split = 'train' GROUP BY fold

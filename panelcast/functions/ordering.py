@@ -68,13 +68,31 @@ def position_within(
 ) -> DataFrame:
     """1-based position of each row inside its group, however large the group is.
 
-    Rows are numbered globally by (group, order); the group's first number is an
-    aggregate, so no group is gathered in one task.
+    Rows are numbered globally by (group, order), and the group's first number is an
+    aggregate. It is written, so that its real size decides how it is joined: it is
+    broadcast while groups are few, and the rows stay where they are. Beyond that, hot
+    groups are split by a salt of the row's number.
     """
     numbered = running(df, [F.col(g) for g in group] + order, position="_global")
-    starts = numbered.groupBy(*group).agg(F.min("_global").alias("_start"))
+    starts = materialise(numbered.groupBy(*group).agg(F.min("_global").alias("_start")))
     return (
-        numbered.join(starts, group)
+        salted_join(numbered, starts, group, F.col("_global"))
         .withColumn(position, F.col("_global") - F.col("_start") + 1)
         .select(*df.columns, position)
     )
+
+
+JOIN_SALTS = 8
+
+
+def salted_join(
+    rows: DataFrame, lookup: DataFrame, keys: list[str], salt: Column, how: str = "inner"
+) -> DataFrame:
+    """Join a written table of few rows a key; a key with very many rows is split.
+
+    ``salt`` tells the rows of a key apart. Written first, the table is broadcast by its
+    real size; where it is too large for that, no key's rows meet in one task.
+    """
+    spread = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(JOIN_SALTS)).cast("int"))
+    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")

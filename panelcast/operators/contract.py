@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.columns import longer, series_id
@@ -187,42 +187,45 @@ def enforce(report: DataFrame, upto: int = REFUSING) -> None:
 
 
 def fit_ranges(stamped: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
-    """Per column, what the train rows allow: type, nullability, range, category count.
+    """Per column, what the train rows show: type, nullability, range, category count.
 
-    Category values themselves are the code maps; here only their number is kept, and
-    0 stands for a column that is not a category.
+    ``nullable`` is measured for every column, and a column is ``required`` if train never
+    lacks it. ``n_allowed`` is NULL for a column that is not a category; the categories
+    themselves are in ``fit_allowed``. Categories are counted among the distinct series.
     """
     train = stamped.where(F.col(SPLIT) == TRAIN)
     types = {f.name: f.dataType.simpleString() for f in stamped.schema.fields}
-    numeric = spec.metrics
-    aggs = []
-    for c in numeric:
-        aggs += [
-            F.min(c).alias(f"{c}__min"),
-            F.max(c).alias(f"{c}__max"),
-            F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"),
-        ]
-    one = train.agg(*aggs, *[F.count_distinct(c).alias(f"{c}__n") for c in spec.series])
-
-    none = F.lit(None)
-
-    def entry(c: str, low, high, nulls, values):
+    columns = [*spec.series, spec.date, *spec.metrics]
+    values = [*(F.min(c).alias(f"{c}__min") for c in spec.metrics)]
+    values += [*(F.max(c).alias(f"{c}__max") for c in spec.metrics)]
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls") for c in columns]
+    one = train.agg(*values, *nulls)
+    members = train.select(*spec.series).distinct()
+    for c in spec.series:
+        one = one.withColumn(f"{c}__n", members.agg(F.count_distinct(c)).scalar())
+
+    def entry(c: str) -> Column:
+        ranged, counted = c in spec.metrics, c in spec.series
         return F.struct(
             F.lit(c).alias("column_name"),
             F.lit(types[c]).alias("dtype"),
-            (nulls > 0).alias("nullable"),
-            low.cast("double").alias("min_value"),
-            high.cast("double").alias("max_value"),
-            values.cast("bigint").alias("n_allowed"),
-            F.lit(True).alias("required"),
+            (F.col(f"{c}__nulls") > 0).alias("nullable"),
+            (F.col(f"{c}__min") if ranged else F.lit(None)).cast("double").alias("min_value"),
+            (F.col(f"{c}__max") if ranged else F.lit(None)).cast("double").alias("max_value"),
+            (F.col(f"{c}__n") if counted else F.lit(None)).cast("bigint").alias("n_allowed"),
+            (F.col(f"{c}__nulls") == 0).alias("required"),
         )
 
-    entries = [entry(c, none, none, F.lit(0), F.col(f"{c}__n")) for c in spec.series]
-    entries += [
-        entry(c, F.col(f"{c}__min"), F.col(f"{c}__max"), F.col(f"{c}__nulls"), F.lit(0))
-        for c in numeric
+    return one.select(F.inline(F.array(*[entry(c) for c in columns])))
+
+
+def fit_allowed(stamped: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
+    """(column_name, value): the categories that the train rows have."""
+    pair = [
+        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in spec.series
     ]
-    return one.select(F.inline(F.array(*entries)))
+    members = stamped.where(F.col(SPLIT) == TRAIN).select(*spec.series).distinct()
+    return members.select(F.inline(F.array(*pair))).where("value IS NOT NULL").distinct()
 
 
 def range_violations(stamped: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:

@@ -1,8 +1,8 @@
 """Backtest accuracy, quality gate, expanding folds and selection.
 
-Predictions of several candidates are scored together in one pass: rows are summed
-per (candidate, entity, month) with map-side combining, and every metric at both
-grains is a function of those sums.
+Predictions of several candidates are scored together, on the rows that all of them
+predict; every metric is an aggregate with map-side combining, at the grain of rows, of
+entity totals or of segment totals.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.columns import longer, ratio
+from panelcast.functions.lineage import materialise
 from panelcast.operators.features import series_window
 from panelcast.spec import (
     GATE_MASE,
@@ -25,7 +26,8 @@ from panelcast.spec import (
 )
 
 METRICS = ["zone_wmape", "ai_brand_wmape", "mase"]
-EXTENDED = [*METRICS, "mape", "r2"]
+COVERAGE = "coverage"
+EXTENDED = [*METRICS, "mape", "r2", "total_mape", "total_r2", "segment_wmape", COVERAGE]
 
 
 def mase_scale(cleaned: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
@@ -52,9 +54,18 @@ def with_scale(cleaned: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
 def candidate_rows(
     frame: DataFrame, candidates: list[str], spec: PanelSpec, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Long rows (candidate, key, y, pred, scale) from one prediction column each."""
-    ids = [*keep, *spec.key, "y", "scale"]
-    return longer(frame, ids, candidates, "candidate", "pred").where("pred IS NOT NULL")
+    """Long rows (candidate, key, y, pred, scale, covered) from one prediction column each.
+
+    Candidates are compared on the same rows: where one of them has no prediction, ``pred``
+    is NULL for all. ``covered`` says whether the candidate itself had one.
+    """
+    all_there = F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in candidates))
+    ids = [*keep, *spec.key, "y", "scale", "_all"]
+    long = longer(frame.withColumn("_all", all_there), ids, candidates, "candidate", "pred")
+    own = F.col("pred")
+    return long.withColumns(
+        {"covered": own.isNotNull(), "pred": F.when(F.col("_all"), own)}
+    ).drop("_all")
 
 
 def score(
@@ -62,40 +73,44 @@ def score(
     spec: PanelSpec = PanelSpec(),
     by: tuple[str, ...] = ("candidate",),
 ) -> DataFrame:
-    """All metrics per ``by`` group as columns.
-
-    ``zone_wmape`` weighs every row; ``ai_brand_wmape`` first sums segments by entity
-    and month; ``mase`` averages scaled errors and skips series without a scale.
+    """All metrics per ``by`` group as columns, on the rows all candidates predict.
+
+    ``zone_wmape`` weighs every row; ``ai_brand_wmape`` and the ``total_`` metrics first
+    sum segments by entity and month, ``segment_wmape`` sums entities by segment and month;
+    ``mase`` averages scaled errors and skips series without a scale. ``coverage`` is the
+    share of rows with a prediction of the candidate's own, ``n_rows`` the rows compared.
+    Squared deviations are taken from variances, not from differences of large sums. The
+    rows are written first, because several aggregates read them.
     """
+    used = [*by, *spec.key, "y", "pred", "scale", "covered"]
+    rows = materialise(rows.select(*dict.fromkeys(used)))
+    shared = rows.where("pred IS NOT NULL")
     err = "abs(y - pred)"
-    per_cell = {
-        "n": "count(1)",
-        "sy": "sum(y)",
-        "sp": "sum(pred)",
-        "err": f"sum({err})",
-        "scaled": f"sum(try_divide({err}, scale))",
-        "n_scaled": f"count(try_divide({err}, scale))",
-        "rel": f"sum(try_divide({err}, abs(y)))",
-        "n_rel": f"count(try_divide({err}, abs(y)))",
-        "sse": f"sum({err} * {err})",
-        "yy": "sum(y * y)",
-    }
-    cells = rows.groupBy(*by, spec.entity, spec.date).agg(
-        *[F.expr(e).alias(c) for c, e in per_cell.items()]
+
+    def grain(*keys: str) -> DataFrame:
+        return shared.groupBy(*by, *keys).agg(F.sum("y").alias("sy"), F.sum("pred").alias("sp"))
+
+    plain = shared.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.expr(f"try_divide(sum({err}), sum(y)) * 100D AS zone_wmape"),
+        F.expr(f"avg(try_divide({err}, scale)) AS mase"),
+        F.expr(f"avg(try_divide({err}, abs(y))) * 100D AS mape"),
+        F.expr(f"1D - try_divide(sum({err} * {err}), count(1) * var_pop(y)) AS r2"),
     )
-    sums = cells.groupBy(*by).agg(
-        F.expr("sum(abs(sy - sp)) AS total_err"),
-        *[F.expr(f"sum({c}) AS {c}") for c in per_cell if c != "sp"],
+    gap = "abs(sy - sp)"
+    totals = grain(spec.entity, spec.date).groupBy(*by).agg(
+        F.expr(f"try_divide(sum({gap}), sum(sy)) * 100D AS ai_brand_wmape"),
+        F.expr(f"avg(try_divide({gap}, abs(sy))) * 100D AS total_mape"),
+        F.expr(f"1D - try_divide(sum({gap} * {gap}), count(1) * var_pop(sy)) AS total_r2"),
     )
-    return sums.selectExpr(
-        *[f"`{c}`" for c in by],
-        "n AS n_rows",
-        "try_divide(err, sy) * 100D AS zone_wmape",
-        "try_divide(total_err, sy) * 100D AS ai_brand_wmape",
-        "try_divide(scaled, n_scaled) AS mase",
-        "try_divide(rel, n_rel) * 100D AS mape",
-        "1D - try_divide(sse, yy - sy * sy / n) AS r2",
+    segments = grain(spec.segment, spec.date).groupBy(*by).agg(
+        F.expr(f"try_divide(sum({gap}), sum(sy)) * 100D AS segment_wmape")
     )
+    covered = rows.groupBy(*by).agg(F.avg(F.col("covered").cast("double")).alias(COVERAGE))
+    out = covered
+    for part in (plain, totals, segments):
+        out = out.join(part, list(by), "left")
+    return out
 
 
 def evaluate(
@@ -118,7 +133,11 @@ def quality_gate(
     vs_naive: float = GATE_VS_NAIVE,
     mase: float = GATE_MASE,
 ) -> DataFrame:
-    """(gate, value, threshold, passed) from the long metrics of model and naive."""
+    """(gate, value, threshold, passed) from the long metrics of model and naive.
+
+    The last gate needs the ``coverage`` metric: a model that predicts fewer rows than
+    naive fails whatever its errors are.
+    """
 
     def value(candidate: str, metric: str) -> Column:
         hit = (F.col("candidate") == candidate) & (F.col("metric") == metric)
@@ -129,17 +148,22 @@ def quality_gate(
         value(naive, "ai_brand_wmape").alias("naive_wmape"),
         value(model, "mase").alias("model_mase"),
         value(naive, "mase").alias("naive_mase"),
+        value(model, COVERAGE).alias("model_coverage"),
+        value(naive, COVERAGE).alias("naive_coverage"),
     ).select(
+        "model_coverage",
+        "naive_coverage",
         "model_wmape",
         ratio(F.col("model_wmape"), F.col("naive_wmape")).alias("vs_naive"),
         ratio(F.col("model_mase"), F.col("naive_mase")).alias("rel_mase"),
     )
 
-    def gate(name: str, c: str, threshold: float, passed: Column) -> Column:
+    def gate(name: str, c: str, threshold: float | Column, passed: Column) -> Column:
+        limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
         return F.struct(
             F.lit(name).alias("gate"),
             F.col(c).alias("value"),
-            F.lit(threshold).alias("threshold"),
+            limit.cast("double").alias("threshold"),
             F.coalesce(passed, F.lit(False)).alias("passed"),
         )
 
@@ -148,6 +172,12 @@ def quality_gate(
         gate("vs_naive", "vs_naive", vs_naive, F.col("vs_naive") <= vs_naive),
         # strictly better, unlike the two ceilings
         gate("naive_rel_mase", "rel_mase", mase, F.col("rel_mase") < mase),
+        gate(
+            COVERAGE,
+            "model_coverage",
+            F.col("naive_coverage"),
+            F.col("model_coverage") >= F.col("naive_coverage"),
+        ),
     )
     return one.select(F.inline(gates))
 
@@ -165,7 +195,7 @@ def beats_naive(rows: DataFrame, model: str, naive: str = "naive", spec=PanelSpe
     def of(name: str, c: Column) -> Column:
         return F.sum(F.when(F.col("candidate") == name, c))
 
-    per_entity = rows.groupBy(spec.entity).agg(
+    per_entity = rows.where("pred IS NOT NULL").groupBy(spec.entity).agg(
         of(naive, F.col("y")).alias("y"),
         ratio(of(model, err), of(model, F.col("y"))).alias("model"),
         ratio(of(naive, err), of(naive, F.col("y"))).alias("naive"),
@@ -182,7 +212,8 @@ def beats_naive(rows: DataFrame, model: str, naive: str = "naive", spec=PanelSpe
 
 def monthly_bias(rows: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     """Signed percent error of the summed forecast, per candidate and month."""
-    sums = rows.groupBy("candidate", spec.date).agg(
+    shared = rows.where("pred IS NOT NULL")
+    sums = shared.groupBy("candidate", spec.date).agg(
         F.sum("y").alias("actual"), F.sum("pred").alias("forecast")
     )
     return sums.withColumn(

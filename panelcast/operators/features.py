@@ -2,7 +2,9 @@
 
 All history columns of a series come from one window (one shuffle, one sort). The
 cross-section total is an aggregate joined back, so a segment-month with very many
-entities is summed map-side instead of being gathered in one window group.
+entities is summed map-side instead of being gathered in one window group. The totals
+are written before they are joined: their real size decides about the broadcast, and a
+panel that must be shuffled for them is dealt by (segment, month, salt).
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelcast.functions.columns import calendar_columns, log_positive, next_month, series_id
+from panelcast.functions.lineage import materialise
+from panelcast.functions.ordering import salted_join
 from panelcast.operators.encoding import CodeMaps, apply_codes
 from panelcast.spec import SPLIT, TEST, TRAIN, PanelSpec
 
@@ -34,7 +38,8 @@ def _levels(panel: DataFrame, totals: DataFrame, spec: PanelSpec) -> DataFrame:
     levels = panel.withColumns(
         {"y": F.col(spec.target).cast("double"), "ly": log_positive(spec.target)}
     )
-    return levels.join(totals.drop("total"), [spec.segment, spec.date], "left")
+    written = materialise(totals.drop("total"))
+    return salted_join(levels, written, [spec.segment, spec.date], F.col(spec.entity), "left")
 
 
 def with_levels(panel: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -98,11 +103,10 @@ def _finish(df: DataFrame, date: str, spec: PanelSpec, codes: CodeMaps | None) -
 def transform(
     panel: DataFrame, spec: PanelSpec = PanelSpec(), codes: CodeMaps | None = None
 ) -> DataFrame:
-    """The panel's rows plus every engineered column.
+    """Every feature beside the panel's own columns, one row in and one row out.
 
-    Row-preserving and fits nothing. Lags are positional (previous row of the
-    series), and rows without enough history carry NULLs. The code columns are added
-    when ``codes`` are given.
+    A lag is the series' row before, whatever months lie between. Early rows of a series
+    have NULLs. Nothing is fitted here; with ``codes`` the code columns are looked up too.
     """
     seen = with_levels(panel, spec).selectExpr("*", *history_columns(spec, newest=1))
     return _finish(seen, spec.date, spec, codes)
@@ -178,13 +182,11 @@ def scoring_frame(
 def require_features(df: DataFrame, names: list[str]) -> DataFrame:
     """Fail when a row lacks a feature, inside the plan rather than by a driver check.
 
-    The check rides on ``ly_l1``, which every forecast needs for its level.
+    The check is a filter, which no choice of columns and no count can prune away.
     """
     lacking = F.expr(" OR ".join(f"`{name}` IS NULL" for name in names))
-    message = F.concat(F.lit("not enough history to build all features: "), F.col("series_id"))
-    return df.withColumn(
-        "ly_l1", F.when(lacking, F.raise_error(message).cast("double")).otherwise(F.col("ly_l1"))
-    )
+    message = F.concat(F.lit("series too short for its features: "), F.col("series_id"))
+    return df.where(F.when(lacking, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
 
 def stamp_split(panel: DataFrame, train_end: str, spec: PanelSpec = PanelSpec()) -> DataFrame:
@@ -200,7 +202,7 @@ def add_training_target(features: DataFrame) -> DataFrame:
 def clean_for_training(
     features: DataFrame, spec: PanelSpec = PanelSpec(), names: list[str] | None = None
 ) -> DataFrame:
-    """The only place where rows are dropped: those lacking a feature or the target."""
+    """Rows with all features and a target; no other step leaves rows out."""
     if names is None:
         names = [c for c in spec.feature_order if c in features.columns]
     return features.na.drop(subset=[*names, "target_d", "ly_l1", "y"])

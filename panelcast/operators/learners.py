@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.lineage import materialise
+from panelcast.functions.ordering import position_within
 from panelcast.operators.baselines import as_forecast
 from panelcast.operators.encoding import CodeMaps, nominal_indexers
 from panelcast.operators.features import reconstruct, scoring_frame
@@ -75,17 +74,20 @@ def linear(
     )
 
 
+# Tasks of a fit. Fixed, because subsampling depends on which rows share a partition: the
+# same rows give the same trees whatever their number and the session. A larger cluster
+# may pass more.
+FIT_PARTS = 8
+
+
 def fit_order(
-    train: DataFrame, spec: PanelSpec = PanelSpec(), rows_per_part: int = 500_000
+    train: DataFrame, spec: PanelSpec = PanelSpec(), parts: int = FIT_PARTS
 ) -> DataFrame:
-    """Rows in a fixed layout, written once: every boosting round rereads them, and
-    subsampling depends on which rows share a partition.
+    """Rows in a fixed layout, written once, as every boosting round rereads them.
 
-    The number of partitions follows the number of rows, so it neither depends on the
-    session nor leaves a round of many tiny tasks. Hashing the whole key spreads rows
-    evenly and, unlike sampled ranges, places them the same way in every run.
+    Hashing the whole key spreads rows evenly and, unlike sampled ranges, places them the
+    same way in every run.
     """
-    parts = max(1, math.ceil(train.count() / rows_per_part))
     laid_out = train.repartition(parts, *spec.key).sortWithinPartitions(*spec.key)
     return materialise(laid_out)
 
@@ -116,37 +118,26 @@ def split_importance(model: PipelineModel, spec: PanelSpec = PanelSpec()) -> Dat
 
 
 def shuffled_within_month(
-    rows: DataFrame,
-    columns: list[str],
-    spec: PanelSpec = PanelSpec(),
-    seed: int = 42,
-    block_rows: int = 100_000,
+    rows: DataFrame, columns: list[str], spec: PanelSpec = PanelSpec(), seed: int = 42
 ) -> DataFrame:
     """Add ``<c>__s``: the column's value of another row of the same month.
 
-    Rows of a month are put in hash order and each takes its successor's values. A
-    month larger than ``block_rows`` is first split by hash into blocks of about that
-    size, so a month holding a large part of all rows is not one window group.
+    Rows of a month are put in hash order and each takes its successor's values, the last
+    one those of the first. Places are global positions, so a month with a large part of
+    all rows is not gathered in one task; the join is on (month, place).
     """
-    sizes = rows.groupBy(spec.date).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_blocks")
-    )
     ident = [F.col(c) for c in spec.series]
-    placed = rows.join(sizes, spec.date).withColumns(
-        {
-            "_block": F.pmod(F.xxhash64(*ident, F.lit(seed)), F.col("_blocks")),
-            "_h": F.xxhash64(*ident, F.lit(seed + 1)),
-        }
+    hashed = rows.withColumn("_h", F.xxhash64(*ident, F.lit(seed)))
+    order = [F.col("_h"), *ident]
+    placed = materialise(position_within(hashed, [spec.date], order, position="_place"))
+    sizes = placed.groupBy(spec.date).agg(F.max("_place").alias("_n"))
+    # the value at a place goes to the place before it, the first one's to the last place
+    given = placed.join(sizes, spec.date).select(
+        spec.date,
+        F.when(F.col("_place") == 1, F.col("_n")).otherwise(F.col("_place") - 1).alias("_place"),
+        *[F.col(c).alias(f"{c}__s") for c in columns],
     )
-    w = Window.partitionBy(spec.date, "_block").orderBy("_h", *spec.series)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    successor = {
-        f"{c}__s": F.when(F.lead(F.lit(1)).over(w).isNull(), F.first(c).over(whole)).otherwise(
-            F.lead(c, 1).over(w)
-        )
-        for c in columns
-    }
-    return placed.withColumns(successor).drop("_blocks", "_block", "_h")
+    return placed.join(given, [spec.date, "_place"]).drop("_h", "_place")
 
 
 def permutation_importance(

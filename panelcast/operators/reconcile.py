@@ -11,10 +11,18 @@ from panelcast.operators.baselines import FORECAST_VALUES
 from panelcast.spec import CONTRACT_VERSION, PanelSpec
 
 
+def _whole_sum(c: str):
+    """The sum, or NULL when a value is missing: part of a total is not the total."""
+    return F.when(F.count(c) == F.count(F.lit(1)), F.sum(c)).alias(c)
+
+
 def reconcile_total(forecast: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
-    """Per entity, the sum over segments, labelled as the total."""
+    """Per entity, the sum over segments, labelled as the total.
+
+    A total with a missing segment value is NULL; ``missing_segments`` counts them.
+    """
     summed = forecast.groupBy(spec.entity, "target_month").agg(
-        F.sum("last_actual").alias("last_actual"), F.sum("prediction").alias("prediction")
+        _whole_sum("last_actual"), _whole_sum("prediction")
     )
     return summed.withColumns(
         {
@@ -33,12 +41,21 @@ def with_total(forecast: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     label = F.explode(F.array(F.col(spec.segment), F.lit(spec.total_label)))
     both = forecast.withColumn(spec.segment, label)
     summed = both.groupBy(*spec.series, "target_month").agg(
-        F.sum("last_actual").alias("last_actual"), F.sum("prediction").alias("prediction")
+        _whole_sum("last_actual"), _whole_sum("prediction")
     )
     change = pct_change(F.col("prediction"), F.col("last_actual"))
     return summed.withColumn("pct_change", change).select(*spec.series, *FORECAST_VALUES)
 
 
+def missing_segments(forecast: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
+    """Per entity, how many segments there are and how many lack a prediction."""
+    segments = forecast.where(F.col(spec.segment) != spec.total_label)
+    return segments.groupBy(spec.entity, "target_month").agg(
+        F.count(F.lit(1)).alias("n_segments"),
+        F.count_if(F.col("prediction").isNull()).alias("n_missing"),
+    )
+
+
 def tag(
     forecast: DataFrame,
     source: str,
@@ -70,8 +87,8 @@ def forecast_summary(forecast: DataFrame, spec: PanelSpec = PanelSpec()) -> Data
     """Headline of the total rows: sum, change, entities, largest entity."""
     totals = forecast.where(F.col(spec.segment) == spec.total_label)
     head = totals.agg(
-        F.sum("prediction").alias("total_prediction"),
-        F.sum("last_actual").alias("total_last_actual"),
+        _whole_sum("prediction").alias("total_prediction"),
+        _whole_sum("last_actual").alias("total_last_actual"),
         F.count(F.lit(1)).alias("n_entities"),
         # equal predictions: the first name wins
         F.min(
@@ -104,20 +121,21 @@ def additivity(panel_with_total: DataFrame, spec: PanelSpec = PanelSpec()) -> Da
 def parity_diff(
     got: DataFrame, expected: DataFrame, spec: PanelSpec = PanelSpec(), tolerance: float = 1e-6
 ) -> DataFrame:
-    """One row: keys missing or extra, and the largest difference with its key."""
-    left = got.select(*spec.series, F.col("prediction").alias("got"), F.lit(1).alias("in_got"))
-    right = expected.select(
-        *spec.series, F.col("prediction").alias("want"), F.lit(1).alias("in_want")
-    )
-    both = left.join(right, spec.series, "full_outer")
+    """One row: keys missing or extra, and the largest difference with its key.
+
+    Keys are series and target month. A key without a prediction counts like an absent
+    one, on either side.
+    """
+    keys = [*spec.series, "target_month"]
+    left = got.select(*keys, F.col("prediction").alias("got"))
+    right = expected.select(*keys, F.col("prediction").alias("want"))
+    both = left.join(right, keys, "full_outer")
     key = F.concat(F.col(spec.entity), F.lit("|"), F.col(spec.segment))
     diff = F.abs(F.col("got") - F.col("want"))
     one = both.agg(
-        F.count(F.when(F.col("in_got").isNotNull() & F.col("in_want").isNotNull(), 1)).alias(
-            "n_compared"
-        ),
-        F.count_if(F.col("in_got").isNull()).alias("n_missing"),
-        F.count_if(F.col("in_want").isNull()).alias("n_extra"),
+        F.count(diff).alias("n_compared"),
+        F.count_if(F.col("got").isNull()).alias("n_missing"),
+        F.count_if(F.col("want").isNull()).alias("n_extra"),
         F.max(diff).alias("max_abs_diff"),
         F.min(
             F.when(diff.isNotNull(), F.struct((-diff).alias("d"), key.alias("key")))

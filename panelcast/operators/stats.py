@@ -84,15 +84,16 @@ def _moments(df: DataFrame, group: Column, value: str) -> DataFrame:
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     """One-way F statistic from per-group count, mean and variance."""
     g = _moments(df, F.col(group), value).where("n > 0")
+    # deviations of the group means from the mean of all, so that no large sums cancel
+    gap = F.col("m") - df.agg(F.avg(value)).scalar()
     within = F.sum(F.coalesce(F.col("v"), F.lit(0.0)) * (F.col("n") - 1))
     one = g.agg(
         F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("n"),
-        F.sum(F.col("n") * F.col("m")).alias("nm"),
-        F.sum(F.col("n") * F.col("m") * F.col("m")).alias("nmm"),
+        F.sum(F.col("n") * gap * gap).alias("ssb"),
         within.alias("ssw"),
     )
-    ssb = F.col("nmm") - F.col("nm") * F.col("nm") / F.col("n")
+    ssb = F.col("ssb")
     return one.select(
         (F.col("k") - 1).alias("df_between"),
         (F.col("n") - F.col("k")).alias("df_within"),
@@ -221,15 +222,22 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_a, column_b, corr) for each pair; NULL where a column is constant."""
-    matrix = correlation_matrix(df, columns)
-    rows = [
-        (columns[i], columns[j], None if np.isnan(matrix[i, j]) else float(matrix[i, j]))
-        for i, j in combinations(range(len(columns)), 2)
+    """(column_a, column_b, corr) for each pair; NULL where a column is constant.
+
+    One aggregate over the complete rows holds every pair; no job runs before it is asked.
+    """
+    pairs = list(combinations(columns, 2))
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+    one = rows.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    entries = [
+        F.struct(
+            F.lit(a).alias("column_a"),
+            F.lit(b).alias("column_b"),
+            F.when(~F.isnan(f"c{i}"), F.col(f"c{i}")).alias("corr"),
+        )
+        for i, (a, b) in enumerate(pairs)
     ]
-    return df.sparkSession.createDataFrame(
-        rows, "column_a string, column_b string, corr double"
-    )
+    return one.select(F.inline(F.array(*entries)))
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -23,12 +23,11 @@ from panelcast.operators import features as X
 from panelcast.plans import training
 from panelcast.sources import crosstab
 from panelcast.sources import panel as P
-from panelcast.sources.star import FIRST_MONTH, FIRST_OPEN_MONTH, monthly_panel, read_table
+from panelcast.sources.star import closed_months, last_closed_month, monthly_panel, read_table
 from panelcast.spec import SPLIT, TEST, TRAIN, PanelSpec
 
 SPEC = PanelSpec()
-TRAIN_END = "2001-04-01"
-LAST_MONTH = date(2001, 10, 1)
+HOLDOUT_MONTHS = 6
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,30 +42,47 @@ def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _panel(spark: SparkSession, folder: str) -> DataFrame:
+def _lazy_panel(spark: SparkSession, folder: str) -> DataFrame:
     return monthly_panel(spark, folder, SPEC)
 
 
+def _panel(spark: SparkSession, folder: str) -> DataFrame:
+    """All months, written: for plans with several branches."""
+    return materialise(_lazy_panel(spark, folder))
+
+
+def _closed(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole months only, for forecasts, their payloads and backtests."""
+    return materialise(closed_months(_lazy_panel(spark, folder), last_closed_month(spark, folder)))
+
+
+def train_end(spark: SparkSession, folder: str) -> str:
+    """The holdout is the last closed months of the data."""
+    last = last_closed_month(spark, folder)
+    month = last.year * 12 + last.month - 1 - HOLDOUT_MONTHS
+    return date(month // 12, month % 12 + 1, 1).isoformat()
+
+
 def _stamped(spark: SparkSession, folder: str) -> DataFrame:
-    return X.stamp_split(_panel(spark, folder), TRAIN_END, SPEC)
+    return X.stamp_split(_panel(spark, folder), train_end(spark, folder), SPEC)
 
 
 def _train_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _stamped(spark, folder).where(F.col(SPLIT) == TRAIN)
 
 
-def payload(panel: DataFrame) -> DataFrame:
-    """The panel with one deliberate violation of each contract rule."""
+def payload(panel: DataFrame, last: date) -> DataFrame:
+    """The panel up to ``last`` with one deliberate violation of each contract rule."""
 
     def is_(brand: str, zone: str | None = None):
         hit = F.col("brand") == brand
         return hit & (F.col("zone") == zone) if zone else hit
 
-    in_last = F.col("date") == F.lit(LAST_MONTH)
+    in_last = F.col("date") == F.lit(last)
     copies = F.when(is_("Brand#6", "MIDDLE EAST") & in_last, F.array(F.lit(1), F.lit(2)))
     return (
         panel.where(~is_("Brand#2", "EUROPE"))
-        .where(~(is_("Brand#3", "AFRICA") & (F.col("date") < F.lit(date(2001, 8, 1)))))
+        .where(~(is_("Brand#3", "AFRICA") & (F.col("date") < F.add_months(F.lit(last), -2))))
         .withColumns(
             {
                 "brand": F.when(is_("Brand#1", "ASIA"), "Brand#X").otherwise(F.col("brand")),
@@ -82,7 +98,7 @@ def payload(panel: DataFrame) -> DataFrame:
 
 
 def _payload(spark: SparkSession, folder: str) -> DataFrame:
-    return payload(_panel(spark, folder))
+    return payload(_closed(spark, folder), last_closed_month(spark, folder))
 
 
 # Sources
@@ -90,7 +106,7 @@ def _payload(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def panel_monthly(spark, folder):
-    return _panel(spark, folder)
+    return _lazy_panel(spark, folder)
 
 
 @query
@@ -122,7 +138,7 @@ def crosstab_roundtrip(spark, folder):
     blocks = [(m, m.upper()) for m in SPEC.metrics]
     blocks[1:1] = [("val_growth_ya", "% Grwth YA")]
     blocks[4:4] = [("vol_growth_ya", "% Grwth YA")]
-    months = crosstab.months_between(FIRST_MONTH, FIRST_OPEN_MONTH)
+    months = crosstab.months_of(panel, SPEC)
     wide = crosstab.to_crosstab(growth, blocks, months, SPEC)
     wide = wide.withColumn(" MAT TY", F.col(crosstab.month_label(months[-1])))
     kept = crosstab.drop_leakage(wide)
@@ -132,7 +148,7 @@ def crosstab_roundtrip(spark, folder):
 
 @query
 def segment_subset(spark, folder):
-    return P.segment_subset(_panel(spark, folder), ["ASIA", "EUROPE"], SPEC)
+    return P.segment_subset(_lazy_panel(spark, folder), ["ASIA", "EUROPE"], SPEC)
 
 
 @query
@@ -167,7 +183,7 @@ ROUNDED_FEATURES = ["d_l3", "rm6", "sd6", "zt_d1", "share_l1"]
 
 @query
 def calendar_features(spark, folder):
-    panel = _panel(spark, folder).select(*SPEC.key)
+    panel = _lazy_panel(spark, folder).select(*SPEC.key)
     return panel.withColumns(calendar_columns(F.col("date"), SPEC))
 
 
@@ -231,29 +247,34 @@ def feature_table(spark, folder):
 @query
 def training_frame(spark, folder):
     panel = _panel(spark, folder)
-    out = X.training_frame(panel, TRAIN_END, SPEC, encoding.fit_codes(panel, SPEC))
+    out = X.training_frame(panel, train_end(spark, folder), SPEC, encoding.fit_codes(panel, SPEC))
     cols = [*SPEC.key, F.col(SPLIT).alias("split"), "y", "ly_l1", "target_d", *SPEC.feature_order]
     return rounded(out.select(*cols), ["ly_l1", "target_d", *ROUNDED_FEATURES])
 
 
+@query
+def series_ids(spark, folder):
+    return X.transform(_panel(spark, folder), SPEC).select("series_id").groupBy("series_id").count()
+
+
 @query
 def target_month(spark, folder):
-    return X.target_month(_panel(spark, folder), SPEC)
+    return X.target_month(_closed(spark, folder), SPEC)
 
 
 @query
 def series_last(spark, folder):
-    return X.series_last(_payload(spark, folder), SPEC)
+    return X.series_last(_lazy_panel(spark, folder), SPEC)
 
 
 @query
 def extended_panel(spark, folder):
-    return X.extended_panel(_panel(spark, folder), SPEC)
+    return X.extended_panel(_closed(spark, folder), SPEC)
 
 
 @query
 def scoring_frame(spark, folder):
-    panel = _panel(spark, folder)
+    panel = _closed(spark, folder)
     out = X.scoring_frame(panel, SPEC, encoding.fit_codes(panel, SPEC))
     cols = [*SPEC.series, "target_month", "ly_l1", *SPEC.feature_order]
     return rounded(out.select(*cols), ["ly_l1", *ROUNDED_FEATURES])
@@ -293,9 +314,9 @@ def contract_nonpositive(spark, folder):
 
 @query
 def contract_unknown(spark, folder):
-    panel = _panel(spark, folder)
+    panel = _closed(spark, folder)
     codes = encoding.fit_codes(panel, SPEC)
-    summary = contract.series_summary(payload(panel), SPEC)
+    summary = contract.series_summary(payload(panel, last_closed_month(spark, folder)), SPEC)
     return contract.unknown_members(summary, codes.entity, "brand").unionByName(
         contract.unknown_members(summary, codes.segment, "zone")
     )
@@ -303,8 +324,8 @@ def contract_unknown(spark, folder):
 
 @query
 def contract_report(spark, folder):
-    panel = _panel(spark, folder)
-    return contract.contract_report(payload(panel), encoding.fit_codes(panel, SPEC), SPEC)
+    panel = _closed(spark, folder)
+    return contract.contract_report(payload(panel, last_closed_month(spark, folder)), encoding.fit_codes(panel, SPEC), SPEC)
 
 
 @query
@@ -312,6 +333,11 @@ def contract_ranges(spark, folder):
     return contract.fit_ranges(_stamped(spark, folder), SPEC)
 
 
+@query
+def contract_allowed(spark, folder):
+    return contract.fit_allowed(_stamped(spark, folder), SPEC)
+
+
 @query
 def contract_range_violations(spark, folder):
     return contract.range_violations(_stamped(spark, folder), SPEC)
@@ -328,7 +354,7 @@ def _forecast(df: DataFrame) -> DataFrame:
 
 
 def _ar1(spark, folder) -> DataFrame:
-    return B.forecast_ar1(_panel(spark, folder), TRAIN_END, SPEC)
+    return B.forecast_ar1(_closed(spark, folder), train_end(spark, folder), SPEC)
 
 
 @query
@@ -346,6 +372,16 @@ def forecast_with_total(spark, folder):
     return _forecast(reconcile.with_total(_ar1(spark, folder), SPEC))
 
 
+@query
+def totals_with_gaps(spark, folder):
+    """Totals and missing counts where some segment predictions are deliberately missing."""
+    gap = (F.col("zone") == "ASIA") & F.col("brand").isin("Brand#1", "Brand#2")
+    holes = _ar1(spark, folder).withColumn("prediction", F.when(~gap, F.col("prediction")))
+    totals = reconcile.reconcile_total(holes, SPEC).select("brand", "target_month", "prediction")
+    counts = reconcile.missing_segments(holes, SPEC)
+    return rounded(totals.join(counts, ["brand", "target_month"]), ["prediction"])
+
+
 @query
 def forecast_ranked(spark, folder):
     ranked = reconcile.forecast_ranked(reconcile.with_total(_ar1(spark, folder), SPEC), SPEC)
@@ -362,21 +398,21 @@ def forecast_summary(spark, folder):
 
 @query
 def fallback_forecast(spark, folder):
-    rows = B.fallback_forecast(_panel(spark, folder), SPEC)
+    rows = B.fallback_forecast(_closed(spark, folder), SPEC)
     return reconcile.tag(rows, "fallback", "none", contract_version=0)
 
 
 @query
 def forecast_envelope(spark, folder):
-    panel = _panel(spark, folder)
-    forecast = B.forecast_ar1(panel, TRAIN_END, SPEC)
+    panel = _closed(spark, folder)
+    forecast = B.forecast_ar1(panel, train_end(spark, folder), SPEC)
     return rounded(checks.forecast_envelope(forecast, panel, SPEC), ["level_ratio"])
 
 
 @query
 def parity_diff(spark, folder):
-    panel = _panel(spark, folder)
-    expected = reconcile.with_total(B.forecast_ar1(panel, TRAIN_END, SPEC), SPEC)
+    panel = _closed(spark, folder)
+    expected = reconcile.with_total(B.forecast_ar1(panel, train_end(spark, folder), SPEC), SPEC)
     got = B.fallback_forecast(panel, SPEC)
     return rounded(reconcile.parity_diff(got, expected, SPEC), ["max_abs_diff"])
 
@@ -392,7 +428,7 @@ def ar1_coefficients(spark, folder):
 
 
 def _frame(spark, folder) -> DataFrame:
-    return training.backtest_frame(_panel(spark, folder), TRAIN_END, SPEC)
+    return training.backtest_frame(_closed(spark, folder), train_end(spark, folder), SPEC)
 
 
 def _test_rows(spark, folder) -> DataFrame:
@@ -401,7 +437,7 @@ def _test_rows(spark, folder) -> DataFrame:
 
 @query
 def mase_scale(spark, folder):
-    cleaned = X.training_frame(_panel(spark, folder), TRAIN_END, SPEC)
+    cleaned = X.training_frame(_closed(spark, folder), train_end(spark, folder), SPEC)
     return rounded(E.mase_scale(cleaned, SPEC), ["scale"])
 
 
@@ -451,7 +487,9 @@ def eval_extended(spark, folder):
 
 @query
 def quality_gate(spark, folder):
-    metrics = E.evaluate(_frame(spark, folder), ["ar1", "naive"], SPEC)
+    metrics = E.evaluate(
+        _frame(spark, folder), ["ar1", "naive"], SPEC, [*E.METRICS, E.COVERAGE]
+    )
     return rounded(E.quality_gate(metrics, "ar1"), ["value"])
 
 
@@ -459,6 +497,17 @@ def _rows(spark, folder, candidates: list[str]) -> DataFrame:
     return E.candidate_rows(_test_rows(spark, folder), candidates, SPEC)
 
 
+@query
+def eval_with_gaps(spark, folder):
+    """Metrics and coverage where a candidate deliberately lacks predictions."""
+    frame = _frame(spark, folder).withColumn(
+        "partial", F.when(F.col("zone") != "ASIA", F.col("ar1"))
+    )
+    metrics = [*E.METRICS, E.COVERAGE]
+    out = E.evaluate(frame, ["partial", "naive"], SPEC, metrics)
+    return rounded(out, ["value"])
+
+
 @query
 def beats_naive(spark, folder):
     out = E.beats_naive(_rows(spark, folder, ["ar1", "naive"]), "ar1", spec=SPEC)
@@ -481,13 +530,13 @@ def entity_wmape(spark, folder):
 @query
 def cv_folds(spark, folder):
     train = _frame(spark, folder).where(F.col(SPLIT) == TRAIN).select(*SPEC.key)
-    return E.fold_sizes(E.expanding_folds(train, TRAIN_END, spec=SPEC), SPEC)
+    return E.fold_sizes(E.expanding_folds(train, train_end(spark, folder), spec=SPEC), SPEC)
 
 
 @query
 def cv_selection_naive(spark, folder):
     out = training.cross_validate(
-        _frame(spark, folder), TRAIN_END, ["naive", "seasonal_naive", "drift"], spec=SPEC
+        _frame(spark, folder), train_end(spark, folder), ["naive", "seasonal_naive", "drift"], spec=SPEC
     )
     return rounded(out, ["cv_wmape"])
 
@@ -502,15 +551,15 @@ def _gbt(codes):
 
 @query
 def backtest_gbt(spark, folder):
-    run = training.train_and_backtest(_panel(spark, folder), TRAIN_END, _gbt, SPEC, "gbt")
+    run = training.train_and_backtest(_closed(spark, folder), train_end(spark, folder), _gbt, SPEC, "gbt")
     return run.metrics
 
 
 @query
 def backtest_linear(spark, folder):
-    panel = _panel(spark, folder)
+    panel = _closed(spark, folder)
     codes = encoding.fit_codes(panel, SPEC)
-    frame = materialise(training.backtest_frame(panel, TRAIN_END, SPEC))
+    frame = materialise(training.backtest_frame(panel, train_end(spark, folder), SPEC))
     train = learners.fit_order(frame.where(F.col(SPLIT) == TRAIN), SPEC)
     scored = frame.where(F.col(SPLIT) == TEST)
     for name, lasso in (("ridge", False), ("lasso", True)):
@@ -522,8 +571,8 @@ def backtest_linear(spark, folder):
 @query
 def backtest_rf(spark, folder):
     run = training.train_and_backtest(
-        _panel(spark, folder),
-        TRAIN_END,
+        _closed(spark, folder),
+        train_end(spark, folder),
         lambda codes: learners.random_forest(codes, SPEC, numTrees=TREES, maxDepth=6),
         SPEC,
         "rf",
@@ -533,14 +582,14 @@ def backtest_rf(spark, folder):
 
 @query
 def forecast_gbt(spark, folder):
-    panel = _panel(spark, folder)
-    run = training.train_and_backtest(panel, TRAIN_END, _gbt, SPEC, "gbt")
+    panel = _closed(spark, folder)
+    run = training.train_and_backtest(panel, train_end(spark, folder), _gbt, SPEC, "gbt")
     return reconcile.with_total(learners.forecast_model(panel, run.model, SPEC), SPEC)
 
 
 @query
 def feature_importance(spark, folder):
-    run = training.train_and_backtest(_panel(spark, folder), TRAIN_END, _gbt, SPEC, "gbt")
+    run = training.train_and_backtest(_closed(spark, folder), train_end(spark, folder), _gbt, SPEC, "gbt")
     gain = learners.permutation_importance(run.model, run.test, SPEC)
     return learners.split_importance(run.model, SPEC).join(gain, "feature")
 
@@ -571,7 +620,7 @@ def target_outlier_flags(spark, folder):
 
 @query
 def scaled_features(spark, folder):
-    cleaned = X.training_frame(_panel(spark, folder), TRAIN_END, SPEC)
+    cleaned = X.training_frame(_panel(spark, folder), train_end(spark, folder), SPEC)
     names = SPEC.numeric_features
     return rounded(cleaning.scale_features(cleaned, names).select(*SPEC.key, *names), names)
 
@@ -625,7 +674,7 @@ def dickey_fuller(spark, folder):
 
 
 def _clean_train(spark, folder) -> DataFrame:
-    cleaned = X.training_frame(_panel(spark, folder), TRAIN_END, SPEC)
+    cleaned = X.training_frame(_panel(spark, folder), train_end(spark, folder), SPEC)
     return cleaned.where(F.col(SPLIT) == TRAIN)
 
 

@@ -8,12 +8,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.lineage import materialise
 from panelcast.operators.baselines import with_ar1, with_baselines
-from panelcast.operators.encoding import CodeMaps, fit_codes
+from panelcast.operators.encoding import CodeMaps, apply_codes, fit_codes
 from panelcast.operators.evaluate import (
     EXTENDED,
     candidate_rows,
@@ -34,7 +34,13 @@ from panelcast.operators.features import (
 )
 from panelcast.operators.learners import fit_order, predict_level
 from panelcast.sources.panel import drop_total
-from panelcast.sources.sinks import append_metrics, save_model, write_reference
+from panelcast.sources.sinks import (
+    append_metrics,
+    load_codes,
+    save_codes,
+    save_model,
+    write_reference,
+)
 from panelcast.spec import SPLIT, TEST, TRAIN, PanelSpec
 
 Learner = Callable[[CodeMaps], Pipeline]
@@ -58,6 +64,7 @@ class Backtest:
 
     model: PipelineModel
     codes: CodeMaps
+    frame: DataFrame
     test: DataFrame
     metrics: DataFrame
     gate: DataFrame
@@ -82,16 +89,25 @@ def train_and_backtest(
     model = learner(codes).fit(fit_order(frame.where(F.col(SPLIT) == TRAIN), spec))
     scored = predict_level(model, test, name)
     metrics = evaluate(scored, [name, "naive"], spec, EXTENDED)
-    return Backtest(model, codes, scored, metrics, quality_gate(metrics, name))
+    return Backtest(model, codes, frame, scored, metrics, quality_gate(metrics, name))
+
 
+def keep_run(run: Backtest, folder: str, run_id: str, spec: PanelSpec = PanelSpec()) -> None:
+    """All that another session needs to score, in ``folder``.
 
-def keep_run(run: Backtest, panel: DataFrame, train_end: str, folder: str, run_id: str,
-             spec: PanelSpec = PanelSpec()) -> None:
-    """Model in a directory of its own; metrics and verdicts appended; reference refreshed."""
+    The model and its code maps in directories of their own; metrics and verdicts appended;
+    the reference refreshed, with all model inputs, from the frame the run already wrote.
+    """
     save_model(run.model, f"{folder}/models/{run_id}")
+    save_codes(run.codes, f"{folder}/codes/{run_id}")
     append_metrics(run.metrics, f"{folder}/metrics", run_id)
     append_metrics(run.gate, f"{folder}/gates", run_id)
-    write_reference(backtest_frame(panel, train_end, spec), f"{folder}/reference")
+    write_reference(apply_codes(run.frame, run.codes, spec), f"{folder}/reference")
+
+
+def load_run(spark: SparkSession, folder: str, run_id: str) -> tuple[PipelineModel, CodeMaps]:
+    """What ``score_payload`` needs of a kept run."""
+    return PipelineModel.load(f"{folder}/models/{run_id}"), load_codes(spark, f"{folder}/codes/{run_id}")
 
 
 def random_search(

@@ -6,7 +6,8 @@ month. Metric labels repeat inside a block, so rows are named by position.
 
 from __future__ import annotations
 
-from datetime import date
+import re
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,9 @@ from panelcast.spec import PanelSpec
 
 MONTH_NAMES = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
 
-# Period columns whose window contains the target month.
-AGGREGATE_PERIODS = ("YEC", "QTR", "YTD", "MAT")
+# Names of the period columns whose window contains the target month. Only
+# whole names count, so a column that merely begins alike stays.
+AGGREGATE_PERIODS = re.compile(r"YEC ?\d{2}|QTRFC ?\d{4}|YTD( (TY|LY|YA))?|MAT( (TY|LY|YA))?")
 
 
 def month_label(d: date) -> str:
@@ -43,6 +45,14 @@ def months_between(first: date, end: date) -> list[date]:
     ]
 
 
+def months_of(panel: DataFrame, spec: PanelSpec = PanelSpec()) -> list[date]:
+    """Every month from the panel's first to its last."""
+    first, last = panel.agg(F.min(spec.date), F.max(spec.date)).first()
+    if first is None:
+        return []
+    return months_between(first, (last.replace(day=28) + timedelta(days=4)).replace(day=1))
+
+
 def trimmed(df: DataFrame) -> DataFrame:
     """Column names without surrounding blanks (some period columns carry one)."""
     return df.toDF(*[c.strip() for c in df.columns])
@@ -52,7 +62,7 @@ def drop_leakage(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Drop aggregate-period columns, or the given ones, and assert they are gone."""
     df = trimmed(df)
     if names is None:
-        names = [c for c in df.columns if c.upper().startswith(AGGREGATE_PERIODS)]
+        names = [c for c in df.columns if AGGREGATE_PERIODS.fullmatch(c.upper())]
     out = df.drop(*names)
     left = [c for c in out.columns if c in names]
     if left:
@@ -106,21 +116,35 @@ def require_constant_blocks(crosstab: DataFrame, metrics: list[str], row: str =
 
 
 def flatten_crosstab(
-    crosstab: DataFrame, metrics: list[str], spec: PanelSpec = PanelSpec(), row: str = "_row"
+    crosstab: DataFrame,
+    metrics: list[str],
+    spec: PanelSpec = PanelSpec(),
+    row: str = "_row",
+    derived: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per (entity, segment, month) with the metrics named by position.
 
-    Months come from the column labels; a month without any value is not a row, and an
-    error sentinel in a derived row is not a value.
+    Blocks that do not list their rows alike are refused before anything is named.
+    Months come from the column labels; a month without any value is not a row. Only rows
+    of ``derived`` metrics may hold error sentinels, which are no values; any other text
+    that is not a number fails the job.
     """
+    require_constant_blocks(crosstab, metrics, row)
     labels = {c: d for c in crosstab.columns if (d := month_of_label(c))}
     name = F.element_at(F.array(*[F.lit(m) for m in metrics]), _position(row))
     named = crosstab.select("BRAND", "ZONES", name.alias("metric"), *labels)
+
+    def value(c: str) -> Column:
+        number = F.col(c).try_cast("double")
+        blank = F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True))
+        wrong = F.concat(F.lit("not a number: "), F.col("metric"), F.lit(f" in {c}"))
+        return F.when(
+            number.isNull() & ~blank & ~F.col("metric").isin(*derived),
+            F.raise_error(wrong).cast("double"),
+        ).otherwise(number)
+
     cells = F.array(
-        *[
-            F.struct(F.lit(d).alias("date"), F.col(c).try_cast("double").alias("value"))
-            for c, d in labels.items()
-        ]
+        *[F.struct(F.lit(d).alias("date"), value(c).alias("value")) for c, d in labels.items()]
     )
     long = named.select("BRAND", "ZONES", "metric", F.inline(cells)).where("value IS NOT NULL")
     wide = long.groupBy("BRAND", "ZONES", "date").pivot("metric", metrics).agg(F.first("value"))
@@ -138,7 +162,10 @@ def to_crosstab(
     months: list[date],
     spec: PanelSpec = PanelSpec(),
 ) -> DataFrame:
-    """Panel to cross-tab; ``labelled`` gives (column, label shown) in block order."""
+    """Panel to cross-tab; ``labelled`` gives (column, label shown) in block order.
+
+    A row of a month outside ``months`` fails the job.
+    """
     cells = F.array(
         *[
             F.struct(
@@ -151,6 +178,8 @@ def to_crosstab(
     at = {
         month_label(d): F.max(F.when(F.col(spec.date) == F.lit(d), F.col("value"))) for d in months
     }
+    unknown = F.raise_error(F.lit("month without a column")).cast("string")
+    entity = F.when(F.col(spec.date).isin(months), F.col(spec.entity)).otherwise(unknown)
     return long.groupBy(
-        F.col(spec.entity).alias("BRAND"), F.col(spec.segment).alias("ZONES"), "_row", "METRICS"
+        entity.alias("BRAND"), F.col(spec.segment).alias("ZONES"), "_row", "METRICS"
     ).agg(*[c.alias(label) for label, c in at.items()])

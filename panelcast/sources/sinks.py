@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.operators.encoding import CodeMaps
 from panelcast.spec import SPLIT, TRAIN
 
 
@@ -29,3 +30,13 @@ def append_metrics(metrics: DataFrame, path: str, run_id: str) -> None:
 def save_model(model: PipelineModel, path: str) -> None:
     """A fitted pipeline in a new directory; an existing version is never replaced."""
     model.write().save(path)
+
+
+def save_codes(codes: CodeMaps, path: str) -> None:
+    """The vocabularies of a model, in a new directory beside it."""
+    codes.entity.write.parquet(f"{path}/entity")
+    codes.segment.write.parquet(f"{path}/segment")
+
+
+def load_codes(spark: SparkSession, path: str) -> CodeMaps:
+    return CodeMaps(spark.read.parquet(f"{path}/entity"), spark.read.parquet(f"{path}/segment"))

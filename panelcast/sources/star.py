@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.columns import month_start
 from panelcast.functions.lineage import materialise
 from panelcast.spec import PanelSpec
 
-# The last raw month of the source is partial and is left out.
-FIRST_MONTH = date(1995, 1, 1)
-FIRST_OPEN_MONTH = date(2001, 11, 1)
-
 # Declared, so that planning reads no file footers; only the columns used.
 TABLES = {
     "lineitem": "l_partkey bigint, l_suppkey bigint, l_quantity double, "
@@ -34,60 +30,73 @@ def _hundredths(c: str) -> Column:
     return F.rint(F.col(c) * 100.0).cast("bigint")
 
 
-def panel_cells(
-    spark: SparkSession, folder: str, spec: PanelSpec, before: date = FIRST_OPEN_MONTH
-) -> DataFrame:
+def last_closed_month(spark: SparkSession, folder: str) -> date:
+    """Last month that the lines cover to its end, read from the latest shipping date.
+
+    Only what needs whole months (splits, forecasts) asks for it; panels keep every month.
+    """
+    latest = read_table(spark, folder, "lineitem").agg(F.max("l_shipdate").cast("date")).first()[0]
+    if latest is None:
+        raise ValueError("there are no lines")
+    following = latest + timedelta(days=1)
+    return (following.replace(day=1) - timedelta(days=1)).replace(day=1)
+
+
+def closed_months(panel: DataFrame, last: date, spec: PanelSpec = PanelSpec()) -> DataFrame:
+    """The panel up to a given month, for steps that would misread a month still open."""
+    return panel.where(F.col(spec.date) <= F.lit(last))
+
+
+def _known(value: str, what: str) -> Column:
+    """The value; a row without it fails the job instead of going missing."""
+    return F.coalesce(F.col(value), F.raise_error(F.lit(f"line without {what}")).cast("string"))
+
+
+def panel_cells(spark: SparkSession, folder: str, spec: PanelSpec) -> DataFrame:
     """Order lines reduced to (entity, segment, month) sums; a store is a supplier.
 
-    One scan of the lines. They are summed per (entity, store, month) first, with
-    map-side combining, so a store, part or entity with very many lines reaches the
-    second shuffle as at most one row per entity and month. Store totals then come
-    from a window whose group is the entities one store sold in one month.
+    One scan of the lines, all of them. They are summed per (entity, store, month) first,
+    with map-side combining, and written: a store, part or entity with very many lines is
+    from there on at most one row per entity and month. Store totals are an aggregate of
+    those rows joined back, so a store that sells very many entities is no window group.
+    Lines of an unknown part or store fail the job.
     """
     # Money and quantities have two decimals: whole hundredths add exactly, and a sum
     # that left 64 bits would fail the job instead of losing digits.
     net = _hundredths("l_extendedprice") * (F.lit(100) - _hundredths("l_discount"))
-    lines = (
-        read_table(spark, folder, "lineitem")
-        .where(F.col("l_shipdate") < F.lit(before))
-        .select(
-            "l_partkey",
-            F.col("l_suppkey").alias("store"),
-            month_start(F.col("l_shipdate").cast("date")).alias(spec.date),
-            net.alias("v"),
-            _hundredths("l_quantity").alias("q"),
-        )
+    lines = read_table(spark, folder, "lineitem").select(
+        "l_partkey",
+        F.col("l_suppkey").alias("store"),
+        month_start(F.col("l_shipdate").cast("date")).alias(spec.date),
+        net.alias("v"),
+        _hundredths("l_quantity").alias("q"),
     )
     parts = read_table(spark, folder, "part").select(
-        F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias(spec.entity)
+        F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("_brand")
     )
 
-    sold = (
-        lines.join(parts, "l_partkey")
-        .groupBy(spec.entity, "store", spec.date)
+    sold = materialise(
+        lines.join(parts, "l_partkey", "left")
+        .groupBy(_known("_brand", "a part").alias(spec.entity), "store", spec.date)
         .agg(F.sum("v").alias("v"), F.sum("q").alias("q"), F.count(F.lit(1)).alias("n"))
     )
-    store_month = Window.partitionBy("store", spec.date)
-    with_store = sold.withColumns(
-        {
-            "store_v": F.sum("v").over(store_month),
-            # exactly one row per (store, month) counts the store for its segment
-            "counts_store": (F.min(spec.entity).over(store_month) == F.col(spec.entity)).cast(
-                "int"
-            ),
-        }
+    of_store = sold.groupBy("store", spec.date).agg(
+        F.sum("v").alias("store_v"), F.min(spec.entity).alias("_first")
     )
+    # exactly one row per (store, month) counts the store for its segment
+    counts = (F.col("_first") == F.col(spec.entity)).cast("int")
+    with_store = sold.join(of_store, ["store", spec.date]).withColumn("counts_store", counts)
     # one dimension at a time: each is a file of known size, broadcast only if small
     stores = read_table(spark, folder, "supplier").withColumnRenamed("s_suppkey", "store")
     nations = read_table(spark, folder, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
     regions = read_table(spark, folder, "region").select(
-        F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias(spec.segment)
+        F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("_region")
     )
     return (
-        with_store.join(stores, "store")
-        .join(nations, "s_nationkey")
-        .join(regions, "n_regionkey")
-        .groupBy(*spec.key)
+        with_store.join(stores, "store", "left")
+        .join(nations, "s_nationkey", "left")
+        .join(regions, "n_regionkey", "left")
+        .groupBy(spec.entity, _known("_region", "a region").alias(spec.segment), spec.date)
         .agg(
             F.sum("v").alias("v"),
             F.sum("q").alias("q"),
@@ -100,17 +109,14 @@ def panel_cells(
 
 
 def monthly_panel(
-    spark: SparkSession,
-    folder: str,
-    spec: PanelSpec = PanelSpec(),
-    before: date = FIRST_OPEN_MONTH,
+    spark: SparkSession, folder: str, spec: PanelSpec = PanelSpec()
 ) -> DataFrame:
-    """The panel as a written table, so every branch of a later plan is a plain scan.
+    """The panel of all months, from the written cells; not written itself.
 
-    The cells are written first: the segment sums and the cells themselves both read
-    them, and the lines are scanned once.
+    A plan with several branches should write it first; one that reads it once computes
+    only the columns it uses.
     """
-    cells = materialise(panel_cells(spark, folder, spec, before))
+    cells = panel_cells(spark, folder, spec)
     segments = cells.groupBy(spec.segment, spec.date).agg(
         F.sum("v").alias("zv"), F.sum("new_stores").alias("zs")
     )
@@ -134,4 +140,4 @@ def monthly_panel(
     panel = cells.join(segments, [spec.segment, spec.date]).select(
         *spec.key, *[expr.alias(name) for name, expr in metrics.items()]
     )
-    return materialise(panel)
+    return panel

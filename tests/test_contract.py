@@ -106,6 +106,13 @@ def test_ranges_and_violations(spark, rows):
     assert got["brand"]["n_allowed"] == 5 and got["zone"]["n_allowed"] == 2
     assert got["sah"]["max_value"] == max(r["sah"] for r in train)
     assert not got["sah"]["nullable"] and got["sah"]["dtype"] == "double"
+    assert got["date"]["dtype"] == "date" and got["sah"]["n_allowed"] is None
+    allowed = C.fit_allowed(stamped).where("column_name = 'zone'").collect()
+    assert sorted(r["value"] for r in allowed) == ["east", "west"]
+    holes = stamped.withColumn("zone", F.when(F.col("zone") != "west", F.col("zone")))
+    got = {r["column_name"]: r for r in C.fit_ranges(holes).collect()}
+    assert got["zone"]["nullable"] and not got["zone"]["required"] and got["zone"]["n_allowed"] == 1
+    assert got["brand"]["required"] and not got["brand"]["nullable"]
     outside = {r["column_name"]: r for r in C.range_violations(stamped).collect()}
     assert outside["sah"]["n_above"] >= 1 and outside["sah"]["n_below"] >= 1
 

@@ -45,6 +45,8 @@ def test_metrics_at_both_grains(spark):
     sst = sum((y - mean) ** 2 for y in (10, 20, 10, 5))
     assert got["r2"] == pytest.approx(1 - 17 / sst)
 
+MONTH_ONE = date(2020, 1, 1)
+
 
 def gate(spark, model, naive):
     data = [("m", k, v) for k, v in model.items()] + [("naive", k, v) for k, v in naive.items()]
@@ -53,14 +55,40 @@ def gate(spark, model, naive):
 
 
 def test_gate_boundaries(spark):
-    got = gate(spark, {"ai_brand_wmape": 6.0, "mase": 1.5}, {"ai_brand_wmape": 7.5, "mase": 1.5})
+    naive = {"ai_brand_wmape": 7.5, "mase": 1.5, "coverage": 1.0}
+    got = gate(spark, {"ai_brand_wmape": 6.0, "mase": 1.5, "coverage": 1.0}, naive)
     assert got == {
         "ai_brand_wmape": (6.0, True),
         "vs_naive": (0.8, True),
         "naive_rel_mase": (1.0, False),
+        "coverage": (1.0, True),
     }
 
 
+def test_a_candidate_that_picks_its_rows_is_compared_on_them_and_fails_the_gate(spark):
+    rows = scored(spark).where("__split = 'test'").withColumn("naive", F.col("y") * 1.5)
+    picky = rows.withColumn("picky", F.when(F.col("brand") == "b", F.col("y") * 1.01))
+    metrics = E.evaluate(picky, ["picky", "naive"], SPEC, [*E.METRICS, E.COVERAGE])
+    got = {(r["candidate"], r["metric"]): r["value"] for r in metrics.collect()}
+    share = rows.where("brand = 'b'").count() / rows.count()
+    assert got["picky", "coverage"] == pytest.approx(share) and got["naive", "coverage"] == 1.0
+    # both on the rows that both predict
+    assert got["picky", "zone_wmape"] == pytest.approx(1.0)
+    assert got["naive", "zone_wmape"] == pytest.approx(50.0)
+    gates = {r["gate"]: r["passed"] for r in E.quality_gate(metrics, "picky").collect()}
+    assert gates["vs_naive"] and not gates["coverage"]
+
+
+def test_squared_error_keeps_its_digits_far_from_zero(spark):
+    base = 1e9
+    data = [("a", "e", MONTH_ONE, base + i, base + i + 0.5 * (-1) ** i, 1.0) for i in range(10)]
+    rows = spark.createDataFrame(
+        data, "brand string, zone string, date date, y double, pred double, scale double"
+    ).withColumns({"candidate": F.lit("p"), "covered": F.lit(True)})
+    got = E.score(rows).head()
+    assert got["r2"] == pytest.approx(1 - 10 * 0.25 / 82.5, rel=1e-9)
+
+
 def test_gate_without_a_value_does_not_pass(spark):
     got = gate(spark, {"ai_brand_wmape": 1.0}, {"ai_brand_wmape": 7.5, "mase": 1.5})
     assert got["naive_rel_mase"] == (None, False)

@@ -6,7 +6,6 @@ from datetime import date
 
 import pytest
 from conftest import ENTITIES, SPEC, frame, make_rows
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from panelcast.functions.lineage import materialise
@@ -29,7 +28,7 @@ def run(panel):
 
 def test_backtest_reports_model_and_naive(run):
     got = {(r["candidate"], r["metric"]): r["value"] for r in run.metrics.collect()}
-    assert len(got) == 10 and all(v is not None for v in got.values())
+    assert len(got) == 18 and all(v is not None for v in got.values())
     gate = {r["gate"]: r["value"] for r in run.gate.collect()}
     assert gate["vs_naive"] == pytest.approx(
         got["gbt", "ai_brand_wmape"] / got["naive", "ai_brand_wmape"]
@@ -79,16 +78,22 @@ def test_same_run_twice_and_any_column_order_gives_the_same_forecast(run, panel)
     assert values(run.model, panel.select(*reversed(panel.columns))) == first
 
 
-def test_kept_run_can_be_loaded_and_is_never_overwritten(spark, tmp_path, run, panel):
+def test_kept_run_scores_from_its_folder_alone(spark, tmp_path, run, panel):
     folder = str(tmp_path / "runs")
-    training.keep_run(run, panel, END, folder, "r1")
+    training.keep_run(run, folder, "r1")
     with pytest.raises(Exception, match="already exists"):
-        training.keep_run(run, panel, END, folder, "r1")
-    loaded = PipelineModel.load(f"{folder}/models/r1")
-    a = learners.forecast_model(panel, loaded).agg(F.sum("prediction")).head()[0]
-    b = learners.forecast_model(panel, run.model).agg(F.sum("prediction")).head()[0]
-    assert a == pytest.approx(b)
-    assert spark.read.parquet(f"{folder}/gates").where("run_id = 'r1'").count() == 3
+        training.keep_run(run, folder, "r1")
+    model, codes = training.load_run(spark, folder, "r1")
+    texts = panel.withColumn("date", F.date_format(F.date_add("date", 9), "yyyy-MM-dd"))
+    log = f"{folder}/log"
+    got = score_payload(texts, model, codes, "v1", log=log, day="2020-01-05")
+    want = score_payload(panel, run.model, run.codes, "v1")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    assert spark.read.json(log).count() == want.count()
+    assert spark.read.parquet(f"{folder}/gates").where("run_id = 'r1'").count() == 4
+    reference = spark.read.parquet(f"{folder}/reference")
+    assert set(SPEC.feature_order) <= set(reference.columns)
+    assert reference.where("brand_code IS NULL OR zone_code IS NULL").count() == 0
 
 
 def test_unknown_entity_cannot_be_scored(spark, run):
@@ -106,16 +111,19 @@ def test_linear_learners_fit(run, panel):
         assert out.where("p > 0").count() == out.count() > 0
 
 
-def test_shuffle_permutes_inside_each_month_even_when_split(run):
+def test_shuffle_permutes_inside_each_month(run):
     rows = run.test.select(*SPEC.key, "sah_l1")
-    for block_rows in (100_000, 4):
-        out = learners.shuffled_within_month(rows, ["sah_l1"], block_rows=block_rows).collect()
-        assert len(out) == rows.count()
-        months = {r["date"] for r in out}
-        for m in months:
-            mine = [r for r in out if r["date"] == m]
-            assert sorted(r["sah_l1"] for r in mine) == sorted(r["sah_l1__s"] for r in mine)
-    assert any(r["sah_l1"] != r["sah_l1__s"] for r in out)
+    out = learners.shuffled_within_month(rows, ["sah_l1"]).collect()
+    assert len(out) == rows.count()
+    for m in {r["date"] for r in out}:
+        mine = [r for r in out if r["date"] == m]
+        assert sorted(r["sah_l1"] for r in mine) == sorted(r["sah_l1__s"] for r in mine)
+        assert all(r["sah_l1"] != r["sah_l1__s"] for r in mine)
+
+
+def test_fit_layout_does_not_depend_on_the_number_of_rows(run):
+    for rows in (run.frame, run.frame.limit(3)):
+        assert learners.fit_order(rows, parts=3).count() == rows.count()
 
 
 def test_importances_cover_every_input(run):

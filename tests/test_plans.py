@@ -11,8 +11,9 @@ from panelcast.functions.lineage import materialise
 from panelcast.operators import evaluate as E
 from panelcast.operators import features as X
 from panelcast.operators.baselines import forecast_ar1
-from panelcast.operators.reconcile import with_total
+from panelcast.operators.reconcile import forecast_ranked, with_total
 from panelcast.plans.training import backtest_frame
+from panelcast.spec import PanelSpec
 
 
 def plan_of(df) -> str:
@@ -29,9 +30,23 @@ def by_series(plan: str) -> int:
 
 
 def test_whole_backtest_shuffles_the_panel_once_by_series(stored):
-    plan = plan_of(E.evaluate(backtest_frame(stored, "2019-06-01"), ["ar1", "naive"]))
+    rows = E.candidate_rows(backtest_frame(stored, "2019-06-01"), ["ar1", "naive"], PanelSpec())
+    plan = plan_of(rows)
     assert by_series(plan) == 1
-    assert plan.count("FileScan") == 2  # the rows, and the cross-section sums
+    assert plan.count("FileScan") == 2  # the rows, and the written cross-section sums
+
+
+def test_no_panel_shuffle_on_few_keys_when_totals_are_too_large_to_broadcast(spark, stored):
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(conf)
+    try:
+        spark.conf.set(conf, "-1")
+        for df in (X.transform(stored), forecast_ranked(with_total(forecast_ar1(stored, "2019-06-01")))):
+            plan = plan_of(df)
+            assert not re.search(r"hashpartitioning\(zone#\d+, (date#\d+, )?\d+\)", plan)
+            assert re.search(r"hashpartitioning\(zone#\d+, (date#\d+, )?_salt#\d+", plan)
+    finally:
+        spark.conf.set(conf, before)
 
 
 def test_forecast_with_totals_reads_the_panel_once(stored):

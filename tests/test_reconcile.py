@@ -62,6 +62,28 @@ def test_summary(spark):
     assert got["largest_entity"] == "a"
 
 
+def test_a_missing_segment_makes_the_total_missing(spark):
+    holes = forecast(spark, SMALL).withColumn(
+        "prediction", F.when(F.expr("NOT (brand = 'a' AND zone = 'w')"), F.col("prediction"))
+    )
+    for totals in (R.reconcile_total(holes), R.with_total(holes)):
+        got = {r["brand"]: r for r in totals.where(F.col("zone") == SPEC.total_label).collect()}
+        assert got["a"]["prediction"] is None and got["a"]["pct_change"] is None
+        assert got["a"]["last_actual"] == 40.0 and got["b"]["prediction"] == 38.0
+    counts = {r["brand"]: (r["n_segments"], r["n_missing"]) for r in R.missing_segments(holes).collect()}
+    assert counts == {"a": (2, 1), "b": (2, 0)}
+    assert R.forecast_summary(R.with_total(holes)).head()["total_prediction"] is None
+
+
+def test_parity_counts_missing_predictions(spark):
+    want = forecast(spark, SMALL)
+    nothing = want.withColumn("prediction", F.lit(None).cast("double"))
+    got = R.parity_diff(nothing, want).head()
+    assert (got["n_missing"], got["n_compared"], got["within_tolerance"]) == (4, 0, False)
+    later = want.withColumn("target_month", F.add_months("target_month", 1))
+    assert R.parity_diff(later, want).head()["n_extra"] == 4
+
+
 def test_parity(spark):
     want = forecast(spark, SMALL)
     same = R.parity_diff(want, want).head()

@@ -21,6 +21,8 @@ from panelcast.sources.panel import read_panel
 
 BLOCK = ["value_lakhs", "% Grwth YA", *SPEC.exog[:4], "% Grwth YA", *SPEC.exog[4:]]
 NAMES = ["value_lakhs", "val_growth", *SPEC.exog[:4], "vol_growth", *SPEC.exog[4:]]
+DERIVED = ("val_growth", "vol_growth")
+OTHERS = ["MATERIAL_COST", "QTR_TARGET_ID", "YTD_ID"]
 
 
 def write_crosstab(path, rows, swap=False):
@@ -76,7 +78,10 @@ def test_crosstab_is_named_by_position(spark, tmp_path, rows):
     kept = T.drop_leakage(raw)
     assert not {"YTD TY", "MAT LY"} & set(kept.columns)
     T.require_constant_blocks(kept, NAMES)
-    flat = T.drop_leakage(T.flatten_crosstab(kept, NAMES), ["val_growth", "vol_growth"])
+    assert T.drop_leakage(raw.withColumns({c: F.lit(1) for c in OTHERS})).columns == [*kept.columns, *OTHERS]
+    with pytest.raises(Exception, match="not a number: val_growth"):
+        T.flatten_crosstab(kept, NAMES).collect()
+    flat = T.drop_leakage(T.flatten_crosstab(kept, NAMES, derived=DERIVED), list(DERIVED))
     got = {(r["brand"], r["zone"], r["date"]): r for r in flat.collect()}
     assert len(got) == len(gappy)
     for r in gappy:
@@ -90,11 +95,19 @@ def test_crosstab_with_a_reordered_block_is_reported(spark, tmp_path, rows):
     found = T.block_violations(T.read_crosstab(spark, path), NAMES).collect()
     assert {(r["problem"], r["place"]) for r in found} == {("label", "1"), ("label", "3")}
     with pytest.raises(ValueError, match="metric blocks differ: label at"):
-        T.require_constant_blocks(T.read_crosstab(spark, path), NAMES)
+        T.flatten_crosstab(T.read_crosstab(spark, path), NAMES)
     short = T.block_violations(T.read_crosstab(spark, path), NAMES[:-1]).where("problem = 'size'")
     assert short.count() == len(ENTITIES) * len(SEGMENTS)
 
 
+def test_a_month_without_a_column_fails_the_job(panel):
+    labelled = [(m, m.upper()) for m in SPEC.metrics]
+    assert T.months_of(panel) == MONTHS
+    assert T.to_crosstab(panel, labelled, MONTHS).count() == 10 * len(labelled)
+    with pytest.raises(Exception, match="month without a column"):
+        T.to_crosstab(panel, labelled, MONTHS[:-1]).collect()
+
+
 def test_label_cleaning(spark):
     df = spark.createDataFrame([("  dark   brown\tbar ",)], "x string")
     assert df.select(C.standard_label("x")).head()[0] == "DARK BROWN BAR"
