@@ -15,10 +15,6 @@ from panelcast.llm.common import in_fold, labelled, read
 NEAR = ngram_join.Rule(words=5, num=80, den=100)
 
 
-def _columns(docs: DataFrame, *columns: str) -> DataFrame:
-    return docs.select(*columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the n-gram classifier scores 0.5 or more.
 
@@ -26,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     get the score of a text without features.
     """
     labels = read(spark, sf_dir, "labels", "doc_id", "toxic").where(in_fold("doc_id", 5) != 0)
-    model = toxicity.fit(labelled(_columns(docs, "doc_id", "text"), labels))
+    model = toxicity.fit(labelled(docs.select("doc_id", "text"), labels, "toxic"))
     return toxicity.keep_clean(docs, model)
 
 
@@ -36,7 +32,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Trusted are the documents labelled with quality 1. Null and empty texts go.
     """
     labels = read(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1")
-    trusted = labelled(_columns(docs, "doc_id", "text", "lang"), labels.select("doc_id").distinct())
+    trusted = labelled(docs.select("doc_id", "text", "lang"), labels, "quality")
     model, limits = quality.fit(trusted)
     return quality.judged(docs, model, limits).where("keep").select(*docs.columns)
 

@@ -78,86 +78,124 @@ def hash_share(column: str, share: Column, seed: int = 0) -> Column:
     return unit < share
 
 
-# A Bloom filter of fixed size: what is broadcast is 2 MB whatever the input is.
-# It only thins out rows before an exact join; a full one thins out nothing.
-BLOOM_BITS = 1 << 24
+# A Bloom filter of bounded size: 16 bits a key, at most 16 MB whatever the input is. It
+# only thins out rows before an exact decision; a full one thins out nothing.
+BLOOM_MOST = 27  # log2 of the bits
 BLOOM_HASHES = 3
+BLOOM_BLOCK = 1 << 12  # 64-bit words
 
 
-def _bloom_slots(keys: np.ndarray) -> list[np.ndarray]:
+def _bloom_slots(keys: np.ndarray, log2: int) -> list[np.ndarray]:
     h = keys.astype(np.uint64)
     out = []
     for i in range(BLOOM_HASHES):
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * i)
-        out.append((h >> np.uint64(40)).astype(np.int64))
+        out.append((h >> np.uint64(64 - log2)).astype(np.int64))
     return out
 
 
-def bloom(df: DataFrame, key: str) -> bytes:
-    """The fixed-size filter over a long column; each task sends compressed blocks of bits."""
-    block = 1 << 15  # bytes
+class Bloom:
+    """Which keys of a long column may be there."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.log2 = len(words).bit_length() + 5
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        """For each key, False only if it was surely not marked."""
+        found = np.ones(len(keys), dtype=np.bool_)
+        for slots in _bloom_slots(keys, self.log2):
+            found &= (self.words[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return found
+
+
+def bloom(df: DataFrame, key: str) -> Bloom:
+    """The filter over the non-null values; tasks send compressed blocks of its bits."""
+    n = df.select(key).count()
+    log2 = min(BLOOM_MOST, max(18, (16 * n).bit_length()))
 
     def mark(batches):
-        bits = np.zeros(BLOOM_BITS, dtype=np.bool_)
+        words = np.zeros(1 << (log2 - 6), np.uint64)
         for batch in batches:
             keys = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
-            for slots in _bloom_slots(keys):
-                bits[slots] = True
-        packed = np.packbits(bits).reshape(-1, block)
-        at = np.flatnonzero(packed.any(axis=1))
+            for slots in _bloom_slots(keys, log2):
+                np.bitwise_or.at(words, slots >> 6, np.uint64(1) << (slots & 63).astype(np.uint64))
+        blocks = words.reshape(-1, min(BLOOM_BLOCK, len(words)))
+        at = np.flatnonzero(blocks.any(axis=1))
+        data = [zlib.compress(blocks[i].tobytes(), 1) for i in at]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(at.astype(np.int32)),
-                pa.array([zlib.compress(packed[i].tobytes(), 1) for i in at], pa.binary()),
-            ],
-            ["at", "bits"],
+            [pa.array(at.astype(np.int32)), pa.array(data, pa.binary())], ["at", "bits"]
         )
 
     def unite(table: pa.Table) -> pa.Table:
-        bits = np.zeros(block, dtype=np.uint8)
+        united = 0
         for value in table.column("bits"):
-            bits |= np.frombuffer(zlib.decompress(value.as_py()), dtype=np.uint8)
-        return pa.table({"at": table.column("at")[:1], "bits": [zlib.compress(bits.tobytes(), 1)]})
+            united = np.frombuffer(zlib.decompress(value.as_py()), np.uint64) | united
+        return pa.table(
+            {"at": table.column("at")[:1], "bits": [zlib.compress(united.tobytes(), 1)]}
+        )
 
     parts = df.select(key).mapInArrow(mark, "at int, bits binary")
-    rows = parts.groupBy("at").applyInArrow(unite, "at int, bits binary").collect()
-    whole = bytearray(BLOOM_BITS // 8)
-    for row in rows:
-        whole[row["at"] * block : (row["at"] + 1) * block] = zlib.decompress(row["bits"])
-    return bytes(whole)
-
+    words = np.zeros(1 << (log2 - 6), np.uint64)
+    size = min(BLOOM_BLOCK, len(words))
+    for row in parts.groupBy("at").applyInArrow(unite, "at int, bits binary").collect():
+        block = np.frombuffer(zlib.decompress(row["bits"]), np.uint64)
+        words[row["at"] * size : (row["at"] + 1) * size] = block
+    return Bloom(words)
 
-def may_hold(whole: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """For each key, False only if it was surely not marked; ``whole`` as uint8."""
-    found = np.ones(len(keys), dtype=np.bool_)
-    for slots in _bloom_slots(keys):
-        found &= (whole[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
-    return found
 
-
-def thin_out(df: DataFrame, key: str, filter_bits: bytes) -> DataFrame:
+def thin_out(df: DataFrame, key: str, marked: Bloom) -> DataFrame:
     """Rows whose key may be in the filter; rows with a null key go."""
-    shared = df.sparkSession.sparkContext.broadcast(filter_bits)
+    shared = df.sparkSession.sparkContext.broadcast(marked)
 
     def keep(batches):
-        whole = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
             keys = batch.column(key)
-            valid = keys.is_valid().to_numpy(zero_copy_only=False)
-            found = may_hold(whole, keys.fill_null(0).to_numpy(zero_copy_only=False)) & valid
-            yield batch.filter(pa.array(found))
+            found = shared.value.may_hold(keys.fill_null(0).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(found & keys.is_valid().to_numpy(zero_copy_only=False)))
 
     return arrow_pass(df, keep, df.schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) that have a row in ``labels`` (doc_id and more), joined.
+FALSE_MOST = 1 << 20  # ids that a filter admits wrongly and that are broadcast, 8 MB
+
 
-    The texts of other documents do not cross the network: a fixed-size filter over
-    the labelled ids removes most of them before the join decides exactly.
+def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """Rows of ``docs`` (doc_id and more) that have a label, with it; exact.
+
+    ``labels`` has doc_id and a column of a few integer values. For each value a filter of
+    bounded size goes to the scan, with the exact list of the ids of ``docs`` that it would
+    admit wrongly, found by a join of the ids alone: so texts do not cross the network.
+    Should that list exceed ``FALSE_MOST``, the filtered rows are joined instead. Null ids
+    and labels take no part; an id with two labels gives a row for each.
     """
-    slim = thin_out(docs, "doc_id", bloom(labels, "doc_id"))
-    return slim.join(labels, "doc_id")
+    labels = labels.select("doc_id", F.col(label).cast("long").alias(label)).na.drop().distinct()
+    tests = []
+    for row in labels.select(label).distinct().orderBy(label).collect():
+        ids = labels.where(F.col(label) == row[0]).select("doc_id")
+        marked = bloom(ids, "doc_id")
+        admitted = thin_out(docs.select("doc_id"), "doc_id", marked)
+        wrong = admitted.join(ids, "doc_id", "left_anti").distinct().limit(FALSE_MOST + 1).toArrow()
+        if wrong.num_rows > FALSE_MOST:
+            return thin_out(docs, "doc_id", bloom(labels, "doc_id")).join(labels, "doc_id")
+        tests.append((row[0], marked, np.sort(wrong.column(0).to_numpy())))
+    shared = docs.sparkSession.sparkContext.broadcast(tests)
+
+    def keep(batches):
+        for batch in batches:
+            ids = batch.column("doc_id")
+            keys = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            valid = ids.is_valid().to_numpy(zero_copy_only=False)
+            for value, marked, wrong in shared.value:
+                found = marked.may_hold(keys) & valid
+                found &= ~np.isin(keys, wrong)
+                rows = batch.filter(pa.array(found))
+                column = pa.array(np.full(rows.num_rows, value, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, column], [*rows.schema.names, label]
+                )
+
+    return arrow_pass(docs, keep, docs.withColumn(label, F.lit(0).cast("long")).schema)
 
 
 # Sums over a large fixed range of counters, kept as blocks.
@@ -195,6 +233,7 @@ def sum_counters(rows: DataFrame, kinds: int, size: int) -> np.ndarray:
 
 
 __all__ = [
+    "Bloom",
     "arrow_pass",
     "bloom",
     "counter_rows",

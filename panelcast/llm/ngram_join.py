@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import arrow_pass, bloom, materialise, may_hold, texts, utf8
+from panelcast.llm.common import arrow_pass, bloom, materialise, texts, utf8
 from panelcast.llm.components import components
 
 STRIP_BYTES = 1 << 20
@@ -314,11 +314,11 @@ def _contents(docs: DataFrame, rule: Rule, summaries: DataFrame, wanted: DataFra
     shared = docs.sparkSession.sparkContext.broadcast(bloom(chosen, "key"))
 
     def work(batches):
-        marked, sent = np.frombuffer(shared.value, np.uint8), _Seen()
+        marked, sent = shared.value, _Seen()
         for batch in batches:
             ids = batch.column("doc_id").fill_null(-1).to_numpy()
             for at, size, digest, owner, gram in _sets(batch.column("text"), rule.words):
-                use = (size > 0) & may_hold(marked, ids[at] ^ digest)
+                use = (size > 0) & marked.may_hold(ids[at] ^ digest)
                 ends, rows = np.cumsum(size), [[], [], [], []]
                 for i in np.flatnonzero(use):
                     if sent.new(digest[i : i + 1])[0]:

@@ -75,7 +75,7 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents", "doc_id", "text")
     labels = read(spark, folder, "labels", "doc_id", "toxic")
-    model = toxicity.fit(labelled(docs, labels.where(in_fold("doc_id", 5) != 0)))
+    model = toxicity.fit(labelled(docs, labels.where(in_fold("doc_id", 5) != 0), "toxic"))
     held_out = F.coalesce(in_fold("doc_id", 5) == 0, F.lit(False))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
@@ -84,7 +84,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents", "doc_id", "text", "lang")
     labels = read(spark, folder, "labels", "doc_id", "quality").where("quality = 1")
-    return quality.quality(docs, labelled(docs, labels.select("doc_id")))
+    return quality.quality(docs, labelled(docs, labels, "quality"))
 
 
 QUERIES = {

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from llm_rows import no_docs, odd_docs, rows_of  # noqa: F401
 
-from panelcast.llm.common import bloom, labelled, may_hold
+from panelcast.llm import common
+from panelcast.llm.common import bloom, labelled
 from panelcast.llm.toxicity import ORDERS, _distinct, _slots, fit, keep_clean, score
 
 BAD = ["grumpf", "zilch", "blarg"]
@@ -63,9 +64,19 @@ def test_odd_rows(odd_docs, no_docs, corpus):  # noqa: F811
         assert score(odd_docs, one_sided).where("score IS NULL").count() == 0
 
 
-def test_labelled_rows_are_found_exactly(spark, corpus):
-    labels = spark.createDataFrame([(i,) for i in (3, 5, 9999)] + [(None,)], "doc_id long")
-    assert rows_of(labelled(corpus, labels), "doc_id") == [(3,), (5,)]
-    bits = np.frombuffer(bloom(labels, "doc_id"), np.uint8)
-    assert may_hold(bits, np.array([3, 5, 9999])).all()
-    assert may_hold(bits, np.arange(10_000, 20_000)).mean() < 0.01
+def test_labelled_rows_are_found_exactly(spark, corpus, monkeypatch):
+    rows = [(3, 1), (5, 0), (5, 0), (6, 1), (6, 0), (9999, 1), (None, 1), (7, None)]
+    labels = spark.createDataFrame(rows, "doc_id long, good int")
+    expected = [(3, 1), (5, 0), (6, 0), (6, 1)]
+    assert rows_of(labelled(corpus, labels, "good"), "doc_id", "good") == expected
+    # filters that admit everything, with and without room for the list of wrong ids
+    monkeypatch.setattr(common.Bloom, "may_hold", lambda self, keys: np.ones(len(keys), bool))
+    assert rows_of(labelled(corpus.limit(20), labels, "good"), "doc_id", "good") == expected
+    monkeypatch.setattr(common, "FALSE_MOST", 3)
+    assert rows_of(labelled(corpus, labels, "good"), "doc_id", "good") == expected
+
+
+def test_filter(spark):
+    marked = bloom(spark.range(0, 50_000).withColumnRenamed("id", "k"), "k")
+    assert marked.may_hold(np.arange(50_000)).all()
+    assert marked.may_hold(np.arange(100_000, 200_000)).mean() < 0.02
