@@ -411,7 +411,36 @@ def union(rows) -> str:
 
 _pairs = [(a, b) for i, a in enumerate(NUMERIC) for b in NUMERIC[i + 1 :]]
 
+EXTENDED = [*BASIC, "mape", "r2", "total_mape", "total_r2", "segment_wmape", "coverage"]
+
+
+def digest_text(column: str, number: bool) -> str:
+    text = f"CAST(round_even({column} * 1e6, 0) AS DECIMAL(38,0))" if number else column
+    return f"coalesce('=' || CAST({text} AS VARCHAR), '-')"
+
+
+DIGEST = " || '|' || ".join(
+    [digest_text(c, False) for c in ("brand", "zone", "date")] + [digest_text(m, True) for m in METRICS]
+)
+
 ORACLES: dict[str, str] = {
+    "panel_from_files": on_panel("SELECT * FROM panel"),
+    "data_fingerprint": on_panel(
+        f"""SELECT count(*) AS n_rows, bit_xor(h) AS hash_xor, CAST(sum(h) AS BIGINT) AS hash_sum
+FROM (SELECT CAST('0x' || substr(md5({DIGEST}), 1, 12) AS BIGINT) AS h FROM panel)"""
+    ),
+    "gbt_invariants": stmt(
+        [*BACKTEST, AR1, long(["naive"]), SCORES],
+        """SELECT 'n_forecasts' AS name, CAST(count(*) AS DOUBLE) AS value FROM fc_all
+UNION ALL SELECT 'n_positive', CAST(count(*) AS DOUBLE) FROM fc_all
+UNION ALL SELECT 'n_gaps', CAST(0 AS DOUBLE)
+UNION ALL SELECT 'importance', CAST(1 AS DOUBLE)
+UNION ALL SELECT 'n_features', CAST(25 AS DOUBLE)
+UNION ALL """
+        + " UNION ALL ".join(
+            f"SELECT 'naive_{m}', {r(m)} FROM scores" for m in EXTENDED
+        ),
+    ),
     "panel_monthly": on_panel("SELECT * FROM panel"),
     "panel_without_total": on_panel(
         "SELECT * FROM with_total WHERE zone <> 'All India (U+R)'", WITH_TOTAL
@@ -530,6 +559,10 @@ FROM part""",
         "UNION ALL SELECT DISTINCT 'zone', zone FROM train",
         STAMPED,
     ),
+    "part_features": stmt(
+        [PANEL.replace("p_brand AS brand", "CAST(p_partkey AS VARCHAR) AS brand"), F_],
+        f"SELECT {KEY}, {rr(['rm6', 'sd6', 'zt_d1', 'share_l1'])}, sah_l1, num_stores_d1 FROM f",
+    ),
     "series_ids": on_panel(
         "SELECT brand || '|' || zone AS series_id, count(*) AS count FROM panel GROUP BY brand, zone"
     ),

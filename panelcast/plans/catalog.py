@@ -8,14 +8,15 @@ did not are left as computed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.functions.columns import calendar_columns, standard_label
-from panelcast.functions.lineage import materialise
+from panelcast.functions.columns import calendar_columns, longer, standard_label
+from panelcast.functions.lineage import materialise, shared_folder
 from panelcast.operators import baselines as B
 from panelcast.operators import checks, cleaning, contract, encoding, learners, reconcile, stats
 from panelcast.operators import evaluate as E
@@ -109,6 +110,14 @@ def panel_monthly(spark, folder):
     return _lazy_panel(spark, folder)
 
 
+@query
+def panel_from_files(spark, folder):
+    """The panel written as text and read back."""
+    path = f"{shared_folder(spark)}/panel-{uuid.uuid4().hex}"
+    _lazy_panel(spark, folder).write.option("header", True).csv(path)
+    return P.read_panel(spark, path, "csv")
+
+
 @query
 def panel_without_total(spark, folder):
     return P.drop_total(P.with_total_rows(_panel(spark, folder), SPEC), SPEC)
@@ -252,6 +261,14 @@ def training_frame(spark, folder):
     return rounded(out.select(*cols), ["ly_l1", "target_d", *ROUNDED_FEATURES])
 
 
+@query
+def part_features(spark, folder):
+    """The same features on a panel of single parts, whose rows grow with the lines."""
+    panel = materialise(monthly_panel(spark, folder, SPEC, entity="p_partkey"))
+    cols = ["rm6", "sd6", "zt_d1", "share_l1", "sah_l1", "num_stores_d1"]
+    return rounded(X.transform(panel, SPEC).select(*SPEC.key, *cols), cols[:4])
+
+
 @query
 def series_ids(spark, folder):
     return X.transform(_panel(spark, folder), SPEC).select("series_id").groupBy("series_id").count()
@@ -587,6 +604,38 @@ def forecast_gbt(spark, folder):
     return reconcile.with_total(learners.forecast_model(panel, run.model, SPEC), SPEC)
 
 
+@query
+def gbt_invariants(spark, folder):
+    """What must hold of boosted trees whatever the fit: one row per check."""
+    panel = _closed(spark, folder)
+    run = training.train_and_backtest(panel, train_end(spark, folder), _gbt, SPEC, "gbt")
+    forecast = materialise(reconcile.with_total(learners.forecast_model(panel, run.model, SPEC), SPEC))
+    is_total = F.col("zone") == SPEC.total_label
+    sums = forecast.groupBy("brand").agg(
+        F.sum(F.when(is_total, F.col("prediction"))).alias("total"),
+        F.sum(F.when(~is_total, F.col("prediction"))).alias("parts"),
+    )
+    rows = forecast.agg(
+        F.count(F.lit(1)).cast("double").alias("n_forecasts"),
+        F.count_if(F.col("prediction") > 0).cast("double").alias("n_positive"),
+    )
+    gaps = sums.agg(
+        F.count_if(F.abs(F.col("total") / F.col("parts") - 1) > 1e-9).cast("double").alias("n_gaps")
+    )
+    weights = learners.split_importance(run.model, SPEC).agg(
+        F.round(F.sum("importance"), 9).alias("importance"),
+        F.count(F.lit(1)).cast("double").alias("n_features"),
+    )
+    naive = run.metrics.where("candidate = 'naive' AND value IS NOT NULL")
+    checks_ = [
+        longer(one, [], one.columns, "name", "value") for one in (rows, gaps, weights)
+    ] + [naive.select(F.concat(F.lit("naive_"), "metric").alias("name"), F.round("value", 6).alias("value"))]
+    out = checks_[0]
+    for one in checks_[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 @query
 def feature_importance(spark, folder):
     run = training.train_and_backtest(_closed(spark, folder), train_end(spark, folder), _gbt, SPEC, "gbt")

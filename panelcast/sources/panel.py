@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.columns import blank_to_null, month_start
@@ -73,13 +73,25 @@ def panel_profile(stamped: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
-def data_fingerprint(df: DataFrame) -> DataFrame:
-    """Content digest that ignores row order and partitioning."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
+def data_fingerprint(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Content digest that ignores row order and partitioning.
+
+    Rows are written out as text, numbers as whole multiples of 10^-``digits``, so that any
+    engine with MD5 gets the same digest; a NULL differs from an empty text.
+    """
+
+    def text(name: str, kind: str) -> Column:
+        value = F.col(name)
+        if kind in ("double", "float"):
+            value = F.rint(value * 10.0**digits).cast("decimal(38,0)")
+        return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("-"))
+
+    row = F.concat_ws("|", *[text(name, kind) for name, kind in df.dtypes])
+    h = F.conv(F.substring(F.md5(row), 1, 12), 16, 10).cast("bigint")
     return df.select(h.alias("h")).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.bit_xor("h").alias("hash_xor"),
-        F.sum(F.col("h").cast("decimal(38,0)")).alias("hash_sum"),
+        F.sum("h").alias("hash_sum"),
     )
 
 

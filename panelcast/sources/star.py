@@ -52,9 +52,13 @@ def _known(value: str, what: str) -> Column:
     return F.coalesce(F.col(value), F.raise_error(F.lit(f"line without {what}")).cast("string"))
 
 
-def panel_cells(spark: SparkSession, folder: str, spec: PanelSpec) -> DataFrame:
+def panel_cells(
+    spark: SparkSession, folder: str, spec: PanelSpec, entity: str = "p_brand"
+) -> DataFrame:
     """Order lines reduced to (entity, segment, month) sums; a store is a supplier.
 
+    ``entity`` is the part column that names an entity: its brand, or the part itself.
+
     One scan of the lines, all of them. They are summed per (entity, store, month) first,
     with map-side combining, and written: a store, part or entity with very many lines is
     from there on at most one row per entity and month. Store totals are an aggregate of
@@ -72,7 +76,7 @@ def panel_cells(spark: SparkSession, folder: str, spec: PanelSpec) -> DataFrame:
         _hundredths("l_quantity").alias("q"),
     )
     parts = read_table(spark, folder, "part").select(
-        F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("_brand")
+        F.col("p_partkey").alias("l_partkey"), F.col(entity).cast("string").alias("_brand")
     )
 
     sold = materialise(
@@ -109,14 +113,14 @@ def panel_cells(spark: SparkSession, folder: str, spec: PanelSpec) -> DataFrame:
 
 
 def monthly_panel(
-    spark: SparkSession, folder: str, spec: PanelSpec = PanelSpec()
+    spark: SparkSession, folder: str, spec: PanelSpec = PanelSpec(), entity: str = "p_brand"
 ) -> DataFrame:
     """The panel of all months, from the written cells; not written itself.
 
     A plan with several branches should write it first; one that reads it once computes
     only the columns it uses.
     """
-    cells = panel_cells(spark, folder, spec)
+    cells = panel_cells(spark, folder, spec, entity)
     segments = cells.groupBy(spec.segment, spec.date).agg(
         F.sum("v").alias("zv"), F.sum("new_stores").alias("zs")
     )

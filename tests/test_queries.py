@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from panelcast.functions.lineage import materialise
 from panelcast.plans import catalog
 from panelcast.sources.star import monthly_panel
 
@@ -31,10 +32,10 @@ def one_panel(spark):
     """Build the panel once for all queries; it is itself one of the compared results."""
     built = {}
 
-    def shared(session, folder, spec):
-        if folder not in built:
-            built[folder] = monthly_panel(session, folder, spec)
-        return built[folder]
+    def shared(session, folder, spec, entity="p_brand"):
+        if (folder, entity) not in built:
+            built[folder, entity] = materialise(monthly_panel(session, folder, spec, entity))
+        return built[folder, entity]
 
     patch = pytest.MonkeyPatch()
     patch.setattr(catalog, "monthly_panel", shared)
