@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.lineage import materialise
-from panelcast.operators.baselines import with_ar1, with_baselines
+from panelcast.operators.baselines import blend, with_ar1, with_baselines
 from panelcast.operators.encoding import CodeMaps, apply_codes, fit_codes
 from panelcast.operators.evaluate import (
     EXTENDED,
@@ -194,3 +194,36 @@ def cross_validate(
     valid = validation_rows(train, train_end, n_folds, months, spec)
     rows = candidate_rows(valid, candidates, spec, keep=("fold",))
     return select_candidate(cv_scores(rows, spec))
+
+
+def cross_validate_learners(
+    frame: DataFrame,
+    train_end: str,
+    learners: dict[str, Learner],
+    codes: CodeMaps,
+    baselines: tuple[str, ...] = ("naive", "seasonal_naive", "drift"),
+    blends: dict[str, tuple[str, str, float]] | None = None,
+    n_folds: int = 5,
+    months: int = 6,
+    spec: PanelSpec = PanelSpec(),
+) -> DataFrame:
+    """One table of cross-validated errors: fitted learners, blends and baselines.
+
+    Each learner is fitted on the rows before a fold and predicts the fold; a blend is
+    (first, second, weight of the first) of any two candidates. All are scored on the same
+    rows, the smallest error is flagged, and the holdout is never read.
+    """
+    blends = blends or {}
+    day, folds = F.col(spec.date), None
+    laid_out = fit_order(frame.where(F.col(SPLIT) == TRAIN), spec)
+    for fold, cutoff, end in fold_bounds(train_end, n_folds, months):
+        valid = laid_out.where((day > F.lit(cutoff)) & (day <= F.lit(end)))
+        train = laid_out.where(day <= F.lit(cutoff))
+        for name, learner in learners.items():
+            valid = predict_level(learner(codes).fit(train), valid, name)
+        valid = valid.withColumn("fold", F.lit(fold))
+        folds = valid if folds is None else folds.unionByName(valid)
+    mixed = folds.withColumns({name: blend(a, b, w) for name, (a, b, w) in blends.items()})
+    candidates = [*learners, *blends, *baselines]
+    rows = candidate_rows(mixed, candidates, spec, keep=("fold",))
+    return select_candidate(cv_scores(rows, spec))

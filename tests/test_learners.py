@@ -155,3 +155,17 @@ def test_random_search_and_seed_stability(run, panel):
         frame_, lambda codes, **p: small_gbt(codes, **{"maxIter": 2, **p}), run.codes, (1, 2)
     ).collect()
     assert all(r["n_seeds"] == 2 and r["min_value"] <= r["max_value"] for r in spread)
+
+
+def test_learners_blends_and_baselines_in_one_selection(run, panel):
+    frame_ = training.backtest_frame(panel, END)
+    learned = {"ridge": learners.linear, "gbt": lambda codes: small_gbt(codes)}
+    out = training.cross_validate_learners(
+        frame_, END, learned, run.codes, ("naive", "drift"), {"mix": ("ridge", "naive", 0.7)},
+        n_folds=2, months=3,
+    ).collect()
+    assert {r["candidate"] for r in out} == {"ridge", "gbt", "mix", "naive", "drift"}
+    assert {r["n_folds"] for r in out} == {2} and sum(r["selected"] for r in out) == 1
+    plain = training.cross_validate(frame_, END, ["naive", "drift"], n_folds=2, months=3).collect()
+    errors = {r["candidate"]: r["cv_wmape"] for r in out}
+    assert all(errors[r["candidate"]] == pytest.approx(r["cv_wmape"]) for r in plain)
