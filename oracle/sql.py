@@ -7,6 +7,7 @@ windows where that is the plainer statement.
 
 from __future__ import annotations
 
+# Names of the panel and of the model inputs, in contract order.
 EXOG = [
     "numeric_dist_pct",
     "wtd_dist_val",

@@ -35,6 +35,7 @@ class PanelSpec:
     segment: str = "zone"
     date: str = "date"
     target: str = "value_lakhs"
+    # fixed values: the metrics of the panel, in their order
     exog: tuple[str, ...] = (
         "numeric_dist_pct",
         "wtd_dist_val",
@@ -85,11 +86,17 @@ class PanelSpec:
 
     @property
     def numeric_features(self) -> list[str]:
-        """Every model feature except the two codes, in contract order."""
-        own = ["d_l3", "rm6", "sd6"]
-        cross_section = ["zt_d1", "share_l1"]
-        calendar = ["month", "is_festive"]
-        return own + cross_section + self.exog_features + calendar
+        """Every model feature except the two codes, in contract order: fixed values."""
+        return [
+            "d_l3",
+            "rm6",
+            "sd6",
+            "zt_d1",
+            "share_l1",
+            *self.exog_features,
+            "month",
+            "is_festive",
+        ]
 
     @property
     def feature_order(self) -> list[str]:

@@ -83,6 +83,7 @@ def test_gappy_series_use_positional_lags(spark, rows):
     same(got, by_hand(gappy))
 
 
+# The model inputs in contract order.
 def test_feature_order_is_pinned():
     assert SPEC.feature_order == [
         "d_l3", "rm6", "sd6", "zt_d1", "share_l1",
