@@ -38,13 +38,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u")
-        small = moved.select("u", F.col("m").alias("v")).unionByName(
-            moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        ends = F.array(
+            F.struct(F.col("u"), F.col("m").alias("v")),
+            F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
         )
-        edges = materialise(small.where("u <> v").distinct())
+        edges = materialise(moved.select(F.inline(ends)).where("u <> v").distinct())
         after = _state(edges)
         if after == before:
             break

@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import arrow_pass, bloom, materialise, texts, utf8
 from panelcast.llm.components import components
 
-STRIP_BYTES = 1 << 20
+STRIP_BYTES = 1 << 18
 SEEN_SETS = 1 << 20  # digests of sets that a task remembers, so that copies are sent once
 # An n-gram found in COMMON_IN different sets of a task's window is a candidate for the
 # list of common ones, which holds the COMMON_GRAMS most frequent and is broadcast (4 MB).
 # The list only orders n-grams, rare ones first. Any list gives the same links.
-COMMON_WINDOW = 4 << 20
-COMMON_IN = 4
+COMMON_WINDOW = 2 << 20
+COMMON_IN = 3
 COMMON_GRAMS = 1 << 18
 TILE = 4096  # sets of one tile of a large group
 SMALL_TILE = 64  # tiles of up to so many rows are compared many at a time
-MAX_BITS = 4096
+MAX_BITS = 8192
 
 _M = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -45,6 +45,12 @@ class Rule:
         """Least intersection of linked sets of sizes a and b."""
         return -(-self.num * (a + b) // (self.num + self.den))
 
+    def possible(self, n_a, pos_a, n_b, pos_b):
+        """Whether sizes (a the smaller) and the places of a common gram allow a link: if it
+        is the first common one, the sets share no more than what follows it in either."""
+        reach = np.minimum(n_a - pos_a, n_b - pos_b)
+        return (self.den * n_a >= self.num * n_b) & (reach >= self.overlap(n_a, n_b))
+
     def prefix(self, n):
         """Linked sets share an n-gram among this many first ones, in any common order."""
         return n - -(-self.num * n // self.den) + 1
@@ -153,8 +159,25 @@ class _Seen:
         return out
 
 
+def _bits(n) -> np.ndarray:
+    """Width of a set's signature: a power of two of at least four times its size, within
+    bounds. So wide, it is wrong by a few grams only where it matters, near the limit."""
+    return np.clip(2 ** np.ceil(np.log2(4.0 * np.maximum(n, 1))), 64, MAX_BITS).astype(np.int64)
+
+
+def _signature(gram: np.ndarray, bits: int) -> np.ndarray:
+    """Bit j is the parity of the grams that hash to j, so widths halve by folding."""
+    odd = np.bincount((gram & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
 def _summaries(docs: DataFrame, rule: Rule) -> DataFrame:
-    """One pass: (doc_id, n, fp) of every row, and (gram, df) of a task's frequent grams."""
+    """One pass: (doc_id, n, fp) of every row, and (gram, df) of a task's frequent grams.
+
+    A set's signature is on the first of its rows in a task.
+    """
+
+    names = ["doc_id", "n", "fp", "signature", "gram", "df"]
 
     def work(batches):
         seen, held, room = _Seen(), [], COMMON_WINDOW
@@ -162,27 +185,49 @@ def _summaries(docs: DataFrame, rule: Rule) -> DataFrame:
         def common():
             gram, n = np.unique(np.concatenate(held), return_counts=True)
             gram, n = gram[n >= COMMON_IN], n[n >= COMMON_IN]
-            nothing = pa.nulls(len(gram), pa.int64())
-            arrays = [nothing, nothing, nothing, pa.array(gram.view(np.int64)), pa.array(n)]
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "fp", "gram", "df"])
+            nothing, unsigned = pa.nulls(len(gram), pa.int64()), pa.nulls(len(gram), pa.binary())
+            arrays = [nothing, nothing, nothing, unsigned, pa.array(gram.view(np.int64)), pa.array(n)]
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
             n, fp = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            signatures: list[bytes | None] = [None] * batch.num_rows
             for at, size, digest, owner, gram in _sets(batch.column("text"), rule.words):
                 n[at], fp[at] = size, digest
                 fresh = np.array(seen.new(digest))
+                bits, ends = _bits(size), np.cumsum(size)
+                for i in np.flatnonzero(fresh & (size > 0)):
+                    own = gram[ends[i] - size[i] : ends[i]]
+                    signatures[at[i]] = _signature(own, int(bits[i])).tobytes()
                 held.append(gram[fresh[owner]] if len(owner) else gram)
                 room -= len(held[-1])
                 if room < 0:
                     yield common()
                     held, room = [], COMMON_WINDOW
             nothing = pa.nulls(batch.num_rows, pa.int64())
-            arrays = [batch.column("doc_id"), pa.array(n), pa.array(fp, mask=n == 0), nothing, nothing]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "fp", "gram", "df"])
+            arrays = [
+                batch.column("doc_id"),
+                pa.array(n),
+                pa.array(fp, mask=n == 0),
+                pa.array(signatures, pa.binary()),
+                nothing,
+                nothing,
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names)
         if held:
             yield common()
 
-    return materialise(arrow_pass(docs, work, "doc_id long, n long, fp long, gram long, df long"))
+    schema = "doc_id long, n long, fp long, signature binary, gram long, df long"
+    return materialise(arrow_pass(docs, work, schema))
+
+
+def _classes(summaries: DataFrame) -> DataFrame:
+    """(fp, n, doc_id, signature): one row of each set, with its smallest doc_id; written."""
+    return materialise(
+        summaries.where("fp IS NOT NULL")
+        .groupBy("fp")
+        .agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature"))
+    )
 
 
 def _common_grams(summaries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -243,21 +288,45 @@ def _prefixes(docs: DataFrame, rule: Rule, common) -> DataFrame:
     return arrow_pass(docs, work, "gram long, n long, fp long, pos long")
 
 
+def _open_ended(rows: list[np.ndarray], rule: Rule) -> np.ndarray:
+    """Which rows of sorted (gram, n, fp, pos) can be linked to another row of their group.
+
+    Groups of up to ``SMALL_TILE`` rows are decided pair by pair; of larger ones, and of the
+    first and the last, which may go on in other batches, every row counts.
+    """
+    gram, n, _, pos = rows
+    last = np.searchsorted(gram, gram, side="right")
+    first = np.searchsorted(gram, gram)
+    keep = (last - first > SMALL_TILE) | (first == 0) | (last == len(gram))
+    small = np.flatnonzero(~keep)
+    for step in range(1, SMALL_TILE):
+        i = small[small + step < last[small]]
+        if not len(i):
+            break
+        i = i[rule.possible(n[i], pos[i], n[i + step], pos[i + step])]
+        keep[i] = keep[i + step] = True
+    return keep
+
+
 def _groups(prefixes: DataFrame, rule: Rule) -> DataFrame:
-    """Rows whose gram is in another set's prefix too, each with its neighbour in size order.
+    """Rows whose gram is in another set's prefix too, with candidates for a link.
 
-    Rows are dealt and sorted by gram and size; one row is held at a time, whatever a
-    group's size. ``prev`` is the next smaller set if it can be linked by sizes and places.
+    Rows are dealt and sorted by gram and size; two rows are held at a time, whatever a
+    group's size. ``prev`` is the next smaller set of the group and ``head`` its smallest,
+    where sizes and places leave a link possible.
     """
 
     def work(batches):
         names = ["gram", "n", "fp", "pos"]
-        last = None  # the row held back: its values, then whether it has a smaller neighbour, and which
+        last = None  # the row held back: its values, and what was found for it
+        first = None  # the first row of its group: fp, n, pos
 
-        def out(rows, prev, linked):
-            return pa.RecordBatch.from_arrays(
-                [*(pa.array(x) for x in rows), pa.array(prev, mask=~linked)], [*names, "prev"]
-            )
+        def out(rows, found, use):
+            use = use & _open_ended(rows, rule)
+            columns = [pa.array(x[use]) for x in rows]
+            for value, linked in found:
+                columns.append(pa.array(value[use], mask=~linked[use]))
+            return pa.RecordBatch.from_arrays(columns, [*names, "prev", "head"])
 
         for batch in batches:
             rows = [batch.column(c).to_numpy() for c in names]
@@ -269,73 +338,65 @@ def _groups(prefixes: DataFrame, rule: Rule) -> DataFrame:
             new = np.r_[True, (gram[1:] != gram[:-1]) | (fp[1:] != fp[:-1])]
             gram, n, fp, pos = rows = [x[new] for x in rows]
             same = np.r_[False, gram[1:] == gram[:-1]]
-            prev = np.r_[0, fp[:-1]]
-            may = rule.den * np.r_[0, n[:-1]] >= rule.num * n
-            reach = 1 + np.minimum(np.r_[0, n[:-1] - pos[:-1]], n - pos) - 1
-            linked = same & may & (reach >= rule.overlap(np.r_[0, n[:-1]], n))
+            before = np.maximum(np.arange(len(gram)) - 1, 0)
+            start = np.maximum.accumulate(np.where(same, 0, np.arange(len(gram))))
+            head, head_n, head_pos = fp[start], n[start], pos[start]
+            if last is not None:
+                same[0] = last[1]
+                goes_on = start == 0  # the group began in an earlier batch
+                head, head_n, head_pos = (
+                    np.where(goes_on, kept, x) for kept, x in zip(first, (head, head_n, head_pos), strict=True)
+                )
+            prev_ok = same & rule.possible(n[before], pos[before], n, pos)
+            head_ok = same & (head != fp[before]) & rule.possible(head_n, head_pos, n, pos)
+            found = [(fp[before], prev_ok), (head, head_ok)]
             if last is not None:
-                same[0], prev[0], linked[0] = last[1:]
+                for (value, linked), (old, old_linked) in zip(found, last[2], strict=True):
+                    value[0], linked[0] = old, old_linked
             use = same | np.r_[same[1:], False]
             use[-1] = False
-            yield out([x[use] for x in rows], prev[use], linked[use])
-            last = [x[-1:] for x in rows], same[-1], prev[-1], linked[-1]
+            yield out(rows, found, use)
+            last = [x[-1:] for x in rows], same[-1], [(v[-1], ok[-1]) for v, ok in found]
+            first = head[-1], head_n[-1], head_pos[-1]
         if last is not None and last[1]:
-            yield out(last[0], np.array([last[2]]), np.array([last[3]]))
+            found = [(np.array([v]), np.array([ok])) for v, ok in last[2]]
+            yield out(last[0], found, np.array([True]))
 
     dealt = prefixes.repartition("gram").sortWithinPartitions("gram", "n", "fp")
-    schema = "gram long, n long, fp long, pos long, prev long"
+    schema = "gram long, n long, fp long, pos long, prev long, head long"
     return materialise(arrow_pass(dealt, work, schema))
 
 
-def _bits(n) -> np.ndarray:
-    """Width of a set's signature: a power of two of at least twice its size, within bounds."""
-    return np.clip(2 ** np.ceil(np.log2(2.0 * np.maximum(n, 1))), 64, MAX_BITS).astype(np.int64)
-
+def _contents(docs: DataFrame, rule: Rule, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, n, grams) of the wanted sets, written once.
 
-def _signature(gram: np.ndarray, bits: int) -> np.ndarray:
-    """Bit j is the parity of the grams that hash to j, so widths halve by folding."""
-    odd = np.bincount((gram & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little")
-
-
-def _contents(docs: DataFrame, rule: Rule, summaries: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, n, grams, signature) of the sets whose digest is in ``wanted``, written once.
-
-    A fixed-size filter over one row of each wanted set says in the scan which texts to
-    turn into sets again; texts themselves are never shuffled.
+    A filter over one row of each wanted set says in the scan which texts to turn into
+    sets again; texts themselves are never shuffled.
     """
-    chosen = (
-        summaries.where("fp IS NOT NULL")
-        .groupBy("fp")
-        .agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id"))
-        .join(wanted, "fp")
-        .select(F.col("doc_id").bitwiseXOR(F.col("fp")).alias("key"))
+    chosen = classes.join(wanted, "fp").select(
+        F.coalesce("doc_id", F.lit(-1)).bitwiseXOR(F.col("fp")).alias("key")
     )
     shared = docs.sparkSession.sparkContext.broadcast(bloom(chosen, "key"))
 
     def work(batches):
         marked, sent = shared.value, _Seen()
         for batch in batches:
+            # a set's smallest doc_id is null only if all its rows lack one
             ids = batch.column("doc_id").fill_null(-1).to_numpy()
             for at, size, digest, owner, gram in _sets(batch.column("text"), rule.words):
                 use = (size > 0) & marked.may_hold(ids[at] ^ digest)
-                ends, rows = np.cumsum(size), [[], [], [], []]
+                ends, rows = np.cumsum(size), [[], [], []]
                 for i in np.flatnonzero(use):
                     if sent.new(digest[i : i + 1])[0]:
-                        own = gram[ends[i] - size[i] : ends[i]]
-                        for column, value in zip(
-                            rows,
-                            (digest[i], size[i], own.tobytes(), _signature(own, int(_bits(size[i]))).tobytes()),
-                            strict=True,
-                        ):
+                        own = gram[ends[i] - size[i] : ends[i]].tobytes()
+                        for column, value in zip(rows, (digest[i], size[i], own), strict=True):
                             column.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)],
-                    ["fp", "n", "grams", "signature"],
+                    [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["fp", "n", "grams"]
                 )
 
-    return materialise(arrow_pass(docs, work, "fp long, n long, grams binary, signature binary"))
+    return materialise(arrow_pass(docs, work, "fp long, n long, grams binary"))
 
 
 def _folded(signature: np.ndarray) -> np.ndarray:
@@ -344,40 +405,53 @@ def _folded(signature: np.ndarray) -> np.ndarray:
     return signature[..., :half] ^ signature[..., half:]
 
 
-def _linked(pairs: DataFrame, contents: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the pairs (a, b) that are linked, by exact intersection; written.
+def _both_sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the columns of both sets."""
+    for side in "ba":
+        named = sets.select(*[F.col(c).alias(side if c == "fp" else f"{side}_{c}") for c in sets.columns])
+        pairs = pairs.join(named, side)
+    return pairs
 
-    Signatures are compared first: the intersection is at most half of what remains of
-    both sizes after the bits that differ.
-    """
-    sides = {
-        side: contents.select(*[F.col(c).alias(f"{side}_{c}") for c in contents.columns]) for side in "ab"
-    }
-    both = pairs.join(sides["b"], pairs.b == sides["b"].b_fp).join(sides["a"], pairs.a == sides["a"].a_fp)
+
+def _signed(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs whose signatures leave room for a link: the intersection is at most half of
+    what remains of both sizes after the bits that differ."""
 
     def work(batches):
         for batch in batches:
             n_a, n_b = batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy()
-            need = rule.overlap(n_a, n_b)
-            use = np.zeros(batch.num_rows, np.bool_)
-            columns = [batch.column(f"{s}_{c}") for c in ("signature", "grams") for s in "ab"]
+            need, use = rule.overlap(n_a, n_b), np.zeros(batch.num_rows, np.bool_)
             for i in range(batch.num_rows):
-                one, two = (np.frombuffer(c[i].as_py(), np.uint64) for c in columns[:2])
+                one, two = (
+                    np.frombuffer(batch.column(f"{s}_signature")[i].as_py(), np.uint64) for s in "ab"
+                )
                 while len(one) > len(two):
                     one = _folded(one)
                 while len(two) > len(one):
                     two = _folded(two)
-                differ = int(np.bitwise_count(one ^ two).sum())
-                if n_a[i] + n_b[i] - differ < 2 * need[i]:
-                    continue
-                one, two = (np.frombuffer(c[i].as_py(), np.uint64) for c in columns[2:])
+                use[i] = n_a[i] + n_b[i] - int(np.bitwise_count(one ^ two).sum()) >= 2 * need[i]
+            yield batch.select(["a", "b"]).filter(pa.array(use))
+
+    sides = _both_sides(pairs, classes.select("fp", "n", "signature"))
+    return materialise(arrow_pass(sides, work, "a long, b long"))
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the pairs (a, b) that are linked, by exact intersection; written."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sides = _both_sides(pairs, _contents(docs, rule, classes, wanted))
+
+    def work(batches):
+        for batch in batches:
+            n_a, n_b = batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy()
+            need, use = rule.overlap(n_a, n_b), np.zeros(batch.num_rows, np.bool_)
+            for i in range(batch.num_rows):
+                one, two = (np.frombuffer(batch.column(f"{s}_grams")[i].as_py(), np.uint64) for s in "ab")
                 at = np.minimum(np.searchsorted(one, two), len(one) - 1)
                 use[i] = np.count_nonzero(one[at] == two) >= need[i]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(pa.array(use)), batch.column("b").filter(pa.array(use))], ["a", "b"]
-            )
+            yield batch.select(["a", "b"]).filter(pa.array(use))
 
-    return materialise(arrow_pass(both, work, "a long, b long").distinct())
+    return materialise(arrow_pass(sides, work, "a long, b long").distinct())
 
 
 class _Rows:
@@ -387,7 +461,7 @@ class _Rows:
         table = table.combine_chunks()
         column = {c: table.column(c).to_numpy() for c in table.column_names if c != "signature"}
         self.rule, self.fp, self.n, self.pos = rule, column["fp"], column["n"], column["pos"]
-        self.root, self.block = column["root"], column["block"]
+        self.root, self.block = column["root"].copy(), column["block"]
         keys = np.stack([column[c] for c in ("gram", "x", "y")])
         self.tile = np.cumsum(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]) - 1
         self.signs, self.place = {}, np.zeros(len(self.n), np.int64)
@@ -418,8 +492,7 @@ class _Rows:
 
     def open(self, i, j):
         n_i, n_j, rule = self.n[i], self.n[j], self.rule
-        may = (self.root[i] != self.root[j]) & (rule.den * n_i >= rule.num * n_j)
-        may &= np.minimum(n_i - self.pos[i], n_j - self.pos[j]) >= rule.overlap(n_i, n_j)
+        may = (self.root[i] != self.root[j]) & rule.possible(n_i, self.pos[i], n_j, self.pos[j])
         may &= (self.block[i] != self.block[j]) | (self.block[i] < 0)
         return i[may], j[may]
 
@@ -439,10 +512,24 @@ class _Rows:
                     good[part] = left >= 2 * self.rule.overlap(self.n[x], self.n[y])
         return i[good], j[good]
 
+    def forest(self, i, j):
+        """Of these pairs, those that would connect what earlier ones leave apart."""
+        use = []
+        for place, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            if self.root[x] != self.root[y]:
+                self.root[self.root == self.root[y]] = self.root[x]
+                use.append(place)
+        return i[use], j[use]
+
 
-def _open_pairs(groups: DataFrame, roots: DataFrame, contents: DataFrame, rule: Rule) -> DataFrame:
+def _open_pairs(
+    groups: DataFrame, roots: DataFrame, classes: DataFrame, rule: Rule, forest: bool
+) -> DataFrame:
     """Pairs of one group, not connected so far, that pass every bound.
 
+    With ``forest`` a task leaves out pairs that would be connected if those it has sent
+    prove to be links: no more pairs than sets.
+
     Groups inside one component are done. Others are compared in tiles: a group of more
     than ``TILE`` sets is dealt into blocks, and each pair of blocks is a tile of its own.
     """
@@ -455,7 +542,7 @@ def _open_pairs(groups: DataFrame, roots: DataFrame, contents: DataFrame, rule:
         .where("lo <> hi")
         .select("gram", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
     )
-    signed = known.join(open_groups, "gram").join(contents.select("fp", "signature"), "fp")
+    signed = known.join(open_groups, "gram").join(classes.select("fp", "signature"), "fp")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     tiles = (
         signed.withColumn("own", own)
@@ -472,6 +559,8 @@ def _open_pairs(groups: DataFrame, roots: DataFrame, contents: DataFrame, rule:
             rows = _Rows(table, rule)
             for i, j in rows.candidates():
                 i, j = rows.signed(i, j)
+                if forest:
+                    i, j = rows.forest(i, j)
                 if len(i):
                     one, two = rows.fp[i], rows.fp[j]
                     yield pa.RecordBatch.from_arrays(
@@ -496,6 +585,23 @@ def _open_pairs(groups: DataFrame, roots: DataFrame, contents: DataFrame, rule:
     return materialise(arrow_pass(dealt, work, "a long, b long").distinct())
 
 
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after more links: only the components they connect are looked at."""
+    if more.isEmpty():
+        return roots
+    of = roots.select(F.col("node").alias("x"), "root")
+    ends = more
+    for side in "ab":
+        found = ends.join(of, F.col(side) == F.col("x"), "left")
+        ends = found.withColumn(side, F.coalesce("root", side)).select("a", "b")
+    united = components(ends, "a", "b").select(F.col("node").alias("x"), F.col("root").alias("to"))
+    old = roots.join(united, F.col("root") == F.col("x"), "left")
+    old = old.select("node", F.coalesce("to", "root").alias("root"))
+    # ends without a component before, and those that were roots themselves
+    new = united.join(old, F.col("x") == F.col("node"), "left_anti")
+    return materialise(old.unionByName(new.select(F.col("x").alias("node"), F.col("to").alias("root"))))
+
+
 def similar_documents(
     docs: DataFrame, rule: Rule = Rule(5, 80, 100), *, id_col="doc_id", text_col="text"
 ) -> DataFrame:
@@ -504,10 +610,11 @@ def similar_documents(
     Texts are lower-cased (A-Z), split at ASCII white space, and reduced to their sets of
     word n-grams. Equal sets form one class, named by a 64-bit digest; links are sought
     between classes. Every linked pair shares a gram of both prefixes. First, neighbours
-    in such groups, ordered by size, are verified and connected; then all pairs of a
-    group that are still in different components are bounded by sizes, places and
-    signatures, in tiles, and verified by exact intersection. So a pair is skipped only
-    if its documents are connected already, and no group is expanded into all its pairs.
+    in such groups, ordered by size, and each group's smallest set are verified and
+    connected. Then pairs of a group that are still in different components are bounded by
+    sizes, places and signatures, in tiles: first a forest of them is verified by exact
+    intersection, then all that are open still. So a pair is skipped only if it cannot be
+    linked or its documents are connected already; no group is expanded into all its pairs.
 
     ``component_id`` is the smallest doc_id reachable by links. Null, empty and wordless
     texts have 0 n-grams, are linked with nothing, and keep their own id (null for a null
@@ -515,17 +622,20 @@ def similar_documents(
     """
     docs = texts(docs, id_col, text_col)
     summaries = _summaries(docs, rule)
-    rows = summaries.where("n IS NOT NULL").select("doc_id", "n", "fp")
+    rows, classes = summaries.where("n IS NOT NULL").select("doc_id", "n", "fp"), _classes(summaries)
     groups = _groups(_prefixes(docs, rule, _common_grams(summaries)), rule)
-    contents = _contents(docs, rule, rows, groups.select("fp").distinct())
-    near = groups.where("prev IS NOT NULL").select(F.col("prev").alias("a"), F.col("fp").alias("b"))
-    edges = _linked(near.distinct(), contents, rule)
-    roots = components(edges, "a", "b")
-    more = _linked(_open_pairs(groups, roots, contents, rule), contents, rule)
-    roots = components(edges.unionByName(more), "a", "b")
-
-    classes = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+    near = groups.select(F.col("fp").alias("b"), F.explode(F.array("prev", "head")).alias("a"))
+    near = near.where("a IS NOT NULL").select("a", "b").distinct()
+    edges = _linked(_signed(near, classes, rule), docs, classes, rule)
+    roots = materialise(components(edges, "a", "b"))
+    # first as few pairs as could connect what is open, then all that are open still
+    for forest in (True, False):
+        pairs = _open_pairs(groups, roots, classes, rule, forest)
+        if not pairs.isEmpty():
+            roots = _joined(roots, _linked(pairs, docs, classes, rule))
+
+    least = classes.select("fp", F.col("doc_id").alias("least"))
+    named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
