@@ -15,11 +15,11 @@ from panelcast.llm.common import arrow_pass, hash_share, texts
 
 # Bounds of what is learnt: a dictionary holds excerpts of at most so many texts of its
 # language, and all dictionaries together at most DICTIONARIES_BYTES.
-SAMPLE_TEXTS = 64
-EXCERPT_CHARS = 2048
+SAMPLE_TEXTS = 512
+EXCERPT_CHARS = 512
 DICTIONARIES_BYTES = 16 << 20
 BLOCK_BYTES = 4096
-LEVEL = 3
+LEVEL = 6
 MIN_MARGIN = 0.02
 
 LETTER = regex.compile(r"\p{L}")

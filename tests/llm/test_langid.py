@@ -28,7 +28,7 @@ def corpus(spark):
 def test_held_out_accuracy(corpus):
     languages = learn(corpus.where("doc_id % 2 = 0"))
     assert set(languages.content) == {"xx", "yy"}
-    assert all(len(c) <= 64 * 2048 * 2 for c in languages.content.values())
+    assert all(len(c) <= 512 * (4 * 512 + 1) for c in languages.content.values())
     found = identify(corpus.where("doc_id % 2 = 1"), languages).join(corpus, "doc_id")
     assert found.where("lang_pred <> lang").count() == 0
     assert found.where("score < 0 OR score > 1").count() == 0
