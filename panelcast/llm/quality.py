@@ -14,9 +14,9 @@ from panelcast.llm.common import arrow_pass, materialise, utf8
 
 ORDER = 5
 PAD = b"\0" * (ORDER - 1)
-STRIP_BYTES = 2 << 20
+STRIP_BYTES = 1 << 19
 # A task holds this many distinct n-grams before it sends their counts.
-HELD_GRAMS = 1 << 21
+HELD_GRAMS = 1 << 20
 # Entries of the model that are broadcast at a time, some 12 bytes each.
 SHARD_ENTRIES = 4 << 20
 QUANTILE = 0.99

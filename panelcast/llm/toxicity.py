@@ -21,7 +21,7 @@ SMOOTHING = 1.0
 PENALTY = 1e-3
 STEPS = 200
 PAD = b"\0" * (max(ORDERS) - 1)
-STRIP_BYTES = 1 << 20
+STRIP_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -67,7 +67,11 @@ def _slots(group) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(owners: np.ndarray, keys: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    pairs = np.unique(owners.astype(np.int64) * wide + keys)
+    pairs = owners.astype(np.int64)
+    pairs *= wide
+    pairs += keys
+    pairs.sort()
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
     return pairs // wide, pairs % wide
 
 
