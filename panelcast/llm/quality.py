@@ -19,6 +19,12 @@ STRIP_BYTES = 1 << 19
 HELD_GRAMS = 1 << 20
 # Entries of the model that are broadcast at a time, some 12 bytes each.
 SHARD_ENTRIES = 4 << 20
+# Limits come from trusted texts scored by a model of the other folds. A text's hash gives
+# its fold, so that copies stay together.
+FOLDS = 3
+ALL = -1  # instead of a fold: the model of all trusted texts
+# With fewer different trusted texts than this a language has no 0.99 quantile of its own.
+LEAST_TEXTS = 100
 QUANTILE = 0.99
 SLACK = 0.1
 # A short text's perplexity is a rough estimate: it is taken this many nats lower over the
@@ -63,8 +69,16 @@ def _grams(group) -> tuple[np.ndarray, np.ndarray]:
     return owner, keys[np.arange(len(owner)) + first]
 
 
-def gram_counts(trusted: DataFrame) -> DataFrame:
-    """(key, n): how often each n-gram of the highest order occurs in all trusted texts."""
+def _fold() -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), F.col("text")), F.lit(FOLDS)).cast("int")
+
+
+def gram_counts(trusted: DataFrame, folds: int = 0) -> DataFrame:
+    """(fold, key, n): how often each n-gram of the highest order occurs in trusted texts.
+
+    Fold ``ALL`` counts all of them. With ``folds``, trusted has a column ``fold``, and fold
+    f counts the texts of all folds but f.
+    """
 
     def merge(parts):
         keys = np.concatenate([k for k, _ in parts])
@@ -80,8 +94,11 @@ def gram_counts(trusted: DataFrame) -> DataFrame:
     def work(batches):
         parts, size = [], 0
         for batch in batches:
+            fold = batch.column("fold").to_numpy().astype(np.int64)
             for group in _strips(utf8(batch.column("text"))):
-                parts.append(np.unique(_grams(group)[1], return_counts=True))
+                owner, keys = _grams(group)
+                keys |= (fold[[i for i, _, _ in group]] << 8 * ORDER)[owner]
+                parts.append(np.unique(keys, return_counts=True))
                 size += len(parts[-1][0])
                 if size > HELD_GRAMS:
                     parts = [merge(parts)]
@@ -92,15 +109,27 @@ def gram_counts(trusted: DataFrame) -> DataFrame:
         if parts:
             yield batch_of(*merge(parts))
 
-    sent = arrow_pass(trusted.select("text"), work, "key long, n long")
-    return sent.groupBy("key").agg(F.sum("n").alias("n"))
+    texts = trusted.select("text", "fold" if folds else F.lit(0).alias("fold"))
+    sent = arrow_pass(texts, work, "key long, n long")
+    fold = F.shiftright("key", 8 * ORDER)
+    key = F.col("key").bitwiseAND(F.lit((1 << 8 * ORDER) - 1)).alias("key")
+    own = [F.coalesce(F.sum(F.when(fold == f, F.col("n"))), F.lit(0)) for f in range(folds)]
+    counts = [(ALL, F.sum("n")), *((f, F.sum("n") - n) for f, n in enumerate(own))]
+    rows = F.array(*(F.struct(F.lit(f).alias("fold"), n.alias("n")) for f, n in counts))
+    out = sent.groupBy(key).agg(rows.alias("rows")).select("key", F.explode("rows").alias("row"))
+    return out.select("row.fold", "key", "row.n").where("n > 0")
+
+
+def _discounts(counts: DataFrame) -> dict[int, list[float]]:
+    """Each fold's modified Kneser-Ney discounts for counts of 1, 2 and more."""
+    counted = counts.groupBy("fold").agg(
+        *[F.count(F.when(F.col("n") == i, 1)) for i in range(1, 5)]
+    )
+    return {r[0]: _discounts_of(*r[1:]) for r in counted.collect()}
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and more, from counts of counts."""
-    n1, n2, n3, n4 = (
-        counts.agg(*[F.count(F.when(F.col("n") == i, 1)) for i in range(1, 5)]).first()
-    )
+def _discounts_of(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """The discounts from counts of counts."""
     if not (n1 and n2 and n3 and n4):
         return [0.5, 0.75, 0.9]  # too few n-grams to estimate them
     y = n1 / (n1 + 2.0 * n2)
@@ -108,20 +137,21 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.05), i - 0.05) for i, d in enumerate(raw, 1)]
 
 
-def train(trusted: DataFrame) -> DataFrame:
+def train(trusted: DataFrame, folds: int = 0) -> DataFrame:
     """The model of all trusted texts (column ``text``) as a written table.
 
-    Rows (kind, size, key, value): kind 0 holds log probabilities of seen n-grams, kind 1
+    With ``folds``, and trusted texts' ``fold``, the table also has for each fold a model of
+    all other folds' texts. Rows (fold, kind, size, key, value): kind 0 holds log probabilities of seen n-grams, kind 1
     the log weights that a seen context gives to the next shorter one. Lower orders count
     how many bytes an n-gram follows. Counts, context sums and lower-order probabilities
     are aggregates and joins dealt by n-gram, so no task or driver sees the whole model.
     """
-    level = materialise(gram_counts(trusted))
+    level = materialise(gram_counts(trusted, folds))
     tables = {ORDER: level}
     for size in range(ORDER - 1, 0, -1):
         mask = (1 << 8 * size) - 1
         level = materialise(
-            level.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(
+            level.groupBy("fold", F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(
                 F.count(F.lit(1)).alias("n")
             )
         )
@@ -129,25 +159,27 @@ def train(trusted: DataFrame) -> DataFrame:
     model, lower = None, None
     for size in range(1, ORDER + 1):
         counts = tables[size].withColumn("context", F.shiftright("key", 8))
-        d1, d2, d3 = _discounts(tables[size])
-        discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        contexts = counts.groupBy("context").agg(
+        discount = F.lit(None).cast("double")
+        for fold, (d1, d2, d3) in _discounts(tables[size]).items():
+            own = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+            discount = F.when(F.col("fold") == fold, own).otherwise(discount)
+        contexts = counts.groupBy("fold", "context").agg(
             F.sum("n").alias("total"), F.sum(discount).alias("held")
         )
-        joined = counts.join(contexts, "context")
+        joined = counts.join(contexts, ["fold", "context"])
         if lower is None:
             below = F.lit(1.0 / 256)
         else:
             suffix = F.col("key").bitwiseAND(F.lit((1 << 8 * (size - 1)) - 1))
-            joined = joined.withColumn("suffix", suffix).join(lower, "suffix")
+            joined = joined.withColumn("suffix", suffix).join(lower, ["fold", "suffix"])
             below = F.col("p_lower")
         p = (F.col("n") - discount + F.col("held") * below) / F.col("total")
-        probabilities = materialise(joined.select("key", p.alias("p")))
-        lower = probabilities.select(F.col("key").alias("suffix"), F.col("p").alias("p_lower"))
+        probabilities = materialise(joined.select("fold", "key", p.alias("p")))
+        lower = probabilities.select("fold", F.col("key").alias("suffix"), F.col("p").alias("p_lower"))
 
         def rows(kind: int, size: int, key: str, value: Column, of: DataFrame) -> DataFrame:
             return of.select(
-                F.lit(kind).alias("kind"), F.lit(size).alias("size"), F.col(key).alias("key"),
+                "fold", F.lit(kind).alias("kind"), F.lit(size).alias("size"), F.col(key).alias("key"),
                 value.cast("float").alias("value"),
             )
 
@@ -158,6 +190,11 @@ def train(trusted: DataFrame) -> DataFrame:
     return materialise(model)
 
 
+def of_fold(model: DataFrame, fold: int) -> DataFrame:
+    """The rows of one model of a table with several."""
+    return model.where(F.col("fold") == fold).drop("fold")
+
+
 @dataclass(frozen=True)
 class Shard:
     """What is needed to score the bytes that follow certain bytes."""
@@ -284,23 +321,43 @@ def log_perplexity(df: DataFrame, model: DataFrame, entries: int = SHARD_ENTRIES
 def thresholds(trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> dict[str, float]:
     """Largest lower estimate that passes, by language and for ``any`` other.
 
-    The quantile over all trusted rows (log_ppl_low, lang) of a language, taken exactly from
-    a histogram with bins of a thousandth, plus ``slack`` for texts the model has not seen.
+    The quantile over all trusted rows (log_ppl_low, lang, text_key) of a language, taken
+    exactly from a histogram with bins of a thousandth, plus ``slack``. ``log_ppl_low`` must
+    come from a model that has not seen the text. Fewer than ``LEAST_TEXTS`` different texts
+    say that clean text goes so far, not that it goes no further: such a language has the
+    largest of the common limit, its own largest text, and its median text plus the widest
+    distance from median to quantile in the other languages.
     """
     bins = (
         trusted.where("log_ppl_low IS NOT NULL")
-        .groupBy("lang", F.ceil(F.col("log_ppl_low") * BINS).alias("bin"))
+        .groupBy("lang", "text_key", F.ceil(F.col("log_ppl_low") * BINS).alias("bin"))
         .count()
+        .groupBy("lang", "bin")
+        .agg(F.sum("count").alias("count"), F.count(F.lit(1)).alias("texts"))
         .collect()
     )
-    out = {}
-    for lang in {b["lang"] for b in bins if b["lang"] is not None} | {None}:
-        own = sorted((b["bin"], b["count"]) for b in bins if lang is None or b["lang"] == lang)
-        if own:
-            reach = np.cumsum([n for _, n in own])
-            at = int(np.searchsorted(reach, quantile * reach[-1]))
-            out[ANY if lang is None else lang] = own[min(at, len(own) - 1)][0] / BINS + slack
-    return out
+
+    def cut(rows, part: float, weight: str = "count") -> float:
+        own = sorted((b["bin"], b[weight]) for b in rows)
+        reach = np.cumsum([n for _, n in own])
+        at = int(np.searchsorted(reach, part * reach[-1]))
+        return own[min(at, len(own) - 1)][0] / BINS
+
+    if not bins:
+        return {}
+    by_lang = {}
+    for b in bins:
+        if b["lang"] is not None:
+            by_lang.setdefault(b["lang"], []).append(b)
+    few = {k for k, rows in by_lang.items() if sum(b["texts"] for b in rows) < LEAST_TEXTS}
+    known = [rows for k, rows in by_lang.items() if k not in few] or [bins]
+    spread = max(cut(rows, quantile) - cut(rows, 0.5) for rows in known)
+    out = {ANY: cut(bins, quantile)}
+    for lang, rows in by_lang.items():
+        out[lang] = cut(rows, quantile)
+        if lang in few:
+            out[lang] = max(out[ANY], cut(rows, 1.0), cut(rows, 0.5, "texts") + spread)
+    return {lang: limit + slack for lang, limit in out.items()}
 
 
 def judged(
@@ -321,11 +378,21 @@ def judged(
 
 
 def fit(trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK):
-    """Model and limits of trusted rows (text, lang)."""
-    trusted = trusted.select("text", "lang")
-    model = train(trusted)
-    limits = thresholds(log_perplexity(trusted, model), quantile, slack)
-    return model, limits
+    """Model and limits of trusted rows (text, lang).
+
+    The model is of all of them. The limits are of perplexities that each text has in a
+    model of the folds it is not in; a fold's scores are written before the next is loaded.
+    """
+    trusted = trusted.select("text", "lang", _fold().alias("fold"))
+    models = train(trusted, FOLDS)
+    scored = None
+    for fold in range(FOLDS):
+        part = log_perplexity(trusted.where(F.col("fold") == fold), of_fold(models, fold)).select(
+            "lang", F.xxhash64("text").alias("text_key"), "log_ppl_low"
+        )
+        part = materialise(part)
+        scored = part if scored is None else scored.unionByName(part)
+    return of_fold(models, ALL), thresholds(scored, quantile, slack)
 
 
 def quality(

@@ -68,11 +68,6 @@ def test_stages_are_the_dealt_ones():
     assert corpus_pipeline.NEAR == Rule(5, 80, 100)
 
 
-@pytest.mark.xfail(
-    reason="known fault: limits are taken on the texts the model was trained on, so with only "
-    "some 200 short trusted texts the quality stage drops about a sixth of the unseen clean ones",
-    strict=False,
-)
 def test_every_stage_on_planted_documents(spark, folder):
     rows, _, kind = planted()
     docs = spark.read.parquet(f"{folder}/documents.parquet")

@@ -121,3 +121,34 @@ def test_long_texts_in_strips(spark, corpus, monkeypatch):
     texts = corpus.orderBy("doc_id").select("text").toArrow().column(0).combine_chunks()
     sums, sizes = q._log_sums(pa.array(texts.to_pylist()), shard)
     assert all(math.isclose(-s / n, e, rel_tol=1e-9) for s, n, (_, e) in zip(sums, sizes, whole, strict=True))
+
+
+def test_limits_come_from_unseen_texts(spark, corpus):
+    rng = random.Random(60)
+    syllables = "ka to mi ré lo sa nu ve".split()
+    strange = "zu xo wi qé ru gy".split()
+
+    def text(of):
+        return " ".join("".join(rng.choices(of, k=rng.randint(1, 3))) for _ in range(40))
+
+    trusted = [(text(syllables), "xx") for _ in range(150)] + [(text(strange), "rare") for _ in range(8)]
+    trusted += trusted[-1:] * 200  # copies do not make many texts
+    model, limits = q.fit(spark.createDataFrame(trusted, "text string, lang string"))
+    assert limits["rare"] >= limits[q.ANY]
+    unseen = [(i, text(syllables), "xx") for i in range(150)] + [(200 + i, text(strange), "rare") for i in range(100)]
+    docs = spark.createDataFrame(unseen, "doc_id long, text string, lang string")
+    out = q.judged(docs, model, limits)
+    assert out.where("lang = 'xx' AND NOT keep").count() <= 6
+    assert out.where("lang = 'rare' AND NOT keep").count() <= 10
+    junk = docs.where("lang = 'xx'").withColumn("text", F.expr("replace(upper(text), ' ', '## ')"))
+    assert q.judged(junk, model, limits).where("keep").count() <= 2
+
+
+def test_fold_models_are_those_of_the_other_texts(corpus):
+    trusted = corpus.where("quality = 1").select("doc_id", "text", q._fold().alias("fold"))
+    models = q.train(trusted, q.FOLDS)
+    for fold in (q.ALL, *range(q.FOLDS)):
+        others = trusted.where(F.col("fold") != fold)
+        brute = Brute([r.text.encode() for r in others.collect()])
+        for r in q.log_perplexity(trusted.limit(40), q.of_fold(models, fold)).collect():
+            assert math.isclose(r.log_ppl, brute.log_ppl(r.text.encode()), rel_tol=1e-5)
