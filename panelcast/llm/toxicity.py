@@ -9,13 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import arrow_pass, counter_rows, hash_share, sum_counters, texts, utf8
+from panelcast.llm.common import (
+    arrow_pass,
+    counter_rows,
+    materialise,
+    sum_counters,
+    texts,
+    utf8,
+)
 
 ORDERS = (3, 4, 5)
 SLOTS = 1 << 20
 FEATURES = 8192
-# The weights are fitted on at most about so many labelled rows of each class, drawn by a
-# hash of the text; the log-count ratios and the choice of features use all of them.
+# The weights are fitted on so many different labelled texts of each class, or all where it
+# has fewer, drawn by a hash; the log-count ratios and the choice of features use all rows.
 FIT_ROWS = 2000
 SMOOTHING = 1.0
 PENALTY = 1e-3
@@ -97,7 +104,8 @@ def fit(labelled: DataFrame, *, text_col="text", label_col="toxic", fit_rows: in
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.col(label_col).cast("int").alias("label"),
     ).where("label IN (0, 1)")
-    totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    digests = materialise(rows.groupBy("label", F.xxhash64("text").alias("digest")).count())
+    totals = {r[0]: r[1] for r in digests.groupBy("label").agg(F.sum("count")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     empty = Model(np.array([], np.int64), np.array([]), float(np.log((n1 + 0.5) / (n0 + 0.5))))
     if not n0 or not n1:
@@ -134,8 +142,9 @@ def fit(labelled: DataFrame, *, text_col="text", label_col="toxic", fit_rows: in
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(what, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("label"), lists], ["label", "features"])
 
-    share = F.when(F.col("label") == 1, min(1.0, fit_rows / n1)).otherwise(min(1.0, fit_rows / n0))
-    once = rows.where(hash_share("text", share)).dropDuplicates(["label", "text"])
+    last = _last_digests(digests, fit_rows)
+    limit = F.when(F.col("label") == 1, last[1]).otherwise(last[0])
+    once = rows.where(F.xxhash64("text") <= limit).dropDuplicates(["label", "text"])
     sample = arrow_pass(once, sets, "label int, features array<int>").limit(4 * fit_rows).toArrow()
     labels = sample.column("label").to_numpy()
     lists = sample.column("features").combine_chunks()
@@ -147,6 +156,20 @@ def fit(labelled: DataFrame, *, text_col="text", label_col="toxic", fit_rows: in
     return Model(slots, weights * ratio[slots], float(intercept + np.log(n1 / n0 / drawn)))
 
 
+def _last_digests(digests: DataFrame, fit_rows: int) -> dict[int, int]:
+    """For each class the largest digest of its ``fit_rows`` smallest ones, exactly.
+
+    Only digests up to a bound that surely holds enough of them are sorted.
+    """
+    last = {}
+    for label, n in digests.groupBy("label").count().collect():
+        share = min(1.0, (8 * fit_rows + 100) / n)
+        bound = int(share * ((1 << 64) - 1)) - (1 << 63) if share < 1 else (1 << 63) - 1
+        few = digests.where((F.col("label") == label) & (F.col("digest") <= F.lit(bound)))
+        last[label] = few.orderBy("digest").limit(fit_rows).agg(F.max("digest")).first()[0]
+    return last
+
+
 def _logistic(labels: np.ndarray, lists: pa.ListArray, scale: np.ndarray) -> tuple[np.ndarray, float]:
     """Penalised logistic regression on the scaled binary features, by accelerated descent."""
     what = lists.flatten().to_numpy()

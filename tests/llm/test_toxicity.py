@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from llm_rows import no_docs, odd_docs, rows_of  # noqa: F401
 
-from panelcast.llm import common
+from panelcast.llm import common, toxicity
 from panelcast.llm.common import bloom, labelled
 from panelcast.llm.toxicity import ORDERS, _distinct, _slots, fit, keep_clean, score
 
@@ -80,3 +80,22 @@ def test_filter(spark):
     marked = bloom(spark.range(0, 50_000).withColumnRenamed("id", "k"), "k")
     assert marked.may_hold(np.arange(50_000)).all()
     assert marked.may_hold(np.arange(100_000, 200_000)).mean() < 0.02
+
+
+def test_copies_do_not_empty_the_sample(spark, corpus):
+    toxic = [r.text for r in corpus.where("toxic = 1").limit(12).collect()]
+    rows = [(t, 1) for t in toxic * 400]
+    rows += [(r.text, 0) for r in corpus.where("toxic = 0").collect()] * 12
+    labelled_rows = spark.createDataFrame(rows, "text string, toxic int")
+    model = fit(labelled_rows, fit_rows=40)
+    assert len(model.slots)
+    found = score(spark.createDataFrame(list(enumerate(toxic)), "doc_id long, text string"), model)
+    assert found.where("predicted = 1").count() == len(toxic)
+
+
+def test_every_class_fills_its_sample(spark):
+    rows = [(0, d) for d in range(-(1 << 63), 1 << 63, 1 << 50)] + [(1, 7), (1, -3)]
+    digests = spark.createDataFrame(rows, "label int, digest long")
+    last = toxicity._last_digests(digests, 30)
+    assert last[1] == 7
+    assert digests.where(f"label = 0 AND digest <= {last[0]}").count() == 30
