@@ -43,20 +43,23 @@ def learn(
 ) -> Languages:
     """Dictionaries from a bounded sample of labelled rows.
 
-    Rows are drawn by a hash of their text, at a rate that follows each language's count,
-    so no language is gathered whole; equal texts count once. Null texts or languages and
+    Rows are drawn by a hash of their text, at a rate that follows each language's number of
+    different texts, so no language is gathered whole and each fills its sample if it can;
+    equal texts count once. Null texts or languages and
     texts without a letter are left out. Excerpts start at a place the hash picks.
     """
     rows = df.select(
         F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    distinct = rows.select("lang", F.xxhash64("text").alias("key")).distinct()
+    counts = {r["lang"]: r["count"] for r in distinct.groupBy("lang").count().collect()}
     if not counts:
         return Languages({})
     share: Column = F.lit(1.0)
     for lang, n in counts.items():
-        if n > 8 * sample_texts:
-            share = F.when(F.col("lang") == lang, 8.0 * sample_texts / n).otherwise(share)
+        most = 8 * sample_texts + 100
+        if n > most:
+            share = F.when(F.col("lang") == lang, most / n).otherwise(share)
     key = F.xxhash64("text")
     room = F.greatest(F.lit(1), F.char_length("text") - excerpt_chars + 1)
     picked = (

@@ -51,3 +51,15 @@ def test_odd_rows(odd_docs, no_docs):  # noqa: F811
     assert learn(no_docs) == Languages({})
     assert {r.lang_pred for r in identify(odd_docs, Languages({})).collect()} == {"und"}
     assert {r.lang_pred for r in identify(odd_docs, Languages({"q": b"abc"})).collect()} == {"und", "q"}
+
+
+def test_copies_do_not_empty_a_dictionary(spark):
+    rng = random.Random(80)
+    few = [text(rng, "yy", 40) for _ in range(4)]
+    many = [text(rng, "xx", 40) for _ in range(600)]
+    rows = [(t, "yy") for t in few * 1000] + [(t, "xx") for t in many * 10]
+    languages = learn(spark.createDataFrame(rows, "text string, lang string"), sample_texts=5)
+    assert set(languages.content) == {"xx", "yy"}
+    assert sorted(languages.content["yy"].decode().split("\n")) == sorted(t[:512] for t in few)
+    parts = languages.content["xx"].decode().split("\n")
+    assert len(set(parts)) == 5 and set(parts) <= {t[:512] for t in many}
