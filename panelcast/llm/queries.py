@@ -10,6 +10,7 @@ from panelcast.llm import (
     bpe,
     exact_dedup,
     langid,
+    lexical,
     ngram_join,
     packing,
     quality,
@@ -87,6 +88,11 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(docs, labelled(docs, labels, "quality"))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return lexical.search(docs, read(spark, folder, "benchmark", "item_id", "text"), 50)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -98,10 +104,17 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_ranked_search": op11_ranked_search,
 }
 
 _RULE_ROWS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
 
+_TERMS = (
+    "regexp_extract_all(translate(coalesce(text, ''), "
+    f"'{url_filter.UPPER}', '{url_filter.UPPER.lower()}'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
 ORACLES = {
     "op2_ngram_jaccard_join": rf"""
 WITH RECURSIVE words AS (
@@ -199,5 +212,33 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> largest THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id <> largest THEN largest END AS refers_to
 FROM ranked
+""",
+    "op11_ranked_search": f"""
+WITH words AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+totals AS (SELECT count(*) AS docs, sum(len(w)) AS terms FROM words WHERE len(w) > 0),
+sized AS (
+  SELECT doc_id, 100 - 50 + ((50 * len(w) * docs) // terms) AS m FROM words, totals WHERE len(w) > 0
+),
+counts AS (
+  SELECT doc_id, term, count(*) AS tf
+  FROM (SELECT doc_id, unnest(w) AS term FROM words) GROUP BY doc_id, term
+),
+weights AS (
+  SELECT term,
+    CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM counts, totals GROUP BY term
+),
+items AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+scores AS (
+  SELECT item_id, doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM items JOIN counts USING (term) JOIN weights USING (term) JOIN sized USING (doc_id)
+  GROUP BY item_id, doc_id
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
 """,
 }
