@@ -18,6 +18,7 @@ from panelcast.llm import (
     toxicity,
     url_filter,
     warc,
+    whitening,
 )
 from panelcast.llm.common import in_fold, labelled, read
 
@@ -93,6 +94,10 @@ def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(docs, read(spark, folder, "benchmark", "item_id", "text"), 50)
 
 
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_embeddings(read(spark, folder, "embeddings", "vec_id", "embedding"), 4)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -105,6 +110,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_ranked_search": op11_ranked_search,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 _RULE_ROWS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
