@@ -14,6 +14,7 @@ from panelcast.llm import (
     ngram_join,
     packing,
     quality,
+    token_store,
     topk,
     toxicity,
     url_filter,
@@ -98,6 +99,12 @@ def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened_embeddings(read(spark, folder, "embeddings", "vec_id", "embedding"), 4)
 
 
+def op13_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    store = token_store.write_store(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
+    return token_store.read_store(store)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -111,6 +118,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_ranked_search": op11_ranked_search,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_token_store": op13_token_store,
 }
 
 _RULE_ROWS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
