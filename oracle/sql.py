@@ -90,7 +90,7 @@ def _csv(items) -> str:
 
 
 def stmt(ctes: list[str], select: str) -> str:
-    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(c.strip() for c in ctes) + "\n" + select
 
 
 def on_panel(select: str, *ctes: str) -> str:
@@ -406,6 +406,349 @@ def df_t(t: str) -> str:
     return f"{slope} / sqrt({sse} / ({t}_n - 2) / {t}_xx)"
 
 
+def regression(src: str, by: str, y: str, xs: list[str], out: str, where: str = "true") -> str:
+    """CTEs that end in ``out`` (by, n, a, b, sse, v): least squares with a constant.
+
+    The normal equations of the deviations from the means, with the identity beside them,
+    are solved by Gauss-Jordan elimination, a pivot at a time. ``b`` are the slopes, ``v``
+    the diagonal of the inverse.
+    """
+    k = len(xs)
+    there = " AND ".join(f"{c} IS NOT NULL" for c in [*xs, y])
+    rows = _csv(
+        "[" + _csv(f"covar_pop({a}, {b}) * count(*)" for b in [*xs, y])
+        + "".join(f", CAST({int(i == j)} AS DOUBLE)" for j in range(k)) + "]"
+        for i, a in enumerate(xs)
+    )
+    return f"""
+{out}_sums AS (
+  SELECT {by}, count(*) AS n, avg({y}) AS my, [{_csv(f"avg({x})" for x in xs)}] AS mx,
+         var_pop({y}) * count(*) AS syy, [{_csv(f"covar_pop({x}, {y}) * count(*)" for x in xs)}] AS sxy,
+         [{rows}] AS m
+  FROM {src} WHERE ({where}) AND {there} GROUP BY {by}),
+{out}_steps AS (
+  SELECT {by}, m, 1 AS s FROM {out}_sums WHERE n > {k + 1}
+  UNION ALL
+  SELECT {by}, list_transform(m, lambda row, i: CASE
+      WHEN i = s THEN list_transform(row, lambda v: v / m[s][s])
+      ELSE list_transform(row, lambda v, j: v - row[s] / m[s][s] * m[s][j]) END), s + 1
+  FROM {out}_steps WHERE s <= {k}),
+{out}_solved AS (
+  SELECT *, [{_csv(f"m[{i}][{k + 1}]" for i in range(1, k + 1))}] AS b,
+         [{_csv(f"m[{i}][{k + 1 + i}]" for i in range(1, k + 1))}] AS v
+  FROM {out}_steps WHERE s = {k + 1}),
+{out} AS (
+  SELECT {by}, n, b, v, my - list_dot_product(b, mx) AS a, syy - list_dot_product(b, sxy) AS sse
+  FROM {out}_solved JOIN {out}_sums USING ({by}))"""
+
+
+def linear(a: str, b: str, xs: list[str], first: int = 1) -> str:
+    return " + ".join([a, *(f"{b}[{i}] * {x}" for i, x in enumerate(xs, first))])
+
+
+STEPS = f"""
+st AS (
+  SELECT {KEY}, y, ly_l1, ly - ly_l1 AS step, row_number() OVER ({W}) AS t, date <= {TRAIN_END} AS in_fit
+  FROM (SELECT {KEY}, value_lakhs AS y, ln(value_lakhs) AS ly, lag(ln(value_lakhs)) OVER ({W}) AS ly_l1
+        FROM panel))"""
+
+
+def inside(k: int, q: int) -> list[str]:
+    """One or two shock coefficients, moved to where old shocks die out."""
+
+    def clip(x: str) -> str:
+        return f"greatest(least({x}, 0.98), -0.98)"
+
+    if q == 1:
+        return [clip(f"b[{k + 1}]")]
+    second = clip(f"b[{k + 2}]")
+    return [f"{clip(f'b[{k + 1}] / (1 + {second})')} * (1 + {second})", second]
+
+
+def arma(out: str, p: int, q: int, seasonal: int = 0, src: str = "st", by: str = "brand, zone") -> str:
+    """CTEs that end in ``out``: ``src`` rows (by, t, step, in_fit, ...) with n, a, b and delta."""
+    w = f"PARTITION BY {by} ORDER BY t"
+    lags = [*range(1, p + 1), *(12 * i for i in range(1, seasonal + 1))]
+    first = [f"a{i}" for i in range(1, p + q + 3)]
+    xs, es = [f"x{i}" for i in lags], [f"e{i}" for i in range(1, q + 1)]
+    wide = _csv([*(f"lag(step, {i}) OVER ({w}) AS a{i}" for i in range(1, p + q + 3)),
+                 *(f"lag(step, {i}) OVER ({w}) AS x{i}" for i in lags)])
+    base = linear("a", "b", xs)
+    walked = "".join(f" + b[{len(xs) + i}] * e{i}" for i in range(1, q + 1))
+    zero = _csv(f"CAST(0 AS DOUBLE) AS e{i}" for i in range(1, q + 1))
+    shift = _csv(
+        "coalesce(step - delta, 0) AS e1" if i == 1 else f"e{i - 1} AS e{i}" for i in range(1, q + 1)
+    )
+    old = _csv(f"w.e{i} AS e{i}" for i in range(1, q + 1))
+    return f"""
+{out}_l AS (SELECT *, {wide} FROM {src}),
+{regression(f"{out}_l", by, "step", first, f"{out}_c1", "in_fit")},
+{out}_r AS (
+  SELECT l.*, step - ({linear("a", "b", first)}) AS shock FROM {out}_l l LEFT JOIN {out}_c1 USING ({by})),
+{out}_e AS (SELECT *, {_csv(f"lag(shock, {i}) OVER ({w}) AS e{i}" for i in range(1, q + 1))} FROM {out}_r),
+{regression(f"{out}_e", by, "step", [*xs, *es], f"{out}_c2", "in_fit")},
+{out}_c AS (SELECT {by}, n, a, [{_csv([*(f"b[{i}]" for i in range(1, len(xs) + 1)), *inside(len(xs), q)])}] AS b FROM {out}_c2),
+{out}_b AS (SELECT l.*, n, a, b, {base} AS base FROM {out}_l l LEFT JOIN {out}_c USING ({by})),
+{out}_w AS (
+  SELECT {by}, t, step, base AS delta, {zero} FROM {out}_b WHERE t = 1
+  UNION ALL
+  SELECT {by}, t, step, base{walked} AS delta, {_csv(es)}
+  FROM (SELECT {_csv(f"r.{c} AS {c}" for c in [*by.split(", "), "t", "step", "base", "b"])}, {old}
+        FROM (SELECT {by}, t, {shift} FROM {out}_w) w
+        JOIN {out}_b r ON {" AND ".join(f"r.{c} = w.{c}" for c in by.split(", "))} AND r.t = w.t + 1)),
+{out} AS (SELECT r.*, w.delta FROM {out}_b r JOIN (SELECT {by}, t, delta FROM {out}_w) w USING ({by}, t))"""
+
+
+ORDERS = {"arima_111": (1, 1, 0), "arima_212": (2, 2, 0), "sarima": (1, 1, 1)}
+ARIMAS = f"""{",".join(arma(name, *order) for name, order in ORDERS.items())},
+arimas AS (
+  SELECT {KEY}, st.y, {_csv(f"exp(ly_l1 + {name}.delta) AS {name}" for name in ORDERS)}
+  FROM st {" ".join(f"JOIN (SELECT {KEY}, delta FROM {name}) {name} USING ({KEY})" for name in ORDERS)})"""
+ORIGINS = f"""
+origins AS (
+  SELECT CAST({TRAIN_END} + to_months(CAST(i AS INTEGER)) AS DATE) AS origin FROM range(1, 7) g(i)),
+so AS (
+  SELECT st.* EXCLUDE (in_fit), origin, date < origin AS in_fit FROM st JOIN origins ON date <= origin)"""
+AHEAD = f"""
+last_row AS (SELECT brand, zone, max(date) AS date FROM panel GROUP BY brand, zone),
+ahead AS (
+  SELECT brand, zone, CAST((SELECT max(date) FROM panel) + INTERVAL 1 MONTH AS DATE) AS date,
+         ln(value_lakhs) AS ly_l1
+  FROM panel JOIN last_row USING (brand, zone, date)),
+sf AS (
+  SELECT * EXCLUDE (t), row_number() OVER ({W}) AS t
+  FROM (SELECT * FROM st UNION ALL
+        SELECT brand, zone, date, CAST(NULL AS DOUBLE), ly_l1, CAST(NULL AS DOUBLE), 0, false FROM ahead)),
+{arma("sarima", 1, 1, 1, "sf")},
+fc AS (
+  SELECT brand, zone, ahead.date AS target_month, exp(ahead.ly_l1) AS last_actual,
+         exp(ahead.ly_l1 + delta) AS prediction
+  FROM ahead JOIN sarima USING (brand, zone, date)),
+totals AS (
+  SELECT brand, 'All India (U+R)' AS zone, target_month,
+         CASE WHEN bool_and(last_actual IS NOT NULL) THEN sum(last_actual) END AS last_actual,
+         CASE WHEN bool_and(prediction IS NOT NULL) THEN sum(prediction) END AS prediction
+  FROM fc GROUP BY brand, target_month),
+fc_all AS (SELECT * FROM fc UNION ALL SELECT * FROM totals)"""
+
+
+def adf(p: int, name: str, v: str) -> str:
+    """CTEs that end in ``{name}{p}``: the augmented Dickey-Fuller regression of column ``v``."""
+    lags = [f"x{i} - x{i + 1} AS d{i}" for i in range(1, p + 1)]
+    wide = _csv([v + " AS x0", *(f"lag({v}, {i}) OVER ({W}) AS x{i}" for i in range(1, p + 2))])
+    return f"""
+{name}{p}_l AS (
+  SELECT brand, zone, x0 - x1 AS dy, x1, {_csv(lags)} FROM (SELECT {KEY}, {wide} FROM adf_steps)),
+{regression(f"{name}{p}_l", "brand, zone", "dy", ["x1", *(f"d{i}" for i in range(1, p + 1))], f"{name}{p}")}"""
+
+
+ADF = f"""
+adf_steps AS (
+  SELECT {KEY}, ln(value_lakhs) AS v, ln(value_lakhs) - lag(ln(value_lakhs)) OVER ({W}) AS dv FROM train),
+{",".join(adf(p, name, v) for p in (1, 2, 3) for name, v in (("level", "v"), ("diff", "dv")))}"""
+
+
+def adf_rows(p: int) -> str:
+    def t(name: str) -> str:
+        return f"{name}{p}.b[1] / sqrt({name}{p}.sse / ({name}{p}.n - {p + 2}) * {name}{p}.v[1])"
+
+    return f"""SELECT brand, zone, {p} AS lags, coalesce(level{p}.n, 0) AS n_rows, {t("level")} AS tl, {t("diff")} AS td
+FROM (SELECT DISTINCT brand, zone FROM train) LEFT JOIN level{p} USING (brand, zone)
+LEFT JOIN diff{p} USING (brand, zone)"""
+
+
+def eliminated(columns: list[str], matrix: str, out: str, src: str) -> str:
+    """CTEs that end in ``out`` (m, rank): a k x k matrix eliminated on all pivots that are not rounding.
+
+    Each row is the matrix's, then the identity's; ``matrix`` is the expression of entry (i, j).
+    """
+    k = len(columns)
+    rows = _csv(
+        "[" + _csv(matrix.format(a=a, b=b) for b in columns)
+        + "".join(f", CAST({int(i == j)} AS DOUBLE)" for j in range(k)) + "]"
+        for i, a in enumerate(columns)
+    )
+    return f"""
+{out}_first AS (SELECT count(*) AS n, [{rows}] AS m FROM {src}),
+{out}_steps AS (
+  SELECT n, m, m AS whole, 0 AS rank, 1 AS s FROM {out}_first
+  UNION ALL
+  SELECT n, CASE WHEN m[s][s] > 1e-9 * whole[s][s] THEN
+      list_transform(m, lambda row, i: CASE
+        WHEN i = s THEN list_transform(row, lambda v: v / m[s][s])
+        ELSE list_transform(row, lambda v, j: v - row[s] / m[s][s] * m[s][j]) END)
+      ELSE m END, whole, rank + CAST(m[s][s] > 1e-9 * whole[s][s] AS INTEGER), s + 1
+  FROM {out}_steps WHERE s <= {k}),
+{out} AS (SELECT n, m, rank FROM {out}_steps WHERE s = {k + 1})"""
+
+
+TRAINED = "trained AS (SELECT * FROM clean WHERE split = 'train')"
+VIF = eliminated(NUMERIC, "corr({a}, {b})", "vif", "trained")
+COVAR = "covar_pop({a}, {b}) * count(*)"
+RANKS = (
+    eliminated(["d_l1", "d_l2", "rm3"], COVAR, "trio", "trained")
+    + "," + eliminated(NUMERIC, COVAR, "inputs", "trained")
+)
+# ridge as least squares with rows of the penalty added: the standardised matrix plus 0.1 on its diagonal
+RIDGE = (
+    "penalised AS (SELECT "
+    + _csv(f"({c} - (SELECT avg({c}) FROM trained)) / (SELECT stddev_pop({c}) FROM trained) AS {c}" for c in NUMERIC)
+    + ", target_d - (SELECT avg(target_d) FROM trained) AS target_d FROM trained),"
+    + eliminated(
+        NUMERIC, "avg({a} * {b}) + CASE WHEN '{a}' = '{b}' THEN 0.1 ELSE 0 END", "gram", "penalised"
+    )
+    + ",\nright_side AS (SELECT [" + _csv(f"avg({c} * target_d)" for c in NUMERIC) + "] AS z FROM penalised),\n"
+    + "slopes AS (SELECT ["
+    + _csv(
+        f"list_dot_product(list_slice(m[{i}], {len(NUMERIC) + 1}, {2 * len(NUMERIC)}), z) "
+        f"/ (SELECT stddev_pop({c}) FROM trained)"
+        for i, c in enumerate(NUMERIC, 1)
+    )
+    + "] AS b FROM gram, right_side),\n"
+    + "ridge AS (SELECT b, (SELECT avg(target_d) FROM trained) - ("
+    + " + ".join(f"b[{i}] * (SELECT avg({c}) FROM trained)" for i, c in enumerate(NUMERIC, 1))
+    + ") AS a FROM slopes)"
+)
+
+
+AR1_STEPS = f"""
+st_x AS (SELECT *, lag(step) OVER ({W}) AS x1 FROM st),
+{regression("st_x", "brand, zone", "step", ["x1"], "whole_fit", "in_fit")},
+fold_rows AS (
+  SELECT st_x.*, fold, date <= cutoff AS in_fold FROM st_x JOIN folds ON date <= fold_end),
+{regression("fold_rows", "brand, zone, fold", "step", ["x1"], "fold_fit", "in_fold")},
+errors AS (
+  SELECT brand, CAST(round_even((step - (a + b[1] * x1)) / 1e-4, 0) AS BIGINT) AS bin
+  FROM fold_rows JOIN fold_fit USING (brand, zone, fold)
+  WHERE NOT in_fold AND step - (a + b[1] * x1) IS NOT NULL),
+grid AS (SELECT brand, bin, count(*) AS n FROM errors GROUP BY brand, bin),
+ranked AS (
+  SELECT brand, bin, sum(n) OVER (PARTITION BY brand ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY brand) AS whole
+  FROM grid),
+pooled AS (
+  SELECT bin, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS whole
+  FROM (SELECT bin, sum(n) AS n FROM grid GROUP BY bin)),
+own AS (
+  SELECT brand, any_value(whole) AS n, min(bin) FILTER (WHERE upto >= whole * 0.1::DOUBLE) * 1e-4 AS a1,
+         min(bin) FILTER (WHERE upto >= whole * 0.5::DOUBLE) * 1e-4 AS a5,
+         min(bin) FILTER (WHERE upto >= whole * 0.9::DOUBLE) * 1e-4 AS a9
+  FROM ranked GROUP BY brand),
+of_all AS (
+  SELECT min(bin) FILTER (WHERE upto >= whole * 0.1::DOUBLE) * 1e-4 AS b1,
+         min(bin) FILTER (WHERE upto >= whole * 0.5::DOUBLE) * 1e-4 AS b5,
+         min(bin) FILTER (WHERE upto >= whole * 0.9::DOUBLE) * 1e-4 AS b9
+  FROM pooled),
+quantiles AS (
+  SELECT brand, {_csv(f"n / (n + 30.0::DOUBLE) * a{i} + (1 - n / (n + 30.0::DOUBLE)) * b{i} AS z{i}" for i in (1, 5, 9))}
+  FROM own, of_all),
+bands AS (
+  SELECT {KEY}, y, exp(ly_l1 + a + b[1] * x1) AS prediction,
+         {_csv(f"exp(ly_l1 + a + b[1] * x1) * exp(z{i}) AS q{i}0" for i in (1, 5, 9))}
+  FROM st_x LEFT JOIN whole_fit USING (brand, zone) LEFT JOIN quantiles USING (brand) WHERE NOT in_fit)"""
+
+
+def drift_sql(payload: str) -> list[str]:
+    bin_ = (
+        "CASE WHEN v > 0 THEN CAST(ceil(ln(v) / 0.01980262729617973) AS INTEGER) + 100000 "
+        "WHEN v < 0 THEN -(CAST(ceil(ln(-v) / 0.01980262729617973) AS INTEGER) + 100000) WHEN v = 0 THEN 0 END"
+    )
+
+    def counted(src: str, out: str) -> str:
+        rows = union(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM {src}" for c in NUMERIC)
+        return f"{out} AS (SELECT feature, {bin_} AS bin, count(*) AS n FROM ({rows}) GROUP BY ALL)"
+
+    return [
+        CLOSED,
+        F_,
+        CLEAN,
+        "reference AS (SELECT * FROM clean WHERE split = 'train')",
+        f"payload AS ({payload})",
+        counted("reference", "hr"),
+        counted("payload", "hp"),
+        """both_ AS (
+  SELECT feature, bin, sum(r) AS r, sum(p) AS p
+  FROM (SELECT feature, bin, n AS r, 0 AS p FROM hr UNION ALL SELECT feature, bin, 0, n FROM hp)
+  GROUP BY feature, bin)""",
+        """edges AS (
+  SELECT feature, min(bin) AS edge, g
+  FROM (SELECT feature, bin, CAST(floor(10 * (sum(r) OVER (PARTITION BY feature ORDER BY bin) - r)
+               / sum(r) OVER (PARTITION BY feature)) AS INTEGER) AS g
+        FROM both_ WHERE bin IS NOT NULL AND r > 0)
+  GROUP BY feature, g),
+grouped AS (
+  SELECT feature, r, p, CASE WHEN bin IS NULL THEN -1 ELSE coalesce(
+           (SELECT max(g) FROM edges WHERE edges.feature = b.feature AND edge <= b.bin), 0) END AS g
+  FROM both_ b),
+shares AS (SELECT feature, g, sum(r) AS r, sum(p) AS p FROM grouped GROUP BY feature, g),
+parts AS (
+  SELECT *, (r + 0.5::DOUBLE) / (sum(r) OVER f + 0.5::DOUBLE * count(*) OVER f) AS e,
+         (p + 0.5::DOUBLE) / (sum(p) OVER f + 0.5::DOUBLE * count(*) OVER f) AS a
+  FROM shares WINDOW f AS (PARTITION BY feature)),
+gaps AS (
+  SELECT feature, max(abs(cr / tr - cp / tp)) AS max_gap
+  FROM (SELECT feature, CAST(sum(r) OVER u AS DOUBLE) AS cr, CAST(sum(p) OVER u AS DOUBLE) AS cp,
+               sum(r) OVER t AS tr, sum(p) OVER t AS tp
+        FROM both_ WHERE bin IS NOT NULL
+        WINDOW u AS (PARTITION BY feature ORDER BY bin), t AS (PARTITION BY feature))
+  GROUP BY feature),
+indexed AS (
+  SELECT feature, CAST(sum(r) AS BIGINT) AS n_reference, CAST(sum(p) AS BIGINT) AS n_payload,
+         CAST(coalesce(sum(r) FILTER (WHERE g = -1), 0) AS BIGINT) AS missing_reference,
+         CAST(coalesce(sum(p) FILTER (WHERE g = -1), 0) AS BIGINT) AS missing_payload,
+         sum((a - e) * ln(a / e)) AS psi
+  FROM parts GROUP BY feature)""",
+    ]
+
+
+DRIFT_ROWS = f"""SELECT feature, n_reference, n_payload, missing_reference, missing_payload,
+  {r('psi')} AS psi, {r('max_gap')} AS max_gap,
+  CASE WHEN psi >= 0.25 THEN 'shifted' WHEN psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS level
+FROM indexed JOIN gaps USING (feature)"""
+
+LATTICE = [
+    PANEL.replace("r_name AS zone,", "r_name AS zone, n_name AS town,"),
+    f"""towns AS (
+  SELECT *, lag(value_lakhs) OVER (PARTITION BY brand, zone, town ORDER BY date) AS naive
+  FROM (SELECT brand, zone, town, date, CAST(sum(v) AS DOUBLE) / 1e5 AS value_lakhs
+        FROM lines GROUP BY brand, zone, town, date)),
+lattice AS (
+  SELECT CASE grouping(brand, zone, town) WHEN 0 THEN 'town' WHEN 1 THEN 'zone' WHEN 3 THEN 'brand' ELSE 'all' END AS level,
+         brand, zone, town, date, count(*) AS n_cells,
+         CASE WHEN count(value_lakhs) = count(*) THEN sum(value_lakhs) END AS value_lakhs,
+         count(*) - count(value_lakhs) AS n_missing_value_lakhs,
+         CASE WHEN count(naive) = count(*) THEN sum(naive) END AS naive,
+         count(*) - count(naive) AS n_missing_naive
+  FROM towns GROUP BY GROUPING SETS ((brand, zone, town, date), (brand, zone, date), (brand, date), (date)))""",
+]
+
+
+def coherent(child: str, parent: str, keys: list[str], measure: str) -> str:
+    on = _csv([*keys, "date"])
+    return f"""SELECT '{parent}' AS level, '{child}' AS child, count(*) AS n_cells,
+  count(*) FILTER (WHERE c IS NULL OR p IS NULL) AS n_missing,
+  count(*) FILTER (WHERE c IS NOT NULL AND p IS NOT NULL AND (parts IS NULL OR whole IS NULL)) AS n_incomplete,
+  {r('max(abs((whole - parts) / whole))', 9)} AS max_relative_gap, '{measure}' AS measure
+FROM (SELECT {on}, {measure} AS whole, 1 AS p FROM lattice WHERE level = '{parent}')
+FULL JOIN (SELECT {on}, CASE WHEN count({measure}) = count(*) THEN sum({measure}) END AS parts, 1 AS c
+           FROM lattice WHERE level = '{child}' GROUP BY {on}) USING ({on})"""
+
+
+GAPPY = """
+gappy AS (SELECT * FROM panel WHERE (month(date) * 7 + length(brand)) % 5 <> 0),
+ends AS (SELECT brand, zone, min(date) AS lo, max(date) AS hi FROM gappy GROUP BY brand, zone),
+every_month AS (
+  SELECT brand, zone, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS date FROM ends),
+dense AS (
+  SELECT m.*, value_lakhs, g.date IS NULL AS is_gap, lo, hi
+  FROM every_month m LEFT JOIN gappy g USING (brand, zone, date) JOIN ends USING (brand, zone)),
+runs AS (
+  SELECT *, CASE WHEN is_gap THEN
+    datediff('month', max(date) FILTER (WHERE NOT is_gap) OVER (PARTITION BY brand, zone ORDER BY date),
+             min(date) FILTER (WHERE NOT is_gap) OVER (PARTITION BY brand, zone ORDER BY date DESC)) - 1
+    ELSE 0 END AS gap_length
+  FROM dense)"""
+
+
 def union(rows) -> str:
     return " UNION ALL ".join(rows)
 
@@ -845,6 +1188,140 @@ FROM (SELECT brand, zone, {df_t('l')} AS tl, {df_t('d')} AS td
         + _csv(f"corr({a}, {b}) AS c{i}" for i, (a, b) in enumerate(_pairs))
         + " FROM clean WHERE split = 'train')",
     ),
+    "augmented_dickey_fuller": on_panel(
+        f"""SELECT brand, zone, lags, n_rows, {r('tl')} AS t_level, {r('td')} AS t_diff,
+  CAST(CASE WHEN tl < -2.86 THEN 0 WHEN td < -2.86 THEN 1 END AS INTEGER) AS d
+FROM ({union(adf_rows(p) for p in (1, 2, 3))})""",
+        STAMPED,
+        ADF,
+    ),
+    "arima_backtest": on_closed(
+        f"SELECT {KEY}, y, {rr(list(ORDERS))} FROM arimas WHERE date > {TRAIN_END}", STEPS, ARIMAS
+    ),
+    "arima_coefficients": on_closed(
+        f"""SELECT brand, zone, max(n) AS n_fit, {r('max(a)')} AS constant,
+  {_csv(f"{r(f'max(b[{i}])')} AS {c}" for i, c in enumerate(["ar1", "ar2", "ma1", "ma2"], 1))}
+FROM arima_212 GROUP BY brand, zone""",
+        STEPS,
+        arma("arima_212", 2, 2),
+    ),
+    "eval_arima": stmt(
+        [
+            *BACKTEST,
+            STEPS,
+            ARIMAS,
+            f"whole AS (SELECT bt.*, {_csv(ORDERS)} FROM bt LEFT JOIN arimas USING ({KEY}))",
+            long([*ORDERS, "naive"]).replace("FROM bt", "FROM whole"),
+            SCORES,
+        ],
+        metric_rows([*BASIC, "coverage"]),
+    ),
+    "arima_refitted": on_closed(
+        f"SELECT {KEY}, y, n AS n_fit, {r('exp(ly_l1 + delta)')} AS prediction FROM refit WHERE date = origin",
+        STEPS,
+        ORIGINS,
+        arma("refit", 1, 1, 0, "so", "brand, zone, origin"),
+    ),
+    "forecast_sarima": on_closed(f"SELECT {FC_COLUMNS} FROM fc_all", STEPS, AHEAD),
+    "feature_vif": on_panel(
+        union(
+            f"SELECT '{c}' AS feature, {r(f'CASE WHEN rank = {len(NUMERIC)} THEN m[{i}][{len(NUMERIC) + i}] END')} AS vif FROM vif"
+            for i, c in enumerate(NUMERIC, 1)
+        ),
+        F_,
+        CLEAN,
+        TRAINED,
+        VIF,
+    ),
+    "feature_rank": on_panel(
+        "SELECT 'momentum' AS design, n AS n_rows, 3 AS n_columns, rank FROM trio "
+        f"UNION ALL SELECT 'inputs', n, {len(NUMERIC)}, rank FROM inputs",
+        F_,
+        CLEAN,
+        TRAINED,
+        RANKS,
+    ),
+    "ridge_coefficients": on_panel(
+        f"SELECT 'intercept' AS feature, {r('a')} AS value FROM ridge UNION ALL "
+        + union(f"SELECT '{c}', {r(f'b[{i}]')} FROM ridge" for i, c in enumerate(NUMERIC, 1)),
+        F_,
+        CLEAN,
+        TRAINED,
+        RIDGE,
+    ),
+    "prediction_intervals": on_closed(
+        f"SELECT {KEY}, y, {rr(['prediction', 'q10', 'q50', 'q90'])} FROM bands", STEPS, FOLDS, AR1_STEPS
+    ),
+    "interval_scores": on_closed(
+        union(
+            f"SELECT zone, '{name}' AS metric, {r(value)} AS value FROM scored GROUP BY zone"
+            for name, value in (
+                ("pinball_q10", "avg(CASE WHEN y >= q10 THEN 0.1 * (y - q10) ELSE 0.9 * (q10 - y) END) FILTER (WHERE ok)"),
+                ("pinball_q50", "avg(0.5 * abs(y - q50)) FILTER (WHERE ok)"),
+                ("pinball_q90", "avg(CASE WHEN y >= q90 THEN 0.9 * (y - q90) ELSE 0.1 * (q90 - y) END) FILTER (WHERE ok)"),
+                ("coverage", "avg(CAST(y BETWEEN q10 AND q90 AS DOUBLE)) FILTER (WHERE ok)"),
+                ("width", "sum(q90 - q10) FILTER (WHERE ok) / sum(y) FILTER (WHERE ok)"),
+                ("scored", "avg(CAST(ok AS DOUBLE))"),
+            )
+        ),
+        STEPS,
+        FOLDS,
+        AR1_STEPS,
+        "scored AS (SELECT *, y IS NOT NULL AND q10 IS NOT NULL AND q50 IS NOT NULL AND q90 IS NOT NULL AS ok FROM bands)",
+    ),
+    "drift_holdout": stmt(drift_sql("SELECT * FROM clean WHERE split = 'test'"), DRIFT_ROWS),
+    "drift_shifted": stmt(
+        drift_sql(
+            "SELECT * REPLACE (num_stores_l1 * 1.5 AS num_stores_l1, -sah_d1 - 1.0 AS sah_d1, "
+            "CASE WHEN zone <> 'ASIA' THEN str_days_l1 END AS str_days_l1) FROM clean WHERE split = 'test'"
+        ),
+        DRIFT_ROWS,
+    ),
+    "level_lattice": stmt(
+        LATTICE,
+        f"""SELECT level, brand, zone, town, date, n_cells, {r('value_lakhs', 9)} AS value_lakhs,
+  n_missing_value_lakhs, {r('naive', 9)} AS naive, n_missing_naive FROM lattice""",
+    ),
+    "level_coherence": stmt(
+        LATTICE,
+        union(
+            coherent(child, parent, keys, m)
+            for m in ("value_lakhs", "naive")
+            for child, parent, keys in (
+                ("town", "zone", ["brand", "zone"]), ("zone", "brand", ["brand"]), ("brand", "all", [])
+            )
+        ),
+    ),
+    "densified_panel": on_panel(
+        f"SELECT {KEY}, value_lakhs, is_gap, CAST(gap_length AS INTEGER) AS gap_length FROM runs", GAPPY
+    ),
+    "gap_report": on_panel(
+        """SELECT brand, zone, count(*) AS n_months, count(*) FILTER (WHERE is_gap) AS n_missing,
+  count(*) FILTER (WHERE is_gap AND NOT was_gap) AS n_gaps, CAST(max(gap_length) AS INTEGER) AS longest_gap
+FROM (SELECT *, lag(is_gap) OVER (PARTITION BY brand, zone ORDER BY date) AS was_gap FROM runs)
+GROUP BY brand, zone""",
+        GAPPY,
+    ),
+    "calendar_lags": on_panel(
+        f"""SELECT g.brand, g.zone, g.date, lag(g.value_lakhs) OVER (PARTITION BY g.brand, g.zone ORDER BY g.date) AS row_before,
+  {_csv(f"m{k}.value_lakhs AS value_lakhs_m{k}" for k in (1, 2, 12))}
+FROM gappy g {" ".join(
+            f"LEFT JOIN gappy m{k} ON m{k}.brand = g.brand AND m{k}.zone = g.zone "
+            f"AND m{k}.date = CAST(g.date - to_months({k}) AS DATE)" for k in (1, 2, 12))}""",
+        GAPPY,
+    ),
+    "ridge_backtest": stmt(
+        [
+            *BACKTEST,
+            TRAINED,
+            RIDGE,
+            f"""whole AS (
+  SELECT bt.*, exp(ly_l1 + {linear("a", "b", NUMERIC)}) AS ridge FROM bt, ridge)""",
+            long(["ridge", "naive"]).replace("FROM bt", "FROM whole"),
+            SCORES,
+        ],
+        metric_rows([*BASIC, "coverage"]),
+    ),
     "additivity_check": on_panel(
         f"""SELECT count(*) AS n_cells,
   {r('max(abs(total - parts) / abs(total))', 9)} AS max_relative_error

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.functions.columns import ratio
+from panelcast.functions.columns import log_positive, ratio
 from panelcast.functions.ordering import running
 from panelcast.operators.features import series_window
+from panelcast.operators.linear import cell, correlation, gram, moments, solution, t_value
 from panelcast.spec import PanelSpec
 
 # Published asymptotic 5 % value of the Dickey-Fuller t with a constant.
@@ -212,43 +210,66 @@ def dickey_fuller(
     ).withColumn("d", d)
 
 
-def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Pearson matrix of complete rows; distributed sums, a k x k result."""
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    vectors = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip").transform(
-        rows
+def augmented_dickey_fuller(
+    panel: DataFrame,
+    lags: tuple[int, ...] = (1, 2, 3),
+    spec: PanelSpec = PanelSpec(),
+    critical: float = DICKEY_FULLER_5PCT,
+) -> DataFrame:
+    """Per series and p in ``lags``, the augmented Dickey-Fuller t of log levels and of log steps.
+
+    The step of the series is regressed on a constant, its level before, and its own p last
+    steps, on all rows that have them; t is that of the level. ``d`` is the order of
+    differencing suggested, as in ``dickey_fuller``; t is NULL where rows are too few.
+    """
+    w = series_window(spec)
+    ly = log_positive(spec.target)
+    lagged = panel.select(*spec.key, ly.alias("_v0")).withColumns(
+        {f"_v{i}": F.lag("_v0", i).over(w) for i in range(1, max(lags) + 3)}
+    )
+
+    def difference(times: int, i: int) -> Column:
+        """The level or its first or second difference, i rows before."""
+        if not times:
+            return F.col(f"_v{i}")
+        return difference(times - 1, i) - difference(times - 1, i + 1)
+
+    sums, fits = [], {}
+    for p in lags:
+        for name, d in (("level", 0), ("diff", 1)):
+            xs = [difference(d, 1), *(difference(d + 1, i) for i in range(1, p + 1))]
+            of = [f"_{name}{p}_{part}" for part in ("n", "means", "products")]
+            parts = moments(difference(d + 1, 0), xs, F.lit(True))
+            sums += [c.alias(alias) for c, alias in zip(parts, of, strict=True)]
+            fits[name, p] = solution(*map(F.col, of), p + 1)
+    one = lagged.groupBy(*spec.series).agg(*sums)
+    solved = one.select(*spec.series, *[fit.alias(f"_{name}{p}") for (name, p), fit in fits.items()])
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(p).alias("lags"),
+                F.col(f"_level{p}.n").alias("n_rows"),
+                t_value(F.col(f"_level{p}"), 0, p + 1).alias("t_level"),
+                t_value(F.col(f"_diff{p}"), 0, p + 1).alias("t_diff"),
+            )
+            for p in lags
+        ]
     )
-    return Correlation.corr(vectors, "_v").head()[0].toArray()
+    d = F.when(F.col("t_level") < critical, 0).when(F.col("t_diff") < critical, 1)
+    return solved.select(*spec.series, F.inline(rows)).withColumn("d", d)
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_a, column_b, corr) for each pair; NULL where a column is constant.
 
-    One aggregate over the complete rows holds every pair; no job runs before it is asked.
+    All pairs come from one matrix of sums over the complete rows; no job runs before it
+    is asked. ``df`` is read twice and should be written.
     """
-    pairs = list(combinations(columns, 2))
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    one = rows.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    matrix = gram(df, columns).select(correlation(F.col("products")).alias("m"))
     entries = [
         F.struct(
-            F.lit(a).alias("column_a"),
-            F.lit(b).alias("column_b"),
-            F.when(~F.isnan(f"c{i}"), F.col(f"c{i}")).alias("corr"),
+            F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), cell(F.col("m"), i, j).alias("corr")
         )
-        for i, (a, b) in enumerate(pairs)
+        for (i, a), (j, b) in combinations(enumerate(columns), 2)
     ]
-    return one.select(F.inline(F.array(*entries)))
-
-
-def vif(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Variance inflation per column: the diagonal of the inverse correlation matrix.
-
-    A singular design has no finite value (NULL). Diagnostic only: it never decides
-    which features a model gets.
-    """
-    matrix = correlation_matrix(df, columns)
-    singular = np.linalg.matrix_rank(matrix, tol=1e-9) < len(columns)
-    values = [None] * len(columns) if singular else np.diag(np.linalg.inv(matrix)).tolist()
-    return df.sparkSession.createDataFrame(
-        list(zip(columns, values)), "feature string, vif double"
-    )
+    return matrix.select(F.inline(F.array(*entries)))

@@ -12,19 +12,39 @@ import uuid
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.columns import calendar_columns, longer, standard_label
 from panelcast.functions.lineage import materialise, shared_folder
 from panelcast.operators import baselines as B
-from panelcast.operators import checks, cleaning, contract, encoding, learners, reconcile, stats
+from panelcast.operators import (
+    arima,
+    checks,
+    cleaning,
+    contract,
+    drift,
+    encoding,
+    intervals,
+    learners,
+    levels,
+    linear,
+    reconcile,
+    spine,
+    stats,
+)
 from panelcast.operators import evaluate as E
 from panelcast.operators import features as X
 from panelcast.plans import training
-from panelcast.sources import crosstab
+from panelcast.sources import crosstab, sinks
 from panelcast.sources import panel as P
-from panelcast.sources.star import closed_months, last_closed_month, monthly_panel, read_table
+from panelcast.sources.star import (
+    closed_months,
+    last_closed_month,
+    monthly_panel,
+    read_table,
+    town_panel,
+)
 from panelcast.spec import SPLIT, TEST, TRAIN, PanelSpec
 
 SPEC = PanelSpec()
@@ -544,6 +564,60 @@ def entity_wmape(spark, folder):
     )
 
 
+ARIMA = {
+    "arima_111": arima.Order(1, 1),
+    "arima_212": arima.Order(2, 2),
+    "sarima": arima.Order(1, 1, seasonal=1),
+}
+
+
+def _arima(spark, folder) -> DataFrame:
+    panel = _closed(spark, folder)
+    return arima.arima_backtest(panel, train_end(spark, folder), ARIMA, SPEC)
+
+
+@query
+def arima_backtest(spark, folder):
+    end = F.to_date(F.lit(train_end(spark, folder)))
+    rows = _arima(spark, folder).where(F.col("date") > end).drop("ly_l1")
+    return rounded(rows, list(ARIMA))
+
+
+@query
+def arima_coefficients(spark, folder):
+    steps = arima.log_steps(_closed(spark, folder), SPEC)
+    in_fit = F.col("date") <= F.to_date(F.lit(train_end(spark, folder)))
+    fits = arima.arma(steps, SPEC.series, "date", ARIMA["arima_212"], in_fit)
+    names = ["constant", "ar1", "ar2", "ma1", "ma2"]
+    one = fits.groupBy(*SPEC.series).agg(F.max("n_fit").alias("n_fit"), F.max("coefficients").alias("c"))
+    values = {name: F.get("c", F.lit(i)) for i, name in enumerate(names)}
+    return rounded(one.withColumns(values).drop("c"), names)
+
+
+@query
+def eval_arima(spark, folder):
+    levels = _arima(spark, folder).drop("y", "ly_l1")
+    rows = _frame(spark, folder).join(levels, SPEC.key, "left")
+    out = E.evaluate(rows, [*ARIMA, "naive"], SPEC, [*E.METRICS, E.COVERAGE])
+    return rounded(out, ["value"])
+
+
+@query
+def arima_refitted(spark, folder):
+    """Every holdout month from a fit on all months before it."""
+    first = date.fromisoformat(train_end(spark, folder))
+    months = [first.year * 12 + first.month + i for i in range(HOLDOUT_MONTHS)]
+    origins = [date(m // 12, m % 12 + 1, 1).isoformat() for m in months]
+    out = arima.arima_refitted(_closed(spark, folder), origins, ARIMA["arima_111"], SPEC)
+    return rounded(out, ["prediction"])
+
+
+@query
+def forecast_sarima(spark, folder):
+    out = arima.forecast_arima(_closed(spark, folder), train_end(spark, folder), ARIMA["sarima"], SPEC)
+    return _forecast(reconcile.with_total(out, SPEC))
+
+
 @query
 def cv_folds(spark, folder):
     train = _frame(spark, folder).where(F.col(SPLIT) == TRAIN).select(*SPEC.key)
@@ -643,6 +717,115 @@ def feature_importance(spark, folder):
     return learners.split_importance(run.model, SPEC).join(gain, "feature")
 
 
+# Intervals, drift, levels, calendar
+
+INTERVAL = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
+
+
+def _intervals(spark, folder) -> DataFrame:
+    panel, end = _closed(spark, folder), train_end(spark, folder)
+    errors = intervals.fold_errors(panel, end, arima.Order(1), SPEC)
+    quantiles = intervals.error_quantiles(errors, ["brand"], list(INTERVAL.values()))
+    rows = arima.arima_backtest(panel, end, {"prediction": arima.Order(1)}, SPEC)
+    holdout = rows.where(F.col("date") > F.to_date(F.lit(end))).drop("ly_l1")
+    return intervals.with_intervals(holdout, quantiles, ["brand"], list(INTERVAL))
+
+
+@query
+def prediction_intervals(spark, folder):
+    return rounded(_intervals(spark, folder), ["prediction", *INTERVAL])
+
+
+@query
+def interval_scores(spark, folder):
+    out = intervals.interval_scores(_intervals(spark, folder), INTERVAL, ["zone"])
+    return rounded(out, ["value"])
+
+
+def _reference_and_holdout(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """The snapshot of the train rows, as a training run writes it, and the rows after them."""
+    cleaned = materialise(X.training_frame(_closed(spark, folder), train_end(spark, folder), SPEC))
+    path = f"{shared_folder(spark)}/reference-{uuid.uuid4().hex}"
+    sinks.write_reference(cleaned, path)
+    return spark.read.parquet(path), cleaned.where(F.col(SPLIT) == TEST)
+
+
+@query
+def drift_holdout(spark, folder):
+    """The reference's histogram is merged from those of two parts."""
+    reference, holdout = _reference_and_holdout(spark, folder)
+    festive = F.month("date").isin(*SPEC.festive_months)
+    parts = [drift.histograms(reference.where(c), SPEC.numeric_features) for c in (festive, ~festive)]
+    out = drift.drift(drift.merge(*parts), drift.histograms(holdout, SPEC.numeric_features))
+    return rounded(out, ["psi", "max_gap"])
+
+
+@query
+def drift_shifted(spark, folder):
+    reference, holdout = _reference_and_holdout(spark, folder)
+    moved = holdout.withColumns(
+        {
+            "num_stores_l1": F.col("num_stores_l1") * 1.5,
+            "sah_d1": -F.col("sah_d1") - 1.0,
+            "str_days_l1": F.when(F.col("zone") != "ASIA", F.col("str_days_l1")),
+        }
+    )
+    names = SPEC.numeric_features
+    out = drift.drift(drift.histograms(reference, names), drift.histograms(moved, names))
+    return rounded(out, ["psi", "max_gap"])
+
+
+LEVELS = {"town": ["brand", "zone", "town"], "zone": ["brand", "zone"], "brand": ["brand"], "all": []}
+
+
+def _lattice(spark, folder) -> DataFrame:
+    """Actuals and persistence of every town, summed at four levels."""
+    towns = town_panel(spark, folder, SPEC)
+    w = Window.partitionBy("brand", "zone", "town").orderBy("date")
+    rows = towns.withColumn("naive", F.lag("value_lakhs", 1).over(w))
+    return levels.lattice(rows, LEVELS, ["value_lakhs", "naive"], ["date"])
+
+
+@query
+def level_lattice(spark, folder):
+    return rounded(_lattice(spark, folder), ["value_lakhs", "naive"], 9)
+
+
+@query
+def level_coherence(spark, folder):
+    table = materialise(_lattice(spark, folder))
+    rows = [
+        levels.coherence(table, LEVELS, m, ["date"]).withColumn("measure", F.lit(m))
+        for m in ("value_lakhs", "naive")
+    ]
+    return rounded(rows[0].unionByName(rows[1]), ["max_relative_gap"], 9)
+
+
+def _with_gaps(spark, folder) -> DataFrame:
+    """The panel without some months of its series."""
+    return _panel(spark, folder).where((F.month("date") * 7 + F.length("brand")) % 5 != 0)
+
+
+@query
+def densified_panel(spark, folder):
+    dense = spine.densify(_with_gaps(spark, folder), SPEC)
+    return dense.select(*SPEC.key, "value_lakhs", "is_gap", "gap_length")
+
+
+@query
+def gap_report(spark, folder):
+    return spine.gap_report(_with_gaps(spark, folder), SPEC)
+
+
+@query
+def calendar_lags(spark, folder):
+    """Lags by calendar month beside the positional one."""
+    w = X.series_window(SPEC)
+    rows = _with_gaps(spark, folder).withColumn("row_before", F.lag("value_lakhs", 1).over(w))
+    out = spine.calendar_lags(rows, "value_lakhs", [1, 2, 12], SPEC)
+    return out.select(*SPEC.key, "row_before", *[f"value_lakhs_m{k}" for k in (1, 2, 12)])
+
+
 # Statistics and cleaning
 
 
@@ -722,9 +905,16 @@ def dickey_fuller(spark, folder):
     return rounded(out, ["t_level", "t_diff"])
 
 
+@query
+def augmented_dickey_fuller(spark, folder):
+    out = stats.augmented_dickey_fuller(_train_rows(spark, folder), (1, 2, 3), SPEC)
+    return rounded(out, ["t_level", "t_diff"])
+
+
 def _clean_train(spark, folder) -> DataFrame:
+    """Written, for sums that read it twice."""
     cleaned = X.training_frame(_panel(spark, folder), train_end(spark, folder), SPEC)
-    return cleaned.where(F.col(SPLIT) == TRAIN)
+    return materialise(cleaned.where(F.col(SPLIT) == TRAIN))
 
 
 @query
@@ -735,7 +925,50 @@ def feature_correlation(spark, folder):
 
 @query
 def feature_vif(spark, folder):
-    return stats.vif(_clean_train(spark, folder), SPEC.numeric_features)
+    return rounded(linear.vif(_clean_train(spark, folder), SPEC.numeric_features), ["vif"])
+
+
+@query
+def feature_rank(spark, folder):
+    """The degenerate trio has rank 2 of 3; the model's inputs are independent."""
+    train = _clean_train(spark, folder)
+    trio = linear.rank(train, ["d_l1", "d_l2", "rm3"])
+    inputs = linear.rank(train, SPEC.numeric_features)
+    return (
+        trio.withColumn("design", F.lit("momentum"))
+        .unionByName(inputs.withColumn("design", F.lit("inputs")))
+        .select("design", "n_rows", "n_columns", "rank")
+    )
+
+
+RIDGE_PENALTY = 0.1
+
+
+def _ridge(spark, folder) -> DataFrame:
+    return linear.ridge(_clean_train(spark, folder), "target_d", SPEC.numeric_features, RIDGE_PENALTY)
+
+
+@query
+def ridge_coefficients(spark, folder):
+    names = ["intercept", *SPEC.numeric_features]
+    values = F.concat(F.array("intercept"), F.col("slopes"))
+    entries = F.transform(
+        F.arrays_zip(F.lit(names).alias("feature"), values.alias("value")),
+        lambda e: F.struct(e["feature"].alias("feature"), e["value"].alias("value")),
+    )
+    return rounded(_ridge(spark, folder).select(F.inline(entries)), ["value"], 6)
+
+
+@query
+def ridge_backtest(spark, folder):
+    """Ridge in closed form, on the holdout."""
+    fit = F.struct("intercept", "slopes")
+    beta = materialise(_ridge(spark, folder)).select(fit.alias("fit")).scalar()
+    xs = [F.col(c) for c in SPEC.numeric_features]
+    scored = _frame(spark, folder).withColumn("_fit", beta)
+    delta = linear.predicted(F.col("_fit"), xs)
+    scored = scored.withColumn("ridge", X.reconstruct(F.col("ly_l1"), delta))
+    return rounded(E.evaluate(scored, ["ridge", "naive"], SPEC, [*E.METRICS, E.COVERAGE]), ["value"])
 
 
 @query

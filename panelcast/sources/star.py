@@ -17,7 +17,7 @@ TABLES = {
     "l_extendedprice double, l_discount double, l_shipdate timestamp_ntz",
     "part": "p_partkey bigint, p_name string, p_brand string, p_type string",
     "supplier": "s_suppkey bigint, s_nationkey int",
-    "nation": "n_nationkey int, n_regionkey int",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
     "region": "r_regionkey int, r_name string",
 }
 
@@ -52,18 +52,16 @@ def _known(value: str, what: str) -> Column:
     return F.coalesce(F.col(value), F.raise_error(F.lit(f"line without {what}")).cast("string"))
 
 
-def panel_cells(
+def store_cells(
     spark: SparkSession, folder: str, spec: PanelSpec, entity: str = "p_brand"
 ) -> DataFrame:
-    """Order lines reduced to (entity, segment, month) sums; a store is a supplier.
+    """Order lines reduced to (entity, store, month) sums, written; a store is a supplier.
 
     ``entity`` is the part column that names an entity: its brand, or the part itself.
 
-    One scan of the lines, all of them. They are summed per (entity, store, month) first,
-    with map-side combining, and written: a store, part or entity with very many lines is
-    from there on at most one row per entity and month. Store totals are an aggregate of
-    those rows joined back, so a store that sells very many entities is no window group.
-    Lines of an unknown part or store fail the job.
+    One scan of the lines, all of them, with map-side combining: a store, part or entity
+    with very many lines is from here on at most one row per entity and month. Lines of an
+    unknown part fail the job.
     """
     # Money and quantities have two decimals: whole hundredths add exactly, and a sum
     # that left 64 bits would fail the job instead of losing digits.
@@ -79,27 +77,64 @@ def panel_cells(
         F.col("p_partkey").alias("l_partkey"), F.col(entity).cast("string").alias("_brand")
     )
 
-    sold = materialise(
+    return materialise(
         lines.join(parts, "l_partkey", "left")
         .groupBy(_known("_brand", "a part").alias(spec.entity), "store", spec.date)
         .agg(F.sum("v").alias("v"), F.sum("q").alias("q"), F.count(F.lit(1)).alias("n"))
     )
-    of_store = sold.groupBy("store", spec.date).agg(
-        F.sum("v").alias("store_v"), F.min(spec.entity).alias("_first")
-    )
-    # exactly one row per (store, month) counts the store for its segment
-    counts = (F.col("_first") == F.col(spec.entity)).cast("int")
-    with_store = sold.join(of_store, ["store", spec.date]).withColumn("counts_store", counts)
-    # one dimension at a time: each is a file of known size, broadcast only if small
+
+
+def with_places(spark: SparkSession, folder: str, cells: DataFrame) -> DataFrame:
+    """Cells of stores with the store's ``_nation`` and ``_region``.
+
+    One dimension at a time: each is a file of known size, broadcast only if small.
+    """
     stores = read_table(spark, folder, "supplier").withColumnRenamed("s_suppkey", "store")
-    nations = read_table(spark, folder, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
+    nations = read_table(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("_nation"), "n_regionkey"
+    )
     regions = read_table(spark, folder, "region").select(
         F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("_region")
     )
     return (
-        with_store.join(stores, "store", "left")
+        cells.join(stores, "store", "left")
         .join(nations, "s_nationkey", "left")
         .join(regions, "n_regionkey", "left")
+    )
+
+
+def town_panel(spark: SparkSession, folder: str, spec: PanelSpec = PanelSpec()) -> DataFrame:
+    """(entity, segment, town, date, target): the panel's target at the grain below the segment.
+
+    A town is the nation of a store.
+    """
+    sold = with_places(spark, folder, store_cells(spark, folder, spec))
+    value = (F.sum("v").cast("double") / 1e4 / 1e5).alias(spec.target)
+    return sold.groupBy(
+        spec.entity,
+        _known("_region", "a region").alias(spec.segment),
+        _known("_nation", "a nation").alias("town"),
+        spec.date,
+    ).agg(value)
+
+
+def panel_cells(
+    spark: SparkSession, folder: str, spec: PanelSpec, entity: str = "p_brand"
+) -> DataFrame:
+    """Order lines reduced to (entity, segment, month) sums, from ``store_cells``.
+
+    Store totals are an aggregate of those rows joined back, so a store that sells very many
+    entities is no window group. Lines of an unknown store fail the job.
+    """
+    sold = store_cells(spark, folder, spec, entity)
+    of_store = sold.groupBy("store", spec.date).agg(
+        F.sum("v").alias("store_v"), F.min(spec.entity).alias("_first")
+    )
+    # exactly one row per (store, month) counts the store for its segment
+    counts = (F.col("_first") == F.col(spec.entity)).cast("int")
+    with_store = sold.join(of_store, ["store", spec.date]).withColumn("counts_store", counts)
+    return (
+        with_places(spark, folder, with_store)
         .groupBy(spec.entity, _known("_region", "a region").alias(spec.segment), spec.date)
         .agg(
             F.sum("v").alias("v"),

@@ -7,7 +7,7 @@ import pytest
 from conftest import SPEC, frame
 from pyspark.sql import functions as F
 
-from panelcast.operators import cleaning, stats
+from panelcast.operators import cleaning, linear, stats
 from panelcast.operators.features import stamp_split, training_frame
 
 
@@ -110,13 +110,13 @@ def test_correlation_and_vif(spark):
     want = np.corrcoef(x.T)
     got = {(r["column_a"], r["column_b"]): r["corr"] for r in stats.correlations(df, list("abc")).collect()}
     assert got["a", "c"] == pytest.approx(want[0, 2]) and got["a", "b"] == pytest.approx(want[0, 1])
-    factors = {r["feature"]: r["vif"] for r in stats.vif(df, list("abc")).collect()}
+    factors = {r["feature"]: r["vif"] for r in linear.vif(df, list("abc")).collect()}
     assert factors["c"] == pytest.approx(np.linalg.inv(want)[2, 2])
 
 
 def test_vif_of_the_degenerate_columns_is_not_finite(panel):
     cleaned = training_frame(panel, "2019-06-01").na.drop(subset=["rm3", "d_l1", "d_l2"])
-    got = stats.vif(cleaned, ["rm3", "d_l1", "d_l2"]).collect()
+    got = linear.vif(cleaned, ["rm3", "d_l1", "d_l2"]).collect()
     assert [r["vif"] for r in got] == [None, None, None]
 
 
