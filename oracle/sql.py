@@ -749,6 +749,35 @@ runs AS (
   FROM dense)"""
 
 
+REALISED = f"""
+realised AS (
+  SELECT 'run-' || CAST(p.date AS VARCHAR) AS run_id, 'none' AS model_version, 'fallback' AS source, p.brand, p.zone,
+         CAST(p.date + INTERVAL 1 MONTH AS DATE) AS target_month, p.value_lakhs AS prediction, a.value_lakhs AS actual,
+         (p.value_lakhs / a.value_lakhs - 1) * 100 AS error_pct
+  FROM panel p LEFT JOIN panel a
+    ON a.brand = p.brand AND a.zone = p.zone AND a.date = CAST(p.date + INTERVAL 1 MONTH AS DATE)
+  WHERE p.date IN ({LAST}, CAST({LAST} - INTERVAL 1 MONTH AS DATE)))"""
+PART_ROWS = f"""
+steps AS (
+  SELECT *, lag(step) OVER ({W}) AS step_l1
+  FROM (SELECT {KEY}, ln(value_lakhs) - lag(ln(value_lakhs)) OVER ({W}) AS step FROM panel)),
+moved AS (
+  SELECT *, date <= {TRAIN_END} AS is_train,
+         CASE WHEN date <= {TRAIN_END} THEN CAST((year(date) * 12 + month(date)) % 5 AS INTEGER) ELSE -1 END AS fold
+  FROM steps WHERE step IS NOT NULL),
+fs AS (SELECT fold, sum(step) AS s, count(*) AS n FROM moved WHERE is_train GROUP BY fold),
+ms AS (SELECT brand, sum(step) AS s, count(*) AS n FROM moved WHERE is_train GROUP BY brand),
+mf AS (SELECT brand, fold, sum(step) AS s, count(*) AS n FROM moved WHERE is_train GROUP BY brand, fold),
+w AS (SELECT sum(step) AS s, count(*) AS n FROM moved WHERE is_train),
+part_rows AS (
+  SELECT moved.*, CASE
+    WHEN is_train THEN (ms.s - mf.s + 20.0::DOUBLE * (w.s - fs.s) / (w.n - fs.n)) / (ms.n - mf.n + 20)
+    WHEN ms.n IS NOT NULL THEN (ms.s + 20.0::DOUBLE * w.s / w.n) / (ms.n + 20)
+    ELSE w.s / w.n END AS encoded
+  FROM moved LEFT JOIN ms USING (brand) LEFT JOIN mf USING (brand, fold) LEFT JOIN fs USING (fold), w)"""
+PARTS = [CLOSED.replace("p_brand AS brand", "CAST(p_partkey AS VARCHAR) AS brand"), PART_ROWS]
+
+
 def union(rows) -> str:
     return " UNION ALL ".join(rows)
 
@@ -1322,6 +1351,39 @@ FROM gappy g {" ".join(
         ],
         metric_rows([*BASIC, "coverage"]),
     ),
+    "realised_errors": on_closed(
+        f"""SELECT run_id, model_version, source, brand, zone, target_month, prediction, actual,
+  {r('error_pct')} AS error_pct FROM realised""",
+        REALISED,
+    ),
+    "realised_summary": on_closed(
+        f"""SELECT run_id, model_version, target_month, count(*) AS n_forecasts,
+  count(*) - count(actual) AS n_open,
+  {r('sum(abs(actual - prediction)) / sum(actual) * 100')} AS wmape,
+  {r('(sum(prediction) FILTER (WHERE actual IS NOT NULL) / sum(actual) - 1) * 100')} AS bias_pct
+FROM realised GROUP BY run_id, model_version, target_month""",
+        REALISED,
+    ),
+    "part_encoding": stmt(PARTS, f"SELECT {KEY}, {r('encoded', 9)} AS encoded FROM part_rows"),
+    "part_ridge": stmt(
+        [
+            *PARTS,
+            "used AS (SELECT step, encoded, step_l1 FROM part_rows WHERE is_train AND step_l1 IS NOT NULL)",
+            """sums AS (
+  SELECT count(*) AS n, avg(step) AS my, avg(encoded) AS m1, avg(step_l1) AS m2,
+         stddev_pop(encoded) AS s1, stddev_pop(step_l1) AS s2, corr(encoded, step_l1) AS c,
+         covar_pop(encoded, step) / stddev_pop(encoded) AS z1, covar_pop(step_l1, step) / stddev_pop(step_l1) AS z2
+  FROM used),
+two AS (
+  SELECT *, (1.01 * z1 - c * z2) / (1.01 * 1.01 - c * c) / s1 AS b1,
+         (1.01 * z2 - c * z1) / (1.01 * 1.01 - c * c) / s2 AS b2 FROM sums)""",
+        ],
+        f"SELECT n, {r('my - b1 * m1 - b2 * m2')} AS intercept, {r('b1')} AS encoded, {r('b2')} AS step_l1 FROM two",
+    ),
+    "attribution_identity": backtest(
+        f"SELECT count(*) AS n_rows, CAST({len(NUMERIC) + 3} AS BIGINT) AS n_parts, CAST(0 AS BIGINT) AS n_off "
+        "FROM bt WHERE split = 'test'"
+    ),
     "additivity_check": on_panel(
         f"""SELECT count(*) AS n_cells,
   {r('max(abs(total - parts) / abs(total))', 9)} AS max_relative_error

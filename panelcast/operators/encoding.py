@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.feature import StringIndexerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.lineage import materialise
-from panelcast.functions.ordering import running
+from panelcast.functions.ordering import running, salted_join
 from panelcast.spec import PanelSpec
 
 
@@ -89,3 +89,70 @@ def nominal_indexers(
         stage(codes.entity, spec.entity, spec.entity_code),
         stage(codes.segment, spec.segment, spec.segment_code),
     ]
+
+
+# So many rows of a member weigh as much as the mean of all members.
+PRIOR_ROWS = 20.0
+NEW_ROWS = -1  # instead of a fold: for rows that the encoding was not fitted on
+
+
+def target_encoding(
+    train: DataFrame, column: str, target: str, fold: Column, prior: float = PRIOR_ROWS
+) -> DataFrame:
+    """(column, fold, encoded): each member's mean target without the rows of a fold, written.
+
+    The mean is drawn to that of all rows outside the fold, as if ``prior`` more rows had it.
+    Fold ``NEW_ROWS`` uses every row; its entry with a NULL member is for unknown ones. The
+    vocabulary stays a table: however many members there are, none of it passes the driver.
+    """
+    rows = train.where(F.col(target).isNotNull() & F.col(column).isNotNull())
+    sums = materialise(
+        rows.groupBy(column, fold.cast("int").alias("fold")).agg(
+            F.sum(target).alias("_s"), F.count(F.lit(1)).alias("_n")
+        )
+    )
+    whole = sums.agg(F.struct(F.sum("_s").alias("s"), F.sum("_n").alias("n"))).scalar()
+    folds = sums.groupBy("fold").agg(F.sum("_s").alias("_fs"), F.sum("_n").alias("_fn"))
+    members = sums.groupBy(column).agg(F.sum("_s").alias("_ms"), F.sum("_n").alias("_mn"))
+    of_all = members.select("*", whole.alias("_w"))
+
+    def drawn(s: Column, n: Column, mean: Column) -> Column:
+        return ((s + F.lit(prior) * mean) / (n + F.lit(prior))).alias("encoded")
+
+    total, count = F.col("_w.s"), F.col("_w.n")
+    new = of_all.select(
+        column, F.lit(NEW_ROWS).alias("fold"), drawn(F.col("_ms"), F.col("_mn"), total / count)
+    )
+    unknown = sums.groupBy().agg((F.sum("_s") / F.sum("_n")).alias("encoded")).where("encoded IS NOT NULL")
+    unknown = unknown.select(
+        F.lit(None).cast(train.schema[column].dataType).alias(column), F.lit(NEW_ROWS).alias("fold"), "encoded"
+    )
+    outside = (total - F.col("_fs")) / F.nullif(count - F.col("_fn"), F.lit(0))
+    own = (
+        sums.join(of_all, column)
+        .join(materialise(folds), "fold")
+        .select(
+            column,
+            "fold",
+            drawn(F.col("_ms") - F.col("_s"), F.col("_mn") - F.col("_n"), F.coalesce(outside, total / count)),
+        )
+    )
+    return materialise(own.unionByName(new).unionByName(unknown))
+
+
+def apply_target_encoding(
+    df: DataFrame, encoding: DataFrame, column: str, name: str, fold: Column | None = None
+) -> DataFrame:
+    """Add ``name``: the member's entry of the row's own fold, or that for new rows.
+
+    A member without an entry, or a NULL one, has the value for unknown members. The join is
+    salted, so a member with very many rows is split where the table is not broadcast.
+    """
+    of_fold = F.lit(NEW_ROWS) if fold is None else fold.cast("int")
+    unknown = encoding.where(F.col(column).isNull()).agg(F.max("encoded")).scalar()
+    lookup = encoding.where(F.col(column).isNotNull()).select(
+        F.col(column), F.col("fold").alias("_fold"), F.col("encoded").alias(name)
+    )
+    salt = F.struct(*[F.col(c) for c in df.columns if c != column][:3])
+    joined = salted_join(df.withColumn("_fold", of_fold), lookup, [column, "_fold"], salt, "left")
+    return joined.drop("_fold").withColumn(name, F.coalesce(F.col(name), unknown))

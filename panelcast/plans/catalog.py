@@ -20,6 +20,7 @@ from panelcast.functions.lineage import materialise, shared_folder
 from panelcast.operators import baselines as B
 from panelcast.operators import (
     arima,
+    attribution,
     checks,
     cleaning,
     contract,
@@ -46,6 +47,7 @@ from panelcast.sources.star import (
     town_panel,
 )
 from panelcast.spec import SPLIT, TEST, TRAIN, PanelSpec
+from panelcast.streaming import labels
 
 SPEC = PanelSpec()
 HOLDOUT_MONTHS = 6
@@ -826,6 +828,87 @@ def calendar_lags(spark, folder):
     return out.select(*SPEC.key, "row_before", *[f"value_lakhs_m{k}" for k in (1, 2, 12)])
 
 
+def _months_before(day: date, n: int) -> date:
+    month = day.year * 12 + day.month - 1 - n
+    return date(month // 12, month % 12 + 1, 1)
+
+
+def _realised(spark, folder) -> DataFrame:
+    """Two runs of persistence, the first logged twice, collected as they come."""
+    panel, last = _closed(spark, folder), last_closed_month(spark, folder)
+    root = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
+    for back in (1, 0, 1):
+        month = _months_before(last, back)
+        run = B.fallback_forecast(closed_months(panel, month), SPEC)
+        tagged = reconcile.tag(run, "fallback", "none", f"run-{month}", contract_version=0)
+        sinks.append_prediction_log(tagged, f"{root}/log", month.isoformat())
+        labels.collect_log(spark, f"{root}/log", f"{root}/store", f"{root}/checkpoint")
+    return labels.realised_errors(labels.collected(spark, f"{root}/store"), panel)
+
+
+@query
+def realised_errors(spark, folder):
+    return rounded(_realised(spark, folder), ["error_pct"])
+
+
+@query
+def realised_summary(spark, folder):
+    return rounded(labels.error_summary(_realised(spark, folder)), ["wmape", "bias_pct"])
+
+
+def _part_steps(spark, folder) -> DataFrame:
+    """Log steps of every part, with the mean step of the part in the other folds of the train rows."""
+    panel = monthly_panel(spark, folder, SPEC, "p_partkey")
+    steps = arima.log_steps(closed_months(panel, last_closed_month(spark, folder)), SPEC)
+    before = F.lag("step", 1).over(X.series_window(SPEC)).alias("step_l1")
+    rows = X.stamp_split(steps.select(*SPEC.key, "step", before), train_end(spark, folder), SPEC)
+    rows = materialise(rows.where("step IS NOT NULL"))
+    train = rows.where(F.col(SPLIT) == TRAIN)
+    fold = (F.year("date") * 12 + F.month("date")) % 5
+    table = encoding.target_encoding(train, "brand", "step", fold)
+    own = F.when(F.col(SPLIT) == TRAIN, fold).otherwise(encoding.NEW_ROWS)
+    return encoding.apply_target_encoding(rows, table, "brand", "encoded", own)
+
+
+@query
+def part_encoding(spark, folder):
+    return rounded(_part_steps(spark, folder).select(*SPEC.key, "encoded"), ["encoded"], 9)
+
+
+@query
+def part_ridge(spark, folder):
+    """A fit over all parts whose vocabulary is a table, never a list."""
+    train = materialise(_part_steps(spark, folder).where(F.col(SPLIT) == TRAIN))
+    fit = linear.ridge(train, "step", ["encoded", "step_l1"], 0.01)
+    names = {"encoded": F.get("slopes", F.lit(0)), "step_l1": F.get("slopes", F.lit(1))}
+    return rounded(fit.withColumns(names).drop("slopes"), ["intercept", *names])
+
+
+@query
+def attribution_identity(spark, folder):
+    """Contributions of all inputs and the base sum to each row's prediction."""
+    run = training.train_and_backtest(_closed(spark, folder), train_end(spark, folder), _gbt, SPEC, "gbt")
+    parts = attribution.contributions(run.model, run.test, SPEC)
+    sums = parts.groupBy(*SPEC.key).agg(F.sum("contribution").alias("total"), F.count(F.lit(1)).alias("n"))
+    step = F.ln(F.col("gbt")) - F.col("ly_l1")
+    rows = run.test.select(*SPEC.key, step.alias("step")).join(sums, SPEC.key)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min("n").alias("n_parts"),
+        F.count_if(F.abs(F.col("total") - F.col("step")) > 1e-9).alias("n_off"),
+    )
+
+
+@query
+def attribution_summary(spark, folder):
+    """Mean size of each input's contribution on the holdout."""
+    run = training.train_and_backtest(_closed(spark, folder), train_end(spark, folder), _gbt, SPEC, "gbt")
+    parts = attribution.contributions(run.model, run.test, SPEC)
+    return parts.groupBy("feature").agg(
+        F.avg(F.abs("contribution")).alias("mean_size"), F.avg("contribution").alias("mean")
+    )
+
+
 # Statistics and cleaning
 
 
