@@ -1384,6 +1384,55 @@ two AS (
         f"SELECT count(*) AS n_rows, CAST({len(NUMERIC) + 3} AS BIGINT) AS n_parts, CAST(0 AS BIGINT) AS n_off "
         "FROM bt WHERE split = 'test'"
     ),
+    "contract_required": on_closed(
+        "SELECT CAST(1 AS INTEGER) AS rule_no, 'required_columns' AS rule, unnest(['sah', 'str_days']) AS key, "
+        "CAST(0 AS BIGINT) AS observed, CAST(1 AS BIGINT) AS expected"
+    ),
+    "contract_offenders": on_closed(
+        f"""SELECT * FROM (
+  SELECT rule_no, rule, row_number() OVER (PARTITION BY rule_no ORDER BY key) AS place, key, observed, expected,
+         count(*) OVER (PARTITION BY rule_no) AS n_offenders
+  FROM ({REPORT})) WHERE place <= 3""",
+        PAYLOAD,
+    ),
+    "restored_codes": on_panel(
+        f"SELECT {KEY}, brand_code, zone_code FROM {coded('panel')} WHERE zone = 'EUROPE'", CODES
+    ),
+    "reference_snapshot": on_closed(
+        f"SELECT {KEY}, y, brand_code, zone_code, sah_l1, num_stores_d1 FROM {coded('clean')} WHERE split = 'train'",
+        F_,
+        CLEAN,
+        CODES,
+    ),
+    "prediction_log": on_closed(
+        f"""SELECT brand, zone, target_month, {r('last_actual', 9)} AS last_actual, {r('last_actual', 9)} AS prediction,
+  CAST(0 AS DOUBLE) AS pct_change, 'fallback' AS source, 'none' AS model_version, CAST(0 AS INTEGER) AS contract_version,
+  'run-1' AS run_id, {LAST} AS dt
+FROM (SELECT brand, zone, value_lakhs AS last_actual, CAST(date + INTERVAL 1 MONTH AS DATE) AS target_month
+      FROM panel WHERE date = (SELECT max(date) FROM panel)
+      UNION ALL
+      SELECT brand, 'All India (U+R)', sum(value_lakhs), CAST(any_value(date) + INTERVAL 1 MONTH AS DATE)
+      FROM panel WHERE date = (SELECT max(date) FROM panel) GROUP BY brand)"""
+    ),
+    "metrics_log": "SELECT *, 'run-1' AS run_id FROM (" + evaluated(["naive"], BASIC)
+    + ") UNION ALL SELECT *, 'run-2' FROM (" + evaluated(["ar1"], BASIC) + ")",
+    "random_search": on_closed(
+        "SELECT CAST(3 AS BIGINT) AS n_candidates, count(*) AS n_folds, CAST(1 AS BIGINT) AS n_selected, "
+        "CAST(1 AS BIGINT) AS n_best FROM folds",
+        FOLDS,
+    ),
+    "seed_stability": union(
+        f"SELECT '{m}' AS metric, CAST(3 AS BIGINT) AS n_seeds, true AS is_stable" for m in BASIC
+    ),
+    "cv_learners_checked": backtest(
+        f"""SELECT candidate, n_folds, {r('cv')} AS cv_wmape, true AS chosen_by_error FROM means
+UNION ALL SELECT c, (SELECT count(*) FROM folds), NULL, true
+FROM (SELECT unnest(['gbt', 'rf', 'ridge', 'gbt_70_ar1_30', 'ar1_50_seasonal_50']) AS c)""",
+        FOLDS,
+        f"per_fold AS ({CV})",
+        """means AS (
+  SELECT candidate, count(*) AS n_folds, avg(e) AS cv FROM per_fold GROUP BY candidate)""",
+    ),
     "additivity_check": on_panel(
         f"""SELECT count(*) AS n_cells,
   {r('max(abs(total - parts) / abs(total))', 9)} AS max_relative_error

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.columns import longer, series_id
@@ -172,6 +172,14 @@ def contract_report(
     return reduce(DataFrame.unionByName, found)
 
 
+def first_offenders(report: DataFrame, n: int = 3) -> DataFrame:
+    """The report's first ``n`` rows of each rule by key, with how many the rule has."""
+    ordered = Window.partitionBy("rule_no").orderBy("key")
+    counts = report.groupBy("rule_no").agg(F.count(F.lit(1)).alias("n_offenders"))
+    first = report.withColumn("place", F.row_number().over(ordered)).where(F.col("place") <= n)
+    return first.join(counts, "rule_no").select("rule_no", "rule", "place", "key", "observed", "expected", "n_offenders")
+
+
 def enforce(report: DataFrame, upto: int = REFUSING) -> None:
     """Raise on the first violated rule, naming at most five offenders of it."""
     refusing = report.where(F.col("rule_no") <= upto)

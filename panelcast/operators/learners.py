@@ -74,20 +74,23 @@ def linear(
     )
 
 
-# Tasks of a fit. Fixed, because subsampling depends on which rows share a partition: the
-# same rows give the same trees whatever their number and the session. A larger cluster
-# may pass more.
-FIT_PARTS = 8
+# Train rows of one task of a fit. Subsampling depends on which rows share a partition, so the
+# number of tasks follows the number of rows: the same rows give the same trees whatever the
+# session, and more rows use more of a cluster.
+ROWS_PER_TASK = 20_000
 
 
 def fit_order(
-    train: DataFrame, spec: PanelSpec = PanelSpec(), parts: int = FIT_PARTS
+    train: DataFrame, spec: PanelSpec = PanelSpec(), parts: int | None = None
 ) -> DataFrame:
-    """Rows in a fixed layout, written once, as every boosting round rereads them.
+    """Rows in a layout that they alone decide, written once, as every boosting round rereads them.
 
     Hashing the whole key spreads rows evenly and, unlike sampled ranges, places them the
-    same way in every run.
+    same way in every run. ``train`` is counted first, so it should be written already;
+    ``parts`` overrides the number of tasks.
     """
+    if parts is None:
+        parts = max(1, -(-train.count() // ROWS_PER_TASK))
     laid_out = train.repartition(parts, *spec.key).sortWithinPartitions(*spec.key)
     return materialise(laid_out)
 

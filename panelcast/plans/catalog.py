@@ -268,6 +268,48 @@ def encoded_panel(spark, folder):
     return encoding.apply_codes(panel.select(*SPEC.key), codes, SPEC)
 
 
+@query
+def restored_codes(spark, folder):
+    """A payload of one segment, with the codes of the whole vocabulary, from the model's own stages."""
+    panel = _panel(spark, folder)
+    stages = encoding.nominal_indexers(encoding.fit_codes(panel, SPEC), SPEC)
+    rows = panel.where("zone = 'EUROPE'").select(*SPEC.key)
+    for stage in stages:
+        rows = stage.transform(rows)
+    return rows.withColumns({c: F.col(c).cast("int") for c in SPEC.codes})
+
+
+@query
+def reference_snapshot(spark, folder):
+    """The train rows and codes that a run leaves for drift checks, read back."""
+    panel = _closed(spark, folder)
+    cleaned = X.training_frame(panel, train_end(spark, folder), SPEC)
+    path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    sinks.write_reference(encoding.apply_codes(cleaned, encoding.fit_codes(panel, SPEC), SPEC), path)
+    return spark.read.parquet(path).select(*SPEC.key, "y", *SPEC.codes, "sah_l1", "num_stores_d1")
+
+
+@query
+def prediction_log(spark, folder):
+    """A logged forecast with its totals, read back from its folders by day."""
+    panel, day = _closed(spark, folder), last_closed_month(spark, folder).isoformat()
+    forecast = reconcile.with_total(B.fallback_forecast(panel, SPEC), SPEC)
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    sinks.append_prediction_log(reconcile.tag(forecast, "fallback", "none", "run-1", 0), path, day)
+    rows = spark.read.schema(labels.log_schema(SPEC)).json(path)
+    return rounded(rounded(rows, ["pct_change"]), ["last_actual", "prediction"], 9)
+
+
+@query
+def metrics_log(spark, folder):
+    """Metrics of two runs, appended to one table."""
+    frame = materialise(_frame(spark, folder))
+    path = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
+    for run_id, candidate in (("run-1", "naive"), ("run-2", "ar1")):
+        sinks.append_metrics(E.evaluate(frame, [candidate], SPEC), path, run_id)
+    return rounded(spark.read.parquet(path), ["value"])
+
+
 @query
 def feature_table(spark, folder):
     panel = _panel(spark, folder)
@@ -367,6 +409,20 @@ def contract_report(spark, folder):
     return contract.contract_report(payload(panel, last_closed_month(spark, folder)), encoding.fit_codes(panel, SPEC), SPEC)
 
 
+@query
+def contract_required(spark, folder):
+    """A payload without two of its columns is refused for them, before any row is read."""
+    short = _closed(spark, folder).drop("sah", "str_days")
+    return contract.contract_report(short, encoding.fit_codes(_closed(spark, folder), SPEC), SPEC)
+
+
+@query
+def contract_offenders(spark, folder):
+    codes = encoding.fit_codes(_closed(spark, folder), SPEC)
+    report = materialise(contract.contract_report(_payload(spark, folder), codes, SPEC))
+    return contract.first_offenders(report, 3)
+
+
 @query
 def contract_ranges(spark, folder):
     return contract.fit_ranges(_stamped(spark, folder), SPEC)
@@ -673,6 +729,79 @@ def backtest_rf(spark, folder):
     return run.metrics
 
 
+SEARCH = {"maxDepth": [2, 3], "minInstancesPerNode": [5, 20]}
+
+
+def _small_gbt(codes, **params):
+    return learners.boosted_trees(codes, SPEC, **{"maxIter": 5, "stepSize": 0.1, **params})
+
+
+@query
+def random_search(spark, folder):
+    """Draws of settings on the folds: how many were compared on how many folds, and chosen."""
+    panel = _closed(spark, folder)
+    frame = materialise(training.backtest_frame(panel, train_end(spark, folder), SPEC))
+    codes = encoding.fit_codes(panel, SPEC)
+    out = training.random_search(frame, train_end(spark, folder), _small_gbt, codes, SEARCH, draws=3)
+    return out.agg(
+        F.count(F.lit(1)).alias("n_candidates"),
+        F.min("n_folds").alias("n_folds"),
+        F.count_if("selected").alias("n_selected"),
+        F.count_if(F.col("selected") & (F.col("cv_wmape") == out.agg(F.min("cv_wmape")).scalar())).alias("n_best"),
+    )
+
+
+@query
+def seed_stability(spark, folder):
+    """How far the holdout metrics move over seeds, a row for each metric."""
+    panel = _closed(spark, folder)
+    frame = materialise(training.backtest_frame(panel, train_end(spark, folder), SPEC))
+    out = training.seed_stability(frame, _small_gbt, encoding.fit_codes(panel, SPEC), (1, 2, 3))
+    spread = F.col("max_value") - F.col("min_value")
+    # seeds change which rows a tree sees, so they move each metric, but not by much
+    return out.select("metric", "n_seeds", ((spread > 0) & (spread < 0.2 * F.col("max_value"))).alias("is_stable"))
+
+
+CV_LEARNERS = {
+    "gbt": _small_gbt,
+    "rf": lambda codes: learners.random_forest(codes, SPEC, numTrees=10, maxDepth=5),
+    "ridge": lambda codes: learners.linear(codes, SPEC),
+}
+
+
+def _cv_table(spark, folder) -> DataFrame:
+    panel = _closed(spark, folder)
+    frame = materialise(training.backtest_frame(panel, train_end(spark, folder), SPEC))
+    blends = {"gbt_70_ar1_30": ("gbt", "ar1", 0.7), "ar1_50_seasonal_50": ("ar1", "seasonal_naive", 0.5)}
+    return training.cross_validate_learners(
+        frame, train_end(spark, folder), CV_LEARNERS, encoding.fit_codes(panel, SPEC),
+        ("naive", "seasonal_naive", "drift"), blends, spec=SPEC,
+    )
+
+
+@query
+def cv_learners(spark, folder):
+    """The one table from which a candidate is chosen: learners, blends, baselines."""
+    return _cv_table(spark, folder)
+
+
+@query
+def cv_learners_checked(spark, folder):
+    """The same, as far as it does not depend on a fit: baselines have the errors they have alone."""
+    table = materialise(_cv_table(spark, folder))
+    baseline = F.col("candidate").isin("naive", "seasonal_naive", "drift")
+    least = table.agg(F.min("cv_wmape")).scalar()
+    return rounded(
+        table.select(
+            "candidate",
+            "n_folds",
+            F.when(baseline, F.col("cv_wmape")).alias("cv_wmape"),
+            (F.col("selected") == (F.col("cv_wmape") == least)).alias("chosen_by_error"),
+        ),
+        ["cv_wmape"],
+    )
+
+
 @query
 def forecast_gbt(spark, folder):
     panel = _closed(spark, folder)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +78,7 @@ def train_and_backtest(
     learner: Learner,
     spec: PanelSpec = PanelSpec(),
     name: str = "model",
+    parts: int | None = None,
 ) -> Backtest:
     """Fit on train rows, score the untouched holdout, compare with persistence, gate.
 
@@ -86,7 +89,7 @@ def train_and_backtest(
     test = frame.where(F.col(SPLIT) == TEST)
     if test.isEmpty():
         raise ValueError(f"no holdout rows after {train_end}")
-    model = learner(codes).fit(fit_order(frame.where(F.col(SPLIT) == TRAIN), spec))
+    model = learner(codes).fit(fit_order(frame.where(F.col(SPLIT) == TRAIN), spec, parts))
     scored = predict_level(model, test, name)
     metrics = evaluate(scored, [name, "naive"], spec, EXTENDED)
     return Backtest(model, codes, frame, scored, metrics, quality_gate(metrics, name))
@@ -110,6 +113,16 @@ def load_run(spark: SparkSession, folder: str, run_id: str) -> tuple[PipelineMod
     return PipelineModel.load(f"{folder}/models/{run_id}"), load_codes(spark, f"{folder}/codes/{run_id}")
 
 
+# Fits that share the cluster; each is a row of small jobs that leave most of it idle.
+AT_ONCE = 4
+
+
+def _together(work: Callable, tasks: list, at_once: int) -> list:
+    """``work`` of each task, in their order; the driver's threads only wait for Spark's jobs."""
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        return list(pool.map(inheritable_thread_target(work), tasks))
+
+
 def random_search(
     frame: DataFrame,
     train_end: str,
@@ -122,27 +135,31 @@ def random_search(
     seed: int = 42,
     spec: PanelSpec = PanelSpec(),
     metric: str = "zone_wmape",
+    parts: int | None = None,
+    at_once: int = AT_ONCE,
 ) -> DataFrame:
     """Random draws of hyper-parameters on expanding folds, the best one flagged.
 
-    Each fit is a distributed job on a date range of the one written frame; the driver
-    only keeps an error per draw and fold.
+    Each fit is a distributed job on a date range of the one written frame, ``at_once`` of
+    them share the cluster, and the driver only keeps an error per draw and fold.
     """
     settings = list(itertools.product(*grid.values()))
     picked = random.Random(seed).sample(settings, min(draws, len(settings)))
     train = frame.where(F.col(SPLIT) == TRAIN)
-    laid_out = fit_order(train, spec)
+    laid_out = fit_order(train, spec, parts)
     day = F.col(spec.date)
-    rows = []
-    for values in picked:
-        params = dict(zip(grid, values))
+
+    def error(task) -> tuple[str, int, float]:
+        values, (fold, cutoff, end) = task
+        params = dict(zip(grid, values, strict=True))
+        model = learner(codes, **params).fit(laid_out.where(day <= F.lit(cutoff)))
+        valid = laid_out.where((day > F.lit(cutoff)) & (day <= F.lit(end)))
+        scored = predict_level(model, valid, "model")
         label = ", ".join(f"{k}={v}" for k, v in params.items())
-        for fold, cutoff, end in fold_bounds(train_end, n_folds, months):
-            model = learner(codes, **params).fit(laid_out.where(day <= F.lit(cutoff)))
-            valid = laid_out.where((day > F.lit(cutoff)) & (day <= F.lit(end)))
-            scored = predict_level(model, valid, "model")
-            error = score(candidate_rows(scored, ["model"], spec), spec).head()[metric]
-            rows.append((label, fold, error))
+        return label, fold, score(candidate_rows(scored, ["model"], spec), spec).head()[metric]
+
+    bounds = fold_bounds(train_end, n_folds, months)
+    rows = _together(error, list(itertools.product(picked, bounds)), at_once)
     errors = frame.sparkSession.createDataFrame(
         rows, "candidate string, fold int, error double"
     )
@@ -158,17 +175,18 @@ def seed_stability(
     codes: CodeMaps,
     seeds: tuple[int, ...] = (1, 2, 3, 4, 5),
     spec: PanelSpec = PanelSpec(),
+    parts: int | None = None,
+    at_once: int = AT_ONCE,
 ) -> DataFrame:
-    """Range of the holdout metrics over refits with different seeds."""
-    train = fit_order(frame.where(F.col(SPLIT) == TRAIN), spec)
+    """Range of the holdout metrics over refits with different seeds, ``at_once`` of them at a time."""
+    train = fit_order(frame.where(F.col(SPLIT) == TRAIN), spec, parts)
     test = frame.where(F.col(SPLIT) == TEST)
-    rows = []
-    for seed in seeds:
-        model = learner(codes, seed=seed).fit(train)
-        scored = predict_level(model, test, "model")
-        rows += [
-            (seed, r["metric"], r["value"]) for r in evaluate(scored, ["model"], spec).collect()
-        ]
+
+    def metrics(seed: int) -> list[tuple[int, str, float]]:
+        scored = predict_level(learner(codes, seed=seed).fit(train), test, "model")
+        return [(seed, r["metric"], r["value"]) for r in evaluate(scored, ["model"], spec).collect()]
+
+    rows = [row for found in _together(metrics, list(seeds), at_once) for row in found]
     runs = frame.sparkSession.createDataFrame(rows, "seed int, metric string, value double")
     return runs.groupBy("metric").agg(
         F.count("value").alias("n_seeds"),
@@ -206,21 +224,31 @@ def cross_validate_learners(
     n_folds: int = 5,
     months: int = 6,
     spec: PanelSpec = PanelSpec(),
+    parts: int | None = None,
+    at_once: int = AT_ONCE,
 ) -> DataFrame:
     """One table of cross-validated errors: fitted learners, blends and baselines.
 
-    Each learner is fitted on the rows before a fold and predicts the fold; a blend is
+    Each learner is fitted on the rows before a fold and predicts the fold, ``at_once``
+    fits at a time; a blend is
     (first, second, weight of the first) of any two candidates. All are scored on the same
     rows, the smallest error is flagged, and the holdout is never read.
     """
     blends = blends or {}
     day, folds = F.col(spec.date), None
-    laid_out = fit_order(frame.where(F.col(SPLIT) == TRAIN), spec)
-    for fold, cutoff, end in fold_bounds(train_end, n_folds, months):
+    laid_out = fit_order(frame.where(F.col(SPLIT) == TRAIN), spec, parts)
+    bounds = fold_bounds(train_end, n_folds, months)
+
+    def fitted(task) -> PipelineModel:
+        (_, cutoff, _), name = task
+        return learners[name](codes).fit(laid_out.where(day <= F.lit(cutoff)))
+
+    tasks = list(itertools.product(bounds, learners))
+    models = dict(zip([(b[0], name) for b, name in tasks], _together(fitted, tasks, at_once), strict=True))
+    for fold, cutoff, end in bounds:
         valid = laid_out.where((day > F.lit(cutoff)) & (day <= F.lit(end)))
-        train = laid_out.where(day <= F.lit(cutoff))
-        for name, learner in learners.items():
-            valid = predict_level(learner(codes).fit(train), valid, name)
+        for name in learners:
+            valid = predict_level(models[fold, name], valid, name)
         valid = valid.withColumn("fold", F.lit(fold))
         folds = valid if folds is None else folds.unionByName(valid)
     mixed = folds.withColumns({name: blend(a, b, w) for name, (a, b, w) in blends.items()})
