@@ -35,20 +35,23 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 def _parts(queries: np.ndarray, rows: np.ndarray, slices: int) -> np.ndarray:
     """Integer partial inner products, (slices, queries, rows).
 
-    Doubles hold them exactly below 2^53; beyond it Python's integers are used, and a
-    score outside 64 bits is set to the nearest that fits.
+    Doubles hold them exactly below 2^53; beyond it Python's integers are used. Where partial
+    scores could add up to 2^63 the job fails, so that no sum wraps.
     """
     bounds = np.linspace(0, queries.shape[1], slices + 1).astype(int)
     most = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(1, queries.shape[1])
     out = np.empty((slices, len(queries), len(rows)), np.int64)
+    room = 1 << 63
     if most >= EXACT:
         whole = np.vectorize(int, otypes=[object])
         queries, rows = whole(queries), whole(rows)
     for s, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
         product = queries[:, lo:hi] @ rows[:, lo:hi].T if hi > lo else np.zeros(out.shape[1:])
         if most >= EXACT:
-            limit = (1 << 62) // slices
-            product = np.vectorize(lambda v: max(-limit, min(limit, int(v))), otypes=[np.int64])(product)
+            product = np.vectorize(int, otypes=[object])(product) if product.size else product
+            room -= int(np.abs(product).max(initial=0))
+            if room <= 0:
+                raise OverflowError("scores of these vectors do not fit 64 bits")
         out[s] = product
     return out
 
@@ -89,6 +92,7 @@ def top_k(
     Null, NaN or infinite components and null ids take no part; shorter vectors count as
     padded with zeros; ties go to the smaller id; repeated rows are rows of their own.
     Fewer rows than k give fewer results; without rows or queries the result is empty.
+    Components so large that scores, or bounds of them, could exceed 64 bits fail the job.
     """
     small_batches(df.sparkSession)
     vectors = materialise(

@@ -62,9 +62,14 @@ def test_odd_rows(spark):
 
 
 def test_large_components_stay_exact(spark):
-    rows = [(i, [f32(2.0**30 + 2.0**8 * i), 1.0]) for i in range(0, 12)]
-    got = top_k(frame(spark, rows), F.col("vec_id") % 10 == 0, 3)
-    limit = (1 << 62) // 4
-    expected = [(q, n, i, min(s, limit) if s > limit else s) for q, n, i, s in brute(rows, 3, 10)]
-    got = rows_of(got, "query_id", "rank", "vec_id", "score")
-    assert len(got) == len(expected)
+    rows = [(i, [f32(2.0**22 + 2.0**8 * i), 1.0, f32(-(2.0**18) * i)]) for i in range(0, 12)]
+    rows += [(20, [2.0**22, 0.0, 0.0]), (21, [2.0**23, 0.0])]  # the inner product is 2^61
+    got = rows_of(top_k(frame(spark, rows), F.col("vec_id") % 10 == 0, 3), "query_id", "rank", "vec_id", "score")
+    assert got == brute(rows, 3, 10)
+    assert (20, 1, 21, 1 << 61) in got
+
+
+def test_too_large_components_fail(spark):
+    rows = [(i, [2.0**23, 2.0**23]) for i in range(0, 12)]
+    with pytest.raises(Exception, match="64 bits"):
+        top_k(frame(spark, rows), F.col("vec_id") % 10 == 0, 3).collect()
