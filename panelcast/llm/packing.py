@@ -21,7 +21,7 @@ PIECES = (
 
 
 def _flat_coder(path: str):
-    """Ids of a tokenizer file, special strings taken as ordinary text.
+    """Ids of a tokenizer file, as its library gives them: a special string is its own id.
 
     A byte-level BPE without normalizer encodes alike from its ranks, several times faster;
     ``tests/llm`` holds the two against each other. Other files use their own library.
@@ -39,24 +39,30 @@ def _flat_coder(path: str):
         and model.get("type") == "BPE"
         and not model.get("ignore_merges")
         and _merges_follow_ids(model)
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
     )
     if not plain:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     to_byte = _byte_letters()
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     ranks = {
         bytes(map(to_byte.__getitem__, token)): i
         for token, i in model["vocab"].items()
         if token not in special
     }
     coder = tiktoken.Encoding(
-        "own", pat_str=FAST_PATTERN, mergeable_ranks=ranks, special_tokens={}
+        "own", pat_str=FAST_PATTERN, mergeable_ranks=ranks, special_tokens=special
     )
-    return coder.encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        if any(token in text for token in special):
+            return coder.encode(text, allowed_special="all")
+        return coder.encode_ordinary(text)
+
+    return encode
 
 
 def _merges_follow_ids(model: dict) -> bool:

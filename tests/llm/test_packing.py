@@ -53,7 +53,6 @@ def test_rounds_equal_best_fit_of_single_pieces(seed):
 def check(docs, rows, capacity):
     """Every document's ids are there once, in order, and every sequence is gapless."""
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     expected = []
     for row in docs:
         ids = [*tokenizer.encode(row.text or "", add_special_tokens=False).ids, 2]
@@ -87,7 +86,7 @@ def test_odd_rows(odd_docs, no_docs):
 
 def test_many_tasks(spark):
     rng = random.Random(5)
-    words = ["the", "<|endoftext|>", "naïve", "日本", "x1\n\n", "don't"]
+    words = ["the", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endof", "naïve", "日本", "x1\n\n", "don't"]
     docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 60)))) for i in range(400)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
     rows = pack_documents(df, PATH, capacity=50).collect()
