@@ -35,6 +35,16 @@ def read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{folder}/{table}.parquet").select(*columns)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before each as make it none of the columns'."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator needs, under fixed names; a null text stays null."""
     return df.select(
@@ -243,6 +253,7 @@ __all__ = [
     "materialise",
     "read",
     "small_batches",
+    "spare",
     "sum_counters",
     "task_number",
     "texts",

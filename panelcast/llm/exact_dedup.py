@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import arrow_pass, materialise, task_number, texts, utf8
+from panelcast.llm.common import arrow_pass, materialise, spare, task_number, texts, utf8
 
 BLOCK_BYTES = 4096
 WINDOW_BYTES = 8 << 20
@@ -172,23 +172,25 @@ def without_copies(docs: DataFrame, *, id_col="doc_id", text_col="text") -> Data
     marks = marks.where("doc_id IS NOT NULL")
     repeats = marks.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not repeats:
-        dropped = marks.where("NOT kept").select(F.col("doc_id").alias("_dropped"))
-        return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+        (gone,) = spare(docs, "_dropped")
+        dropped = marks.where("NOT kept").select(F.col("doc_id").alias(gone))
+        return docs.join(dropped, F.col(id_col) == F.col(gone), "left_anti")
+    sha, chars, of_id, of_sha, of_chars = spare(docs, "_sha", "_chars", "_of_id", "_of_sha", "_of_chars")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns(
         {
-            "_sha": F.sha2(F.translate(text, WHITE.decode(), ""), 256),
-            "_chars": F.char_length(text).cast("long"),
+            sha: F.sha2(F.translate(text, WHITE.decode(), ""), 256),
+            chars: F.char_length(text).cast("long"),
         }
     )
     dropped = (
         marks.groupBy("doc_id", "text_sha256", "chars")
         .agg(F.max("kept").alias("kept"))
         .where("NOT kept")
-        .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_s"), F.col("chars").alias("_c"))
+        .select(F.col("doc_id").alias(of_id), F.col("text_sha256").alias(of_sha), F.col("chars").alias(of_chars))
     )
-    on = (F.col(id_col) == F.col("_id")) & (F.col("_sha") == F.col("_s")) & (F.col("_chars") == F.col("_c"))
+    on = (F.col(id_col) == F.col(of_id)) & (F.col(sha) == F.col(of_sha)) & (F.col(chars) == F.col(of_chars))
     left = keyed.join(dropped, on, "left_anti")
     unnamed = left.where(F.col(id_col).isNull())
-    once = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "_sha", "_chars"])
-    return once.unionByName(unnamed).drop("_sha", "_chars")
+    once = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, sha, chars])
+    return once.unionByName(unnamed).drop(sha, chars)

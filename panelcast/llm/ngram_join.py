@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import arrow_pass, bloom, materialise, texts, utf8
+from panelcast.llm.common import arrow_pass, bloom, materialise, spare, texts, utf8
 from panelcast.llm.components import components
 
 STRIP_BYTES = 1 << 18
@@ -653,10 +653,11 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule(5, 80, 100), *, id_col="doc_i
     Rows without an id stay; rows that repeat a kept id stay with it.
     """
     found = similar_documents(docs, rule, id_col=id_col, text_col=text_col)
+    (gone,) = spare(docs, "_dropped")
     dropped = materialise(
         found.groupBy("doc_id")
         .agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"))
         .where("NOT kept")
-        .select(F.col("doc_id").alias("_dropped"))
+        .select(F.col("doc_id").alias(gone))
     )
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    return docs.join(dropped, F.col(id_col) == F.col(gone), "left_anti")

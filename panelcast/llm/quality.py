@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import arrow_pass, materialise, utf8
+from panelcast.llm.common import arrow_pass, materialise, spare, utf8
 
 ORDER = 5
 PAD = b"\0" * (ORDER - 1)
@@ -23,8 +23,8 @@ SHARD_ENTRIES = 4 << 20
 # its fold, so that copies stay together.
 FOLDS = 3
 ALL = -1  # instead of a fold: the model of all trusted texts
-# With fewer different trusted texts than this a language has no 0.99 quantile of its own.
-LEAST_TEXTS = 100
+# So many different trusted texts of a language weigh as much as what is known without them.
+PRIOR_TEXTS = 100
 QUANTILE = 0.99
 SLACK = 0.1
 # A short text's perplexity is a rough estimate: it is taken this many nats lower over the
@@ -288,34 +288,51 @@ def _log_sums(column: pa.Array, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
     return sums, sizes
 
 
-def log_perplexity(df: DataFrame, model: DataFrame, entries: int = SHARD_ENTRIES) -> DataFrame:
-    """``df`` (with ``text``), ``log_ppl`` and ``log_ppl_low``; null for a null or empty text.
+def log_perplexity(
+    df: DataFrame, model: DataFrame, entries: int = SHARD_ENTRIES, *, text_col="text"
+) -> DataFrame:
+    """``df``, ``log_ppl`` and ``log_ppl_low``; null for a null or empty text.
+
+    ``log_ppl`` is in nats a byte, ``log_ppl_low`` the lower estimate that is compared;
+    columns of these names in ``df`` are replaced.
+    """
+    total, size = spare(df, "_sum", "_bytes")
+    log_ppl, low = _log_ppl(total, size)
+    scored = _summed(df, model, entries, text_col, total, size)
+    return scored.withColumns({"log_ppl": log_ppl, "log_ppl_low": low}).drop(total, size)
+
+
+def _log_ppl(total: str, size: str) -> tuple[Column, Column]:
+    log_ppl = F.when(F.col(size) > 0, -F.col(total) / F.col(size))
+    return log_ppl, log_ppl - MARGIN / F.sqrt(size)
 
-    ``log_ppl`` is in nats a byte, ``log_ppl_low`` the lower estimate that is compared.
+
+def _summed(
+    df: DataFrame, model: DataFrame, entries: int, text_col: str, total: str, size: str
+) -> DataFrame:
+    """``df`` with the log probability of each text's bytes and their number.
 
     Every shard of the counts is joined on the map side, one narrow pass each; a shard is
     broadcast, its size is bounded, and a text's sums over shards are added in its row.
     The number of passes follows the number of distinct n-grams, not the number of texts.
     """
     context = df.sparkSession.sparkContext
-    out = df.withColumns({"_sum": F.lit(0.0), "_bytes": F.lit(0).cast("long")})
+    out = df.withColumns({total: F.lit(0.0), size: F.lit(0).cast("long")})
     for values in shards(model, entries):
         shared = context.broadcast(_load(model, values))
 
         def work(batches, shared=shared):
             for batch in batches:
-                sums, sizes = _log_sums(batch.column("text"), shared.value)
-                sums = sums + batch.column("_sum").to_numpy()
-                rest = [c for c in batch.schema.names if c not in ("_sum", "_bytes")]
+                sums, sizes = _log_sums(batch.column(text_col), shared.value)
+                sums = sums + batch.column(total).to_numpy()
+                rest = [c for c in batch.schema.names if c not in (total, size)]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c) for c in rest), pa.array(sums), pa.array(sizes)],
-                    [*rest, "_sum", "_bytes"],
+                    [*rest, total, size],
                 )
 
         out = arrow_pass(out, work, out.schema)
-    log_ppl = F.when(F.col("_bytes") > 0, -F.col("_sum") / F.col("_bytes"))
-    low = log_ppl - MARGIN / F.sqrt("_bytes")
-    return out.withColumns({"log_ppl": log_ppl, "log_ppl_low": low}).drop("_sum", "_bytes")
+    return out
 
 
 def thresholds(trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> dict[str, float]:
@@ -323,10 +340,13 @@ def thresholds(trusted: DataFrame, quantile: float = QUANTILE, slack: float = SL
 
     The quantile over all trusted rows (log_ppl_low, lang, text_key) of a language, taken
     exactly from a histogram with bins of a thousandth, plus ``slack``. ``log_ppl_low`` must
-    come from a model that has not seen the text. Fewer than ``LEAST_TEXTS`` different texts
-    say that clean text goes so far, not that it goes no further: such a language has the
-    largest of the common limit, its own largest text, and its median text plus the widest
-    distance from median to quantile in the other languages.
+    come from a model that has not seen the text.
+
+    m different texts say that clean text of a language goes so far, not that it goes no
+    further. So the limit lies between the language's own quantile, with weight m / (m +
+    ``PRIOR_TEXTS``), and a wide one: the largest of the common limit, its largest text,
+    and its median text plus the widest distance from median to quantile, of all texts or
+    of a language, the latter with the same weight.
     """
     bins = (
         trusted.where("log_ppl_low IS NOT NULL")
@@ -349,32 +369,53 @@ def thresholds(trusted: DataFrame, quantile: float = QUANTILE, slack: float = SL
     for b in bins:
         if b["lang"] is not None:
             by_lang.setdefault(b["lang"], []).append(b)
-    few = {k for k, rows in by_lang.items() if sum(b["texts"] for b in rows) < LEAST_TEXTS}
-    known = [rows for k, rows in by_lang.items() if k not in few] or [bins]
-    spread = max(cut(rows, quantile) - cut(rows, 0.5) for rows in known)
+    weight = {}
+    for lang, rows in by_lang.items():
+        m = sum(b["texts"] for b in rows)
+        weight[lang] = m / (m + PRIOR_TEXTS)
+    spreads = [weight[k] * (cut(rows, quantile) - cut(rows, 0.5)) for k, rows in by_lang.items()]
+    spread = max([cut(bins, quantile) - cut(bins, 0.5), *spreads])
     out = {ANY: cut(bins, quantile)}
     for lang, rows in by_lang.items():
-        out[lang] = cut(rows, quantile)
-        if lang in few:
-            out[lang] = max(out[ANY], cut(rows, 1.0), cut(rows, 0.5, "texts") + spread)
+        own = cut(rows, quantile)
+        wide = max(out[ANY], cut(rows, 1.0), cut(rows, 0.5, "texts") + spread)
+        out[lang] = own + (1 - weight[lang]) * (wide - own)
     return {lang: limit + slack for lang, limit in out.items()}
 
 
 def judged(
     docs: DataFrame, model: DataFrame, limits: dict[str, float], *, text_col="text", lang_col="lang"
 ) -> DataFrame:
-    """``docs`` with ``log_ppl``, ``log_ppl_limit`` and ``keep``.
+    """``docs`` with ``log_ppl``, ``log_ppl_low``, ``log_ppl_limit`` and ``keep``.
 
-    A language without trusted text, or null, has the limit of all languages together. Null
+    Columns of these names in ``docs`` are replaced; ``keep_good`` keeps them. A language without trusted text, or null, has the limit of all languages together. Null
     and empty texts are not kept. Without any trusted text there is no limit: all other
     texts are kept.
     """
-    scored = log_perplexity(docs.withColumnRenamed(text_col, "text"), model)
+    scored = log_perplexity(docs, model, text_col=text_col)
+    limit = _limit(limits, lang_col)
+    keep = _passes(F.col("log_ppl"), F.col("log_ppl_low"), limit)
+    return scored.withColumns({"log_ppl_limit": limit, "keep": keep})
+
+
+def _limit(limits: dict[str, float], lang_col: str) -> Column:
     limit = F.lit(limits.get(ANY)).cast("double")
     for lang in sorted(set(limits) - {ANY}):
         limit = F.when(F.col(lang_col) == lang, limits[lang]).otherwise(limit)
-    keep = F.col("log_ppl").isNotNull() & F.coalesce(F.col("log_ppl_low") <= limit, F.lit(True))
-    return scored.withColumns({"log_ppl_limit": limit, "keep": keep}).withColumnRenamed("text", text_col)
+    return limit
+
+
+def _passes(log_ppl: Column, low: Column, limit: Column) -> Column:
+    return log_ppl.isNotNull() & F.coalesce(low <= limit, F.lit(True))
+
+
+def keep_good(
+    docs: DataFrame, model: DataFrame, limits: dict[str, float], *, text_col="text", lang_col="lang"
+) -> DataFrame:
+    """``docs`` with all its columns, whatever their names, without the rows that ``judged`` rejects."""
+    total, size = spare(docs, "_sum", "_bytes")
+    passes = _passes(*_log_ppl(total, size), _limit(limits, lang_col))
+    return _summed(docs, model, SHARD_ENTRIES, text_col, total, size).where(passes).drop(total, size)
 
 
 def fit(trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK):
@@ -382,8 +423,10 @@ def fit(trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK):
 
     The model is of all of them. The limits are of perplexities that each text has in a
     model of the folds it is not in; a fold's scores are written before the next is loaded.
+    The rows are written first, so that what finds them runs once and every pass over them
+    has one Python worker a task.
     """
-    trusted = trusted.select("text", "lang", _fold().alias("fold"))
+    trusted = materialise(trusted.select("text", "lang", _fold().alias("fold")))
     models = train(trusted, FOLDS)
     scored = None
     for fold in range(FOLDS):

@@ -95,15 +95,17 @@ def _feature_sets(values, feature_of: np.ndarray):
 def fit(labelled: DataFrame, *, text_col="text", label_col="toxic", fit_rows: int = FIT_ROWS) -> Model:
     """The model of labelled rows; rows with a null label take no part, null texts are empty.
 
-    One pass counts, for every hashed n-gram, the texts of each class that have it (a fixed
+    The rows are written first, so that what finds them runs once. One pass counts, for every hashed n-gram, the texts of each class that have it (a fixed
     number of counters, summed over tasks in compressed blocks). The n-grams that differ
     most between the classes become features. Weights are fitted to a bounded sample.
     With a class missing, every score is that of the other class.
     """
-    rows = labelled.select(
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-        F.col(label_col).cast("int").alias("label"),
-    ).where("label IN (0, 1)")
+    rows = materialise(
+        labelled.select(
+            F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+            F.col(label_col).cast("int").alias("label"),
+        ).where("label IN (0, 1)")
+    )
     digests = materialise(rows.groupBy("label", F.xxhash64("text").alias("digest")).count())
     totals = {r[0]: r[1] for r in digests.groupBy("label").agg(F.sum("count")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pytest
 
+# names that operators use for columns of their own
+CLASHES = ["_sum", "_bytes", "_dropped", "_sha", "_chars", "log_ppl", "log_ppl_low", "log_ppl_limit", "_text"]
 LONG = "alpha beta gamma delta " * 3000
 
 
@@ -22,8 +24,9 @@ def odd_docs(spark):
         (6, " \t\n ", "fr"),
         (7, "été 日本語 👍🏽 \u00a0\u2003x", "fr"),
     ]
-    wide = [(*r, "x", 1, 2.5) for r in rows]
-    schema = "doc_id long, text string, lang string, keep_id string, n int, score double"
+    wide = [(*r, "x", 1, 2.5, "USER", *CLASHES) for r in rows]
+    schema = "doc_id long, text string, lang string, keep_id string, n int, score double, keep string"
+    schema += "".join(f", {name} string" for name in CLASHES)
     return spark.createDataFrame(wide, schema)
 
 

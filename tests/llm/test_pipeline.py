@@ -7,12 +7,13 @@ import re
 
 import public_tokenizers
 import pytest
-from llm_rows import rows_of
+from llm_rows import CLASHES, no_docs, odd_docs, rows_of  # noqa: F401
 from test_ngram_join import brute as near_groups
 from test_packing import brute_best_fit, check
 
 import corpus_pipeline
 from panelcast.functions.lineage import materialise
+from panelcast.llm import quality
 from panelcast.llm.ngram_join import Rule
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -114,3 +115,23 @@ def test_empty_and_repeated_tables(spark, tmp_path):
         assert out.count() == out.select("doc_id", "piece").distinct().count()
         assert (out.count() > 0) == bool(docs)
     assert public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_columns_of_the_caller_stay(spark, odd_docs, folder):  # noqa: F811
+    """Whatever the columns are called, a stage returns them as they came."""
+    docs = odd_docs.unionByName(odd_docs.where("doc_id = 2"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert {r["keep"] for r in rows} <= {"USER"}
+        assert all(r[name] == name for r in rows for name in CLASHES)
+    assert rows
+
+
+def test_another_text_column(spark, folder):
+    rows = [(1, "ka tomi relo", "not this"), (2, "", "ka tomi"), (3, None, "ka")]
+    docs = spark.createDataFrame([(*r, "xx") for r in rows], "doc_id long, body string, text string, lang string")
+    trusted = spark.createDataFrame([("ka tomi relo sanu", "xx")] * 3, "text string, lang string")
+    kept = quality.keep_good(docs, *quality.fit(trusted), text_col="body")
+    assert rows_of(kept, *docs.columns) == [(*rows[0], "xx")]
