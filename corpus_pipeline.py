@@ -34,7 +34,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     labels = read(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1")
     trusted = labelled(docs.select("doc_id", "text", "lang"), labels, "quality")
     model, limits = quality.fit(trusted)
-    return quality.judged(docs, model, limits).where("keep").select(*docs.columns)
+    return quality.keep_good(docs, model, limits)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
