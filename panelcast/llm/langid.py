@@ -72,12 +72,13 @@ def learn(
         .where(F.col("n") <= sample_texts)
         .collect()
     )
-    room_each = DICTIONARIES_BYTES // len(counts)
+    # with very many languages each has fewer excerpts, all of them whole
+    most = max(1, DICTIONARIES_BYTES // len(counts) // (4 * excerpt_chars + 1))
     content = {}
     for lang in sorted(counts):
         parts = [r["part"] for r in sorted(picked, key=lambda r: r["key"]) if r["lang"] == lang]
         if parts:
-            content[lang] = "\n".join(parts).encode()[:room_each]
+            content[lang] = "\n".join(parts[:most]).encode()
     return Languages(content)
 
 
@@ -129,7 +130,8 @@ def identify(
 
     ``score`` is how much smaller the best coding is than the second best, as a share;
     ``reliable`` is false where that margin is under ``min_margin``. A null, empty or
-    letterless text, or nothing learnt, gives ``und`` with score 0.
+    letterless text, or nothing learnt, gives ``und`` with score 0. Repeated rows are judged
+    each; very long texts are coded whole, block by block; ties go to the first name.
     """
     shared = df.sparkSession.sparkContext.broadcast(languages)
 

@@ -3,8 +3,10 @@ from __future__ import annotations
 import random
 
 import pytest
+import zstandard
 from llm_rows import no_docs, odd_docs, rows_of  # noqa: F401
 
+from panelcast.llm import langid
 from panelcast.llm.langid import Languages, identify, learn
 
 WORDS = {
@@ -63,3 +65,44 @@ def test_copies_do_not_empty_a_dictionary(spark):
     assert sorted(languages.content["yy"].decode().split("\n")) == sorted(t[:512] for t in few)
     parts = languages.content["xx"].decode().split("\n")
     assert len(set(parts)) == 5 and set(parts) <= {t[:512] for t in many}
+
+
+def plain(text, languages):
+    """Language and margin from the sizes of each block in each language's coding."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data, sizes = text.encode(), []
+    for name in sorted(languages.content):
+        size = 0
+        for lo in range(0, len(data), langid.BLOCK_BYTES):
+            words = zstandard.ZstdCompressionDict(languages.content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            coder = zstandard.ZstdCompressor(
+                level=langid.LEVEL, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False
+            )
+            size += len(coder.compress(data[lo : lo + langid.BLOCK_BYTES]))
+        sizes.append((size, name))
+    (best, name), (second, _) = sorted(sizes)[:2]
+    return name, (second - best) / second
+
+
+def test_equals_a_plain_loop(spark, corpus):
+    languages = learn(corpus.where("doc_id % 2 = 0"))
+    rows = [(r.doc_id, r.text) for r in corpus.where("doc_id < 60").collect()]
+    rows += [(900, None), (901, "12 34"), (902, rows[0][1] + " " + rows[1][1] * 80), (903, "x"), (904, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(df, languages).collect()}
+    for doc_id, text_ in rows:
+        name, margin = plain(text_, languages)
+        assert got[doc_id][0] == name and got[doc_id][1] == pytest.approx(margin), doc_id
+
+
+def test_many_languages_have_whole_excerpts(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(text(rng, "xx", 30), f"l{i % 20}") for i in range(400)]
+    monkeypatch.setattr(langid, "DICTIONARIES_BYTES", 20 * 3 * (4 * 100 + 1))
+    languages = learn(spark.createDataFrame(rows, "text string, lang string"), excerpt_chars=100)
+    assert len(languages.content) == 20
+    whole = {t for t, _ in rows}
+    for content in languages.content.values():
+        parts = content.decode().split("\n")
+        assert len(parts) == 3 and all(any(p in t for t in whole) for p in parts)
