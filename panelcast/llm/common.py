@@ -119,6 +119,42 @@ class Bloom:
         return found
 
 
+# Blocks of tasks that one task unites at a time.
+FAN = 64
+
+
+def fold_blocks(parts: DataFrame, unite: Callable[[Iterator[bytes]], bytes]) -> dict[int, bytes]:
+    """The united block of each place, from rows (at, task, block) with a row for each task.
+
+    Blocks are united in rounds, at most ``FAN`` of a place in one group, so no group grows
+    with the number of tasks; what reaches the driver is one block a place.
+    """
+
+    def fold(table: pa.Table) -> pa.Table:
+        block = unite(zlib.decompress(value.as_py()) for value in table.column("block"))
+        first = table.select(["at", "task"])[:1]
+        return first.append_column("block", pa.array([zlib.compress(block, 1)], pa.binary()))
+
+    parts = materialise(parts)
+    last = parts.agg(F.max("task")).first()[0]
+    while last is not None:
+        task = F.floor(F.col("task") / FAN).cast("int")
+        groups = parts.withColumn("task", task).groupBy("at", "task")
+        parts = groups.applyInArrow(fold, "at int, task int, block binary")
+        last = last // FAN or None
+    return {row["at"]: zlib.decompress(row["block"]) for row in parts.select("at", "block").collect()}
+
+
+def _block_rows(at: np.ndarray, blocks) -> pa.RecordBatch:
+    data = [zlib.compress(np.ascontiguousarray(blocks[i]).tobytes(), 1) for i in at]
+    task = pa.array(np.full(len(at), task_number(), np.int32))
+    columns = [pa.array(at.astype(np.int32)), task, pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["at", "task", "block"])
+
+
+BLOCKS = "at int, task int, block binary"
+
+
 def bloom(df: DataFrame, key: str) -> Bloom:
     """The filter over the non-null values; tasks send compressed blocks of its bits."""
     n = df.select(key).count()
@@ -131,26 +167,18 @@ def bloom(df: DataFrame, key: str) -> Bloom:
             for slots in _bloom_slots(keys, log2):
                 np.bitwise_or.at(words, slots >> 6, np.uint64(1) << (slots & 63).astype(np.uint64))
         blocks = words.reshape(-1, min(BLOOM_BLOCK, len(words)))
-        at = np.flatnonzero(blocks.any(axis=1))
-        data = [zlib.compress(blocks[i].tobytes(), 1) for i in at]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at.astype(np.int32)), pa.array(data, pa.binary())], ["at", "bits"]
-        )
+        yield _block_rows(np.flatnonzero(blocks.any(axis=1)), blocks)
 
-    def unite(table: pa.Table) -> pa.Table:
+    def unite(blocks) -> bytes:
         united = 0
-        for value in table.column("bits"):
-            united = np.frombuffer(zlib.decompress(value.as_py()), np.uint64) | united
-        return pa.table(
-            {"at": table.column("at")[:1], "bits": [zlib.compress(united.tobytes(), 1)]}
-        )
+        for block in blocks:
+            united = np.frombuffer(block, np.uint64) | united
+        return united.tobytes()
 
-    parts = df.select(key).mapInArrow(mark, "at int, bits binary")
     words = np.zeros(1 << (log2 - 6), np.uint64)
     size = min(BLOOM_BLOCK, len(words))
-    for row in parts.groupBy("at").applyInArrow(unite, "at int, bits binary").collect():
-        block = np.frombuffer(zlib.decompress(row["bits"]), np.uint64)
-        words[row["at"] * size : (row["at"] + 1) * size] = block
+    for at, block in fold_blocks(df.select(key).mapInArrow(mark, BLOCKS), unite).items():
+        words[at * size : (at + 1) * size] = np.frombuffer(block, np.uint64)
     return Bloom(words)
 
 
@@ -213,36 +241,30 @@ COUNTER_BLOCK = 1 << 12
 
 
 def counter_rows(counts: np.ndarray) -> pa.RecordBatch:
-    """Non-empty blocks of an int64 (kinds, size) array as compressed rows."""
+    """Non-empty blocks of an int64 (kinds, size) array as compressed rows (``BLOCKS``)."""
     kinds, size = counts.shape
     blocks = counts.reshape(kinds, size // COUNTER_BLOCK, COUNTER_BLOCK).transpose(1, 0, 2)
-    at = np.flatnonzero(blocks.any(axis=(1, 2)))
-    data = [zlib.compress(np.ascontiguousarray(blocks[i]).tobytes(), 1) for i in at]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(at.astype(np.int32)), pa.array(data, pa.binary())], ["at", "counts"]
-    )
+    return _block_rows(np.flatnonzero(blocks.any(axis=(1, 2))), blocks)
 
 
 def sum_counters(rows: DataFrame, kinds: int, size: int) -> np.ndarray:
     """The summed array; ``kinds * size`` is fixed by the caller, so its size is bounded."""
 
-    def add(table: pa.Table) -> pa.Table:
+    def add(blocks) -> bytes:
         total = np.zeros(kinds * COUNTER_BLOCK, dtype=np.int64)
-        for value in table.column("counts"):
-            total += np.frombuffer(zlib.decompress(value.as_py()), dtype=np.int64)
-        return pa.table(
-            {"at": table.column("at")[:1], "counts": [zlib.compress(total.tobytes(), 1)]}
-        )
+        for block in blocks:
+            total += np.frombuffer(block, dtype=np.int64)
+        return total.tobytes()
 
     out = np.zeros((kinds, size), dtype=np.int64)
-    for row in rows.groupBy("at").applyInArrow(add, "at int, counts binary").collect():
-        lo = row["at"] * COUNTER_BLOCK
-        block = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
-        out[:, lo : lo + COUNTER_BLOCK] = block.reshape(kinds, COUNTER_BLOCK)
+    for at, block in fold_blocks(rows, add).items():
+        lo = at * COUNTER_BLOCK
+        out[:, lo : lo + COUNTER_BLOCK] = np.frombuffer(block, dtype=np.int64).reshape(kinds, COUNTER_BLOCK)
     return out
 
 
 __all__ = [
+    "BLOCKS",
     "Bloom",
     "arrow_pass",
     "bloom",

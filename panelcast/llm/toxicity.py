@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import (
+    BLOCKS,
     arrow_pass,
     counter_rows,
     materialise,
@@ -27,7 +28,7 @@ FIT_ROWS = 2000
 SMOOTHING = 1.0
 PENALTY = 1e-3
 STEPS = 200
-PAD = b"\0" * (max(ORDERS) - 1)
+PAD = np.zeros(max(ORDERS) - 1, np.uint32)
 STRIP_BYTES = 1 << 18
 
 
@@ -40,37 +41,47 @@ class Model:
     intercept: float
 
 
-def _strips(values):
-    """Groups of (position, lower-cased bytes) of about a strip, a longer text alone."""
-    group, size = [], 0
-    for i, raw in enumerate(values):
-        group.append((i, (raw or b"").lower()))
-        size += len(group[-1][1]) + len(PAD)
-        if size >= STRIP_BYTES:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+def _codes(raw: bytes) -> np.ndarray:
+    """Code points of the lower-cased text, whatever comes before or after it."""
+    text = raw.decode("utf-8", "replace").lower().replace("\u03c2", "\u03c3")
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def _slots(group) -> tuple[np.ndarray, np.ndarray]:
-    """For every n-gram of a strip: the number of its text in the strip, and its slot.
+def _strips(raw: bytes):
+    """A long text's code points in strips, each begun with the last ones of the strip before.
 
-    Each text follows enough zero bytes that no n-gram touches two texts.
+    So every n-gram lies in a strip; those at the ends of the text have zeros around them.
     """
-    data = b"".join(PAD + raw for _, raw in group) + PAD
-    codes = np.frombuffer(data, np.uint8).astype(np.uint32)
-    owner = np.repeat(
-        np.arange(len(group), dtype=np.int32), [len(PAD) + len(raw) for _, raw in group]
-    )
-    owners, slots, mixed = [], [], codes
+    before, lo = PAD, 0
+    while lo < len(raw):
+        hi = lo + STRIP_BYTES
+        while hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+            hi += 1  # not inside a character
+        codes = np.concatenate([before, _codes(raw[lo:hi])])
+        yield codes if hi < len(raw) else np.concatenate([codes, PAD])
+        before, lo = codes[-len(PAD) :], hi
+
+
+def _hashed(codes: np.ndarray):
+    """Slots of all n-grams, an array for each order; n-gram j starts at code point j."""
+    mixed = codes
     for n in range(2, max(ORDERS) + 1):
         mixed = mixed[:-1] * np.uint32(0x01000193) + codes[n - 1 :]
         if n in ORDERS:
-            slot = (mixed ^ np.uint32(n * 0x3C6EF372 & 0xFFFFFFFF)) * np.uint32(0x9E3779B1) >> np.uint32(12)
-            slots.append(slot[: len(owner)])
-            owners.append(owner[: len(slot)])
-    return np.concatenate(owners), np.concatenate(slots)
+            yield (mixed ^ np.uint32(n * 0x3C6EF372 & 0xFFFFFFFF)) * np.uint32(0x9E3779B1) >> np.uint32(12)
+
+
+def _slots(group) -> tuple[np.ndarray, np.ndarray]:
+    """For every n-gram of (position, code points) pairs: the pair's number, and its slot.
+
+    Each text follows enough zeros that no n-gram touches two texts.
+    """
+    codes = np.concatenate([part for _, text in group for part in (PAD, text)] + [PAD])
+    owner = np.repeat(
+        np.arange(len(group), dtype=np.int32), [len(PAD) + len(text) for _, text in group]
+    )
+    parts = [(owner[: len(slots)], slots[: len(owner)]) for slots in _hashed(codes)]
+    return np.concatenate([o for o, _ in parts]), np.concatenate([s for _, s in parts])
 
 
 def _distinct(owners: np.ndarray, keys: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,14 +93,42 @@ def _distinct(owners: np.ndarray, keys: np.ndarray, wide: int) -> tuple[np.ndarr
     return pairs // wide, pairs % wide
 
 
-def _feature_sets(values, feature_of: np.ndarray):
-    """(position of a text, its features) for the strips of a batch."""
-    for group in _strips(values):
+def _sets(values, feature_of: np.ndarray | None = None):
+    """(position of a text, its slot or feature), each pair once and positions ascending.
+
+    Texts are hashed in groups of about a strip. A longer one is hashed strip by strip and
+    leaves only its set, so memory follows the strip and not the text.
+    """
+
+    def found(slots: np.ndarray) -> np.ndarray:
+        return slots if feature_of is None else feature_of[slots]
+
+    def flush():
         owners, slots = _slots(group)
-        found = feature_of[slots]
-        hit = found >= 0
-        who, what = _distinct(owners[hit], found[hit], len(feature_of))
-        yield np.array([i for i, _ in group])[who], what
+        what = found(slots)
+        hit = what >= 0
+        who, what = _distinct(owners[hit], what[hit], SLOTS)
+        return np.array([i for i, _ in group])[who], what
+
+    group, size = [], 0
+    for i, raw in enumerate(values):
+        raw = raw or b""
+        if group and size + len(raw) + len(PAD) > STRIP_BYTES:
+            yield flush()
+            group, size = [], 0
+        if len(raw) > STRIP_BYTES:
+            seen = np.zeros(SLOTS, np.bool_)
+            for codes in _strips(raw):
+                for slots in _hashed(codes):
+                    what = found(slots)
+                    seen[what[what >= 0]] = True
+            what = np.flatnonzero(seen)
+            yield np.full(len(what), i), what
+            continue
+        group.append((i, _codes(raw)))
+        size += len(raw) + len(PAD)
+    if group:
+        yield flush()
 
 
 def fit(labelled: DataFrame, *, text_col="text", label_col="toxic", fit_rows: int = FIT_ROWS) -> Model:
@@ -117,14 +156,13 @@ def fit(labelled: DataFrame, *, text_col="text", label_col="toxic", fit_rows: in
         counts = np.zeros((2, SLOTS), np.int64)
         for batch in batches:
             labels = batch.column("label").to_numpy()
-            for group in _strips(utf8(batch.column("text"))):
-                owners, slots = _distinct(*_slots(group), SLOTS)
-                of = labels[[i for i, _ in group]][owners]
+            for who, slots in _sets(utf8(batch.column("text"))):
+                of = labels[who]
                 for label in (0, 1):
                     counts[label] += np.bincount(slots[of == label], minlength=SLOTS)
         yield counter_rows(counts)
 
-    have = sum_counters(arrow_pass(rows, count, "at int, counts binary"), 2, SLOTS)
+    have = sum_counters(arrow_pass(rows, count, BLOCKS), 2, SLOTS)
     q, p = have + SMOOTHING
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     pooled = have.sum(axis=0) / (n0 + n1)
@@ -137,7 +175,7 @@ def fit(labelled: DataFrame, *, text_col="text", label_col="toxic", fit_rows: in
 
     def sets(batches):
         for batch in batches:
-            parts = [([], [])] + list(_feature_sets(utf8(batch.column("text")), feature_of))
+            parts = [([], [])] + list(_sets(utf8(batch.column("text")), feature_of))
             who = np.concatenate([np.asarray(w, np.int64) for w, _ in parts])
             what = np.concatenate([np.asarray(x, np.int64) for _, x in parts])
             ends = np.searchsorted(who, np.arange(batch.num_rows + 1))
@@ -202,13 +240,17 @@ class Scorer:
         """Score of each whole text of a batch; null and empty texts have the intercept's."""
         z = np.full(len(column), self.model.intercept)
         if len(self.model.slots):
-            for who, what in _feature_sets(utf8(column), self.feature_of):
+            for who, what in _sets(utf8(column), self.feature_of):
                 z += np.bincount(who, weights=self.model.weights[what], minlength=len(z))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def score(df: DataFrame, model: Model, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, score, predicted) of every row from its text alone; narrow, no shuffle."""
+    """(doc_id, score, predicted) of every row from its text alone; narrow, no shuffle.
+
+    Repeated rows are scored each; null and empty texts have the score of a text without
+    features; very long texts are hashed whole, in strips.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
