@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,7 @@ COMMON_WINDOW = 2 << 20
 COMMON_IN = 3
 COMMON_GRAMS = 1 << 18
 TILE = 4096  # sets of one tile of a large group
+BAND_BLOCKS = 1 << 32  # more than a band ever has blocks
 SMALL_TILE = 64  # tiles of up to so many rows are compared many at a time
 MAX_BITS = 8192
 
@@ -530,27 +532,27 @@ def _open_pairs(
     With ``forest`` a task leaves out pairs that would be connected if those it has sent
     prove to be links: no more pairs than sets.
 
-    Groups inside one component are done. Others are compared in tiles: a group of more
-    than ``TILE`` sets is dealt into blocks, and each pair of blocks is a tile of its own.
+    Groups inside one component are done. Others are compared in tiles. A group of up to
+    ``TILE`` sets is one tile; a larger one is cut into bands of set size so that a set can
+    only link within its band and to the next ones, a band of more than ``TILE`` sets is
+    dealt into blocks, and each pair of blocks of such bands is a tile of its own.
     """
     known = groups.select("gram", "n", "fp", "pos").join(
         roots.select(F.col("node").alias("fp"), "root"), "fp", "left"
     ).withColumn("root", F.coalesce("root", "fp"))
-    open_groups = (
+    open_groups = materialise(
         known.groupBy("gram")
         .agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         .where("lo <> hi")
-        .select("gram", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
-    )
-    signed = known.join(open_groups, "gram").join(classes.select("fp", "signature"), "fp")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    tiles = (
-        signed.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
-        .withColumn("block", F.when(F.col("x") == F.col("y"), F.lit(-1)).otherwise(F.col("own")))
-        .drop("own", "other", "blocks")
+        .select("gram", "m")
     )
+    small = known.join(open_groups.where(F.col("m") <= TILE).select("gram"), "gram")
+    whole = {"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long"), "block": F.lit(-1).cast("long")}
+    dealt_rows = small.withColumns(whole)
+    large = open_groups.where(F.col("m") > TILE).select("gram")
+    if not large.isEmpty():
+        dealt_rows = dealt_rows.unionByName(_banded(known.join(large, "gram"), rule))
+    tiles = dealt_rows.join(classes.select("fp", "signature"), "fp")
 
     def work(batches):
         rest = None
@@ -585,6 +587,37 @@ def _open_pairs(
     return materialise(arrow_pass(dealt, work, "a long, b long").distinct())
 
 
+def _banded(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Rows of large groups, once for each tile (x, y) they take part in, with their ``block``.
+
+    A band's upper end is a little more than the largest size its lower end can link to, so
+    two sets that link are in one band or in neighbouring ones. ``block`` is -1 in a tile
+    of one block; in a tile of two, only sets of different blocks are compared.
+    """
+    # rounding must not put a link two bands apart
+    band = F.floor(F.ln("n") / F.lit(math.log(rule.den / rule.num) + 1e-6))
+    sized = materialise(rows.withColumn("band", band))
+    blocks = F.ceil(F.count(F.lit(1)) / TILE)
+    bands = materialise(sized.groupBy("gram", "band").agg(blocks.alias("blocks")))
+    own = F.col("band") * BAND_BLOCKS + F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    beside = bands.select("gram", F.col("band").alias("_band"), F.col("blocks").alias("_blocks"))
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("_band")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    dealt = (
+        sized.join(bands, ["gram", "band"])
+        .select(*rows.columns, own.alias("_own"), near)
+        .join(beside, ["gram", "_band"])
+        .withColumn("_other", every)
+        .withColumn("_other", F.col("_band") * BAND_BLOCKS + F.col("_other"))
+    )
+    return dealt.select(
+        *rows.columns,
+        F.least("_own", "_other").alias("x"),
+        F.greatest("_own", "_other").alias("y"),
+        F.when(F.col("_own") == F.col("_other"), F.lit(-1).cast("long")).otherwise(F.col("_own")).alias("block"),
+    )
+
+
 def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
     """Components after more links: only the components they connect are looked at."""
     if more.isEmpty():
@@ -647,6 +680,65 @@ def similar_documents(
     )
 
 
+def _all_links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, fp) of all rows with a set, the classes, and every link (a, b) between classes."""
+    summaries = _summaries(docs, rule)
+    rows, classes = summaries.where("n IS NOT NULL").select("doc_id", "n", "fp"), _classes(summaries)
+    groups = _groups(_prefixes(docs, rule, _common_grams(summaries)), rule)
+    unconnected = classes.select(F.col("fp").alias("node"), F.col("fp").alias("root")).where("false")
+    pairs = _open_pairs(groups, unconnected, classes, rule, forest=False)
+    return rows, classes, _linked(pairs, docs, classes, rule)
+
+
+def linked_classes(
+    docs: DataFrame, rule: Rule = Rule(5, 80, 100), *, id_col="doc_id", text_col="text"
+) -> DataFrame:
+    """(a, b) with a < b: every link between two different sets, as the smallest doc_id of each.
+
+    With ``class_id`` of ``document_links`` these are all links of all rows: rows of one
+    class are linked with each other and with all rows of a linked class. Sets whose rows
+    all lack an id are left out. No link is left out for being implied by others, so a
+    family of many different near copies has as many rows as it has links.
+    """
+    _, classes, links = _all_links(texts(docs, id_col, text_col), rule)
+    of = classes.where("doc_id IS NOT NULL").select("fp", "doc_id")
+    one = of.select(F.col("fp").alias("a"), F.col("doc_id").alias("x"))
+    two = of.select(F.col("fp").alias("b"), F.col("doc_id").alias("y"))
+    both = links.join(one, "a").join(two, "b")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def document_links(
+    docs: DataFrame, rule: Rule = Rule(5, 80, 100), *, id_col="doc_id", text_col="text"
+) -> DataFrame:
+    """(doc_id, n_shingles, class_id, n_links) of every row.
+
+    ``class_id`` is the smallest doc_id with an equal set, ``n_links`` the number of other
+    rows that the row is linked with, its copies included. Every link between different
+    sets is verified; copies are counted, not expanded. Null, empty and wordless texts have
+    their own id and no links.
+    """
+    rows, classes, links = _all_links(texts(docs, id_col, text_col), rule)
+    rows = materialise(rows)
+    copies = materialise(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.count(F.lit(1)).alias("copies")))
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = links.select(ends.alias("end")).select("end.a", "end.b")
+    others = both.join(copies.withColumnRenamed("fp", "b"), "b").groupBy(F.col("a").alias("fp"))
+    linked = others.agg(F.sum("copies").alias("others"))
+    of_class = (
+        classes.select("fp", F.col("doc_id").alias("class_id"))
+        .join(copies, "fp")
+        .join(linked, "fp", "left")
+        .select("fp", "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    )
+    return rows.join(of_class, "fp", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
+
+
 def one_of_each(docs: DataFrame, rule: Rule = Rule(5, 80, 100), *, id_col="doc_id", text_col="text") -> DataFrame:
     """``docs`` with all its columns; of each component the smallest doc_id stays.
 

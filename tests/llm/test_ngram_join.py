@@ -8,7 +8,14 @@ from llm_rows import no_docs, odd_docs, rows_of  # noqa: F401
 
 from panelcast.llm import ngram_join
 from panelcast.llm.components import components
-from panelcast.llm.ngram_join import Rule, gram_sets, one_of_each, similar_documents
+from panelcast.llm.ngram_join import (
+    Rule,
+    document_links,
+    gram_sets,
+    linked_classes,
+    one_of_each,
+    similar_documents,
+)
 
 
 def grams(text, k):
@@ -82,6 +89,60 @@ def test_equals_brute_force(spark, rule, tile, monkeypatch):
     assert rows_of(similar_documents(df, rule), *COLUMNS) == brute(rows, rule)
 
 
+def brute_links(rows, rule):
+    """Each row's class and number of links, and the links between classes."""
+    sets = [grams(t, rule.words) for _, t in rows]
+    members = {}
+    for (d, _), s in zip(rows, sets, strict=True):
+        if s:
+            members.setdefault(s, []).append(d)
+    near = {
+        s: [o for o in members if o != s and rule.den * len(s & o) >= rule.num * len(s | o)] for s in members
+    }
+    least = {s: min((d for d in ids if d is not None), default=None) for s, ids in members.items()}
+    out = [
+        (d, len(s), least[s] if s else d, len(members[s]) - 1 + sum(len(members[o]) for o in near[s]) if s else 0)
+        for (d, _), s in zip(rows, sets, strict=True)
+    ]
+    pairs = {tuple(sorted((least[s], least[o]))) for s in near for o in near[s] if None not in (least[s], least[o])}
+    return sorted(out, key=lambda r: [(x is not None, x) for x in r]), sorted(pairs)
+
+
+@pytest.mark.parametrize("rule", [Rule(3, 90, 100), Rule(5, 80, 100), Rule(2, 100, 100)])
+@pytest.mark.parametrize("tile", [(4096, 64), (6, 3)])
+def test_every_link_is_found(spark, rule, tile, monkeypatch):
+    rows = corpus(rule.words + 20, 12, 20, 4, line=True)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(ngram_join, "TILE", tile[0])
+    monkeypatch.setattr(ngram_join, "SMALL_TILE", tile[1])
+    documents, pairs = brute_links(rows, rule)
+    assert rows_of(document_links(df, rule), "doc_id", "n_shingles", "class_id", "n_links") == documents
+    assert rows_of(linked_classes(df, rule), "a", "b") == pairs
+
+
+def test_bands_hold_every_pair_that_sizes_allow():
+    import math
+
+    for num, den in ((51, 100), (80, 100), (90, 100), (99, 100)):
+        step = math.log(den / num) + 1e-6
+        for a in [*range(1, 400), 12345, 10**6, 10**7 + 1]:
+            most = a * den // num  # the largest set that a can link to
+            assert math.floor(math.log(most) / step) - math.floor(math.log(a) / step) <= 1
+
+
+def test_a_large_group_meets_only_neighbouring_bands(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 50)
+    rule = Rule(3, 90, 100)
+    rows = [(1, n, 1000 * n + i, 0, n) for n in range(10, 200, 10) for i in range(20)]
+    df = spark.createDataFrame(rows, "gram long, n long, fp long, pos long, root long")
+    dealt = ngram_join._banded(df, rule)
+    tiles = dealt.groupBy("x", "y").agg({"n": "max"}).collect()
+    assert dealt.count() < 4 * len(rows)  # each row is sent to a few tiles, not to all blocks
+    ranges = dealt.selectExpr("x", "y", "n").groupBy("x", "y").agg({"n": "min"}).collect()
+    low = {(r["x"], r["y"]): r["min(n)"] for r in ranges}
+    assert all(r["max(n)"] <= 1.3 * low[r["x"], r["y"]] for r in tiles)
+
+
 def test_one_large_family(spark):
     """Members that differ from each other by about as much as the rule allows."""
     rule = Rule(3, 90, 100)
@@ -102,6 +163,10 @@ def test_odd_rows(odd_docs, no_docs):  # noqa: F811
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert rows_of(similar_documents(odd_docs, rule), *COLUMNS) == brute(rows, rule)
     assert similar_documents(no_docs, rule).count() == 0
+    documents, pairs = brute_links(rows, rule)
+    assert rows_of(document_links(odd_docs, rule), "doc_id", "n_shingles", "class_id", "n_links") == documents
+    assert rows_of(linked_classes(odd_docs, rule), "a", "b") == pairs
+    assert document_links(no_docs, rule).count() == 0 and linked_classes(no_docs, rule).count() == 0
     kept = one_of_each(odd_docs, rule)
     assert kept.columns == odd_docs.columns
     assert rows_of(kept.where("doc_id IS NOT NULL"), "doc_id") == [(1,), (3,), (4,), (5,), (6,), (7,)]
