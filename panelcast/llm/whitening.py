@@ -7,10 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.mllib.linalg import DenseMatrix
+from pyspark import RDD, StorageLevel
+from pyspark.mllib.common import callMLlibFunc
+from pyspark.mllib.linalg import DenseMatrix, MatrixUDT
 from pyspark.mllib.linalg.distributed import BlockMatrix
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.functions.ordering import running
 from panelcast.llm.common import arrow_pass, materialise, task_number
@@ -128,8 +131,17 @@ def block_matrix(blocks: DataFrame, count: int, width: int, cols: int) -> BlockM
             part = full[:, lo : lo + cols]
             yield (row["block"], j), DenseMatrix(BLOCK_ROWS, part.shape[1], part.ravel(order="F"))
 
-    pieces = blocks.select("block", "centred").rdd.flatMap(cut)
-    return BlockMatrix(pieces, BLOCK_ROWS, cols, count * BLOCK_ROWS, width)
+    return _distributed(blocks.sparkSession, blocks.select("block", "centred").rdd.flatMap(cut), BLOCK_ROWS, cols, count * BLOCK_ROWS, width)
+
+
+def _distributed(spark: SparkSession, pieces: RDD, rows_per_block: int, cols_per_block: int, rows: int, cols: int) -> BlockMatrix:
+    """What ``BlockMatrix`` makes of ((i, j), matrix) pairs, without checking each number's type."""
+    schema = "struct<blockRowIndex:bigint,blockColIndex:bigint>"
+    fields = T.StructType([T.StructField("blockIndex", T._parse_datatype_string(schema)), T.StructField("subMatrix", MatrixUDT())])
+    df = spark.createDataFrame(pieces, fields, verifySchema=False)
+    return BlockMatrix(
+        callMLlibFunc("createBlockMatrix", df, rows_per_block, cols_per_block, rows, cols), rows_per_block, cols_per_block
+    )
 
 
 def multiply(a: BlockMatrix, b: BlockMatrix, splits: int) -> BlockMatrix:
@@ -150,7 +162,7 @@ def _projected(blocks: DataFrame, count: int, matrix: np.ndarray) -> DataFrame:
         ((j, 0), DenseMatrix(len(matrix[lo : lo + cols]), wide, matrix[lo : lo + cols].ravel(order="F")))
         for j, lo in enumerate(range(0, width, cols))
     ]
-    right = BlockMatrix(spark.sparkContext.parallelize(pieces, 1), cols, wide, width, wide)
+    right = _distributed(spark, spark.sparkContext.parallelize(pieces, 1), cols, wide, width, wide)
     product = multiply(block_matrix(blocks, count, width, cols), right, len(pieces))
 
     def row(piece):
@@ -183,8 +195,9 @@ def fit(vectors: DataFrame, components: int = 4) -> Whitening | None:
 
     blocks = packed(fitted.select(F.lit(0).cast("long").alias("vec_id"), "x"), n, sums)
     count = blocks.count()
-    a = block_matrix(blocks, count, width, width)
+    a = block_matrix(blocks, count, width, width).persist(StorageLevel.MEMORY_AND_DISK)  # both factors read it
     scatter = multiply(a.transpose(), a, -(-count // SCATTER_BLOCKS)).toLocalMatrix().toArray()
+    a._java_matrix_wrapper.call("blocks").unpersist(False)
     covariance = (scatter + scatter.T) / (2 * n)
     values, vectors_ = np.linalg.eigh(covariance)
     order = np.argsort(-values, kind="stable")[:components]
