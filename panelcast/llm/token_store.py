@@ -7,7 +7,9 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,11 @@ from panelcast.llm.common import arrow_pass, materialise, task_number, texts
 # cut, so a longer one makes a shard of its own length.
 SHARD_TOKENS = 1 << 20
 SHARD_DOCS = 1 << 16
-# Pieces between these characters are encoded one by one, and short ones remembered.
-CACHED_PIECES = 1 << 17
+# Words that a worker remembers, and their longest; words of a text that are looked up at a time.
+CACHED_WORDS = 1 << 19
 CACHED_LENGTH = 64
+STRIP_WORDS = 1 << 14
+TAIL = ".,;:!?"
 ASKED = 1 << 16  # keys that a shard is asked for at a time
 
 # A shard file, little-endian: this header, then
@@ -163,11 +167,14 @@ def shard_content(keys: list[int | None], lengths: list[int], ids: bytes) -> byt
     return b"".join(sections)
 
 
-def _coder(path: str):
+@lru_cache(maxsize=4)
+def _coder(path: str) -> Callable[[str], bytes]:
     """The ids of a text by the tokenizers library, as little-endian bytes.
 
     Where the file's pre-tokenizer drops white space and its normalizer works within a word,
-    pieces between spaces and line ends encode one by one and short ones are remembered.
+    the words between spaces and line ends encode one by one and short ones are remembered,
+    over all tasks of a worker. A word of Latin letters, perhaps with stops after it, is
+    surely one piece and the stops another, so the library's model takes it directly.
     """
     tokenizer = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as handle:
@@ -178,22 +185,56 @@ def _coder(path: str):
 
     if not _by_word(spec):
         return whole
+    tokenize, letter = tokenizer.model.tokenize, _byte_letters()
+    packed = [i.to_bytes(4, "little") for i in range(max(spec["model"]["vocab"].values()) + 1)]
     known: dict[str, bytes] = {}
 
-    def pieces(text: str) -> bytes:
-        out = []
-        for word in text.replace("\n", " ").split(" "):
-            ids = known.get(word)
+    def learn(words: list[str]) -> None:
+        """Ids of words, into ``known``."""
+        if len(known) >= CACHED_WORDS:
+            for word in list(islice(known, CACHED_WORDS // 2, None)):
+                del known[word]  # frequent words came first
+        for word in words:
+            base = word.rstrip(TAIL)
+            plain = base.isascii()
+            if not base.isalpha() or not plain and (max(base) > "\u017f" or "\u0130" in base):
+                known[word] = whole(word)
+                continue
+            low = base.lower()
+            ids = known.get(low)
             if ids is None:
-                ids = whole(word)
-                if len(word) <= CACHED_LENGTH:
-                    if len(known) >= CACHED_PIECES:
-                        known.clear()
-                    known[word] = ids
-            out.append(ids)
+                spelt = low if plain else "".join([letter[b] for b in low.encode()])
+                ids = known[low] = b"".join([packed[token.id] for token in tokenize(spelt)])
+            if len(base) < len(word):
+                tail = word[len(base) :]
+                if tail not in known:
+                    known[tail] = whole(tail)
+                ids += known[tail]
+            known[word] = ids
+
+    def by_word(text: str) -> bytes:
+        words = text.replace("\n", " ").split(" ")
+        out = []
+        for lo in range(0, len(words), STRIP_WORDS):
+            strip = words[lo : lo + STRIP_WORDS]
+            found = list(map(known.get, strip))
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            if missing:
+                learn([word for word in {strip[i] for i in missing} if len(word) <= CACHED_LENGTH])
+                for i in missing:
+                    ids = known.get(strip[i])
+                    found[i] = whole(strip[i]) if ids is None else ids
+            out += found
         return b"".join(out)
 
-    return pieces
+    return by_word
+
+
+def _byte_letters() -> list[str]:
+    """Byte-level vocabularies write printable bytes as themselves, others from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
 def _by_word(spec: dict) -> bool:
@@ -207,6 +248,7 @@ def _by_word(spec: dict) -> bool:
         and first.get("type") == "Split"
         and first.get("behavior") == "Removed"
         and first.get("invert") is True
+        and spec["model"].get("end_of_word_suffix")
         and first["pattern"]["Regex"].endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         and spec["pre_tokenizer"]["pretokenizers"][1].get("add_prefix_space") is False
         and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))

@@ -10,6 +10,7 @@ import pytest
 from llm_rows import no_docs, odd_docs, rows_of  # noqa: F401
 from tokenizers import Tokenizer
 
+from panelcast.llm import token_store
 from panelcast.llm.token_store import (
     PerfectHash,
     Shard,
@@ -70,12 +71,15 @@ def test_shard_by_key():
         Shard(b"x" * len(content))
 
 
-def test_pieces_encode_as_the_library(library):
+def test_words_encode_as_the_library(library, monkeypatch):
+    monkeypatch.setattr(token_store, "CACHED_WORDS", 50)
+    monkeypatch.setattr(token_store, "STRIP_WORDS", 4)
     rng = random.Random(6)
     parts = ["Ab", " ", "\n", "\t", "\r\n", " ", " ", "\x1c", "\x85", "<|endoftext|>", "<|startoftext|>", "<|endof",
              "text|>", "é", "é", "́", "日本", "👍🏽", "12", "'s", "'S", "İ", "Σ", "ς", "it's", "...", "​", "가",
              "  ", "ﬁ", "x" * 100]
-    encode = _coder(PATH)
+    parts += ["word", "Word", "wörter", "Straße", "ſ", "ŉ", "DŽ", "İstanbul", "ªº", "ⅷ", "ʰ", "Ångström.", "ñandú,", "x²", "a.b", "end?!", "don't.", "ŷes"]
+    encode = _coder.__wrapped__(PATH)
     for _ in range(3000):
         text = "".join(rng.choices(parts, k=rng.randint(0, 12)))
         assert np.frombuffer(encode(text), "<u4").tolist() == encoded(library, text)[:-1], repr(text)
