@@ -29,7 +29,7 @@ SMOOTHING = 1.0
 PENALTY = 1e-3
 STEPS = 200
 PAD = np.zeros(max(ORDERS) - 1, np.uint32)
-STRIP_BYTES = 1 << 18
+STRIP_BYTES = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -85,9 +85,10 @@ def _slots(group) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(owners: np.ndarray, keys: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    pairs = owners.astype(np.int64)
-    pairs *= wide
-    pairs += keys
+    narrow = (int(owners[-1]) + 1) * wide <= 1 << 32 if len(owners) else True
+    pairs = owners.astype(np.uint32 if narrow else np.int64)
+    pairs *= pairs.dtype.type(wide)
+    pairs += keys.astype(pairs.dtype)
     pairs.sort()
     pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
     return pairs // wide, pairs % wide
@@ -154,12 +155,12 @@ def fit(labelled: DataFrame, *, text_col="text", label_col="toxic", fit_rows: in
 
     def count(batches):
         counts = np.zeros((2, SLOTS), np.int64)
+        flat = counts.reshape(-1)
         for batch in batches:
-            labels = batch.column("label").to_numpy()
+            labels = batch.column("label").to_numpy().astype(np.int64)
             for who, slots in _sets(utf8(batch.column("text"))):
                 of = labels[who]
-                for label in (0, 1):
-                    counts[label] += np.bincount(slots[of == label], minlength=SLOTS)
+                np.add.at(flat, of * SLOTS + slots, 1)
         yield counter_rows(counts)
 
     have = sum_counters(arrow_pass(rows, count, BLOCKS), 2, SLOTS)
