@@ -406,7 +406,7 @@ def df_t(t: str) -> str:
     return f"{slope} / sqrt({sse} / ({t}_n - 2) / {t}_xx)"
 
 
-def regression(src: str, by: str, y: str, xs: list[str], out: str, where: str = "true") -> str:
+def regression(src: str, by: str, y: str, xs: list[str], out: str, where: str = "true", each: int = 0) -> str:
     """CTEs that end in ``out`` (by, n, a, b, sse, v): least squares with a constant.
 
     The normal equations of the deviations from the means, with the identity beside them,
@@ -427,7 +427,7 @@ def regression(src: str, by: str, y: str, xs: list[str], out: str, where: str =
          [{rows}] AS m
   FROM {src} WHERE ({where}) AND {there} GROUP BY {by}),
 {out}_steps AS (
-  SELECT {by}, m, 1 AS s FROM {out}_sums WHERE n > {k + 1}
+  SELECT {by}, m, 1 AS s FROM {out}_sums WHERE n >= {max(k + 2, each * (k + 1))}
   UNION ALL
   SELECT {by}, list_transform(m, lambda row, i: CASE
       WHEN i = s THEN list_transform(row, lambda v: v / m[s][s])
@@ -439,7 +439,7 @@ def regression(src: str, by: str, y: str, xs: list[str], out: str, where: str =
   FROM {out}_steps WHERE s = {k + 1}),
 {out} AS (
   SELECT {by}, n, b, v, my - list_dot_product(b, mx) AS a, syy - list_dot_product(b, sxy) AS sse
-  FROM {out}_solved JOIN {out}_sums USING ({by}))"""
+  FROM {out}_sums LEFT JOIN {out}_solved USING ({by}))"""
 
 
 def linear(a: str, b: str, xs: list[str], first: int = 1) -> str:
@@ -482,13 +482,13 @@ def arma(out: str, p: int, q: int, seasonal: int = 0, src: str = "st", by: str =
     old = _csv(f"w.e{i} AS e{i}" for i in range(1, q + 1))
     return f"""
 {out}_l AS (SELECT *, {wide} FROM {src}),
-{regression(f"{out}_l", by, "step", first, f"{out}_c1", "in_fit")},
+{regression(f"{out}_l", by, "step", first, f"{out}_c1", "in_fit", 3)},
 {out}_r AS (
   SELECT l.*, step - ({linear("a", "b", first)}) AS shock FROM {out}_l l LEFT JOIN {out}_c1 USING ({by})),
 {out}_e AS (SELECT *, {_csv(f"lag(shock, {i}) OVER ({w}) AS e{i}" for i in range(1, q + 1))} FROM {out}_r),
-{regression(f"{out}_e", by, "step", [*xs, *es], f"{out}_c2", "in_fit")},
-{out}_c AS (SELECT {by}, n, a, [{_csv([*(f"b[{i}]" for i in range(1, len(xs) + 1)), *inside(len(xs), q)])}] AS b FROM {out}_c2),
-{out}_b AS (SELECT l.*, n, a, b, {base} AS base FROM {out}_l l LEFT JOIN {out}_c USING ({by})),
+{regression(f"{out}_e", by, "step", [*xs, *es], f"{out}_c2", "in_fit", 3)},
+{out}_c AS (SELECT {by}, n, a, CASE WHEN b IS NOT NULL THEN [{_csv([*(f"b[{i}]" for i in range(1, len(xs) + 1)), *inside(len(xs), q)])}] END AS b FROM {out}_c2),
+{out}_b AS (SELECT l.*, coalesce(n, 0) AS n, a, b, {base} AS base FROM {out}_l l LEFT JOIN {out}_c USING ({by})),
 {out}_w AS (
   SELECT {by}, t, step, base AS delta, {zero} FROM {out}_b WHERE t = 1
   UNION ALL
@@ -613,10 +613,10 @@ RIDGE = (
 
 AR1_STEPS = f"""
 st_x AS (SELECT *, lag(step) OVER ({W}) AS x1 FROM st),
-{regression("st_x", "brand, zone", "step", ["x1"], "whole_fit", "in_fit")},
+{regression("st_x", "brand, zone", "step", ["x1"], "whole_fit", "in_fit", 3)},
 fold_rows AS (
   SELECT st_x.*, fold, date <= cutoff AS in_fold FROM st_x JOIN folds ON date <= fold_end),
-{regression("fold_rows", "brand, zone, fold", "step", ["x1"], "fold_fit", "in_fold")},
+{regression("fold_rows", "brand, zone, fold", "step", ["x1"], "fold_fit", "in_fold", 3)},
 errors AS (
   SELECT brand, CAST(round_even((step - (a + b[1] * x1)) / 1e-4, 0) AS BIGINT) AS bin
   FROM fold_rows JOIN fold_fit USING (brand, zone, fold)

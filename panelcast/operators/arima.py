@@ -14,6 +14,8 @@ from panelcast.operators.linear import moments, predicted, solution
 from panelcast.spec import PanelSpec
 
 
+# Rows that a regression needs for each of its coefficients.
+ROWS_EACH = 3
 # Largest reflection coefficient of the shock polynomial: beyond 1 shocks would grow with time.
 INVERTIBLE = 0.98
 
@@ -80,8 +82,8 @@ def arma(
     missing. ``coefficients`` is the constant, then the step lags, then the shock lags, the
     latter moved to where old shocks die out (``invertible``).
 
-    Coefficients and predictions are NULL where a series has too few rows for them: nothing
-    falls back to a smaller model silently. A series is one row while it is fitted, with an array as
+    Coefficients and predictions are NULL where a series has fewer than ``ROWS_EACH`` rows for
+    each coefficient of either regression: nothing falls back to a smaller model silently. A series is one row while it is fitted, with an array as
     long as its calendar; both regressions and the recursion share one shuffle by series.
     """
     w = Window.partitionBy(*by).orderBy(date)
@@ -127,7 +129,9 @@ def _solved(lagged: DataFrame, by: list[str], xs: list[Column], rows: Column) ->
     sums = lagged.groupBy(*by).agg(
         *moments(F.col("_step"), xs, F.col("_in_fit")), F.array_sort(F.collect_list(rows)).alias("rows")
     )
-    return sums.select(*by, solution(F.col("n"), F.col("means"), F.col("products"), len(xs)).alias("fit"), "rows")
+    k = len(xs)
+    fit = solution(F.col("n"), F.col("means"), F.col("products"), k, ROWS_EACH * (k + 1))
+    return sums.select(*by, fit.alias("fit"), "rows")
 
 
 def _fitted(lagged: DataFrame, by: list[str], date: str, xs: list[Column]) -> DataFrame:

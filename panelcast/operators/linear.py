@@ -81,20 +81,21 @@ def moments(y: Column, xs: list[Column], use: Column) -> list[Column]:
     return [n.alias("n"), means.alias("means"), products.alias("products")]
 
 
-def solution(n: Column, means: Column, products: Column, k: int) -> Column:
+def solution(n: Column, means: Column, products: Column, k: int, least: int = 0) -> Column:
     """struct(n, intercept, slopes, sse, spread) of least squares on k regressors.
 
     ``spread`` times the residual variance are the slopes' variances. All but ``n`` are NULL
-    where rows are too few for the coefficients or a regressor depends on the others.
+    where rows are too few for the coefficients, or fewer than ``least``, or a regressor
+    depends on the others.
     """
-    swept = F.transform(F.array(sweep(products, k)), _solved(n, means, k))
+    swept = F.transform(F.array(sweep(products, k)), _solved(n, means, k, least))
     return F.get(swept, F.lit(0))
 
 
-def _solved(n: Column, means: Column, k: int) -> Callable[[Column], Column]:
+def _solved(n: Column, means: Column, k: int, least: int) -> Callable[[Column], Column]:
     def of(swept: Column) -> Column:
         m = swept.getField("m")
-        fits = (swept.getField("rank") == k) & (n > k + 1)
+        fits = (swept.getField("rank") == k) & (n >= max(k + 2, least))
         slopes = F.transform(F.slice(m, 1, k), lambda row: F.get(row, F.lit(k)))
         fitted = F.aggregate(
             F.zip_with(slopes, F.slice(means, 1, k), lambda b, x: b * x),

@@ -59,9 +59,10 @@ def store_cells(
 
     ``entity`` is the part column that names an entity: its brand, or the part itself.
 
-    One scan of the lines, all of them, with map-side combining: a store, part or entity
-    with very many lines is from here on at most one row per entity and month. Lines of an
-    unknown part fail the job.
+    One scan of the lines, all of them. They are summed per (part, store, month) with
+    map-side combining before they meet the parts, so a part, store or entity with very many
+    lines is at most one row per store and month from there on, and no key of the join has
+    more. Lines of an unknown part fail the job.
     """
     # Money and quantities have two decimals: whole hundredths add exactly, and a sum
     # that left 64 bits would fail the job instead of losing digits.
@@ -77,10 +78,13 @@ def store_cells(
         F.col("p_partkey").alias("l_partkey"), F.col(entity).cast("string").alias("_brand")
     )
 
+    sums = lines.groupBy("l_partkey", "store", spec.date).agg(
+        F.sum("v").alias("v"), F.sum("q").alias("q"), F.count(F.lit(1)).alias("n")
+    )
     return materialise(
-        lines.join(parts, "l_partkey", "left")
+        sums.join(parts, "l_partkey", "left")
         .groupBy(_known("_brand", "a part").alias(spec.entity), "store", spec.date)
-        .agg(F.sum("v").alias("v"), F.sum("q").alias("q"), F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("v").alias("v"), F.sum("q").alias("q"), F.sum("n").alias("n"))
     )
 
 

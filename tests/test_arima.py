@@ -56,7 +56,7 @@ def brute(path, order, in_fit):
     def fit(design):
         good = [(x, s) for t, (x, s) in enumerate(design) if in_fit(path[t][0]) and s is not None and None not in x]
         k = len(design[0][0])
-        if len(good) <= k + 1:
+        if len(good) < 3 * (k + 1):
             return None
         x = np.array([[1.0, *x] for x, _ in good])
         return np.linalg.lstsq(x, np.array([s for _, s in good]), rcond=None)[0]
