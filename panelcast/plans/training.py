@@ -117,10 +117,10 @@ def load_run(spark: SparkSession, folder: str, run_id: str) -> tuple[PipelineMod
 AT_ONCE = 4
 
 
-def _together(work: Callable, tasks: list, at_once: int) -> list:
+def _together(spark: SparkSession, work: Callable, tasks: list, at_once: int) -> list:
     """``work`` of each task, in their order; the driver's threads only wait for Spark's jobs."""
     with ThreadPoolExecutor(max(1, at_once)) as pool:
-        return list(pool.map(inheritable_thread_target(work), tasks))
+        return list(pool.map(inheritable_thread_target(spark)(work), tasks))
 
 
 def random_search(
@@ -159,7 +159,7 @@ def random_search(
         return label, fold, score(candidate_rows(scored, ["model"], spec), spec).head()[metric]
 
     bounds = fold_bounds(train_end, n_folds, months)
-    rows = _together(error, list(itertools.product(picked, bounds)), at_once)
+    rows = _together(frame.sparkSession, error, list(itertools.product(picked, bounds)), at_once)
     errors = frame.sparkSession.createDataFrame(
         rows, "candidate string, fold int, error double"
     )
@@ -186,7 +186,7 @@ def seed_stability(
         scored = predict_level(learner(codes, seed=seed).fit(train), test, "model")
         return [(seed, r["metric"], r["value"]) for r in evaluate(scored, ["model"], spec).collect()]
 
-    rows = [row for found in _together(metrics, list(seeds), at_once) for row in found]
+    rows = [row for found in _together(frame.sparkSession, metrics, list(seeds), at_once) for row in found]
     runs = frame.sparkSession.createDataFrame(rows, "seed int, metric string, value double")
     return runs.groupBy("metric").agg(
         F.count("value").alias("n_seeds"),
@@ -244,7 +244,7 @@ def cross_validate_learners(
         return learners[name](codes).fit(laid_out.where(day <= F.lit(cutoff)))
 
     tasks = list(itertools.product(bounds, learners))
-    models = dict(zip([(b[0], name) for b, name in tasks], _together(fitted, tasks, at_once), strict=True))
+    models = dict(zip([(b[0], name) for b, name in tasks], _together(frame.sparkSession, fitted, tasks, at_once), strict=True))
     for fold, cutoff, end in bounds:
         valid = laid_out.where((day > F.lit(cutoff)) & (day <= F.lit(end)))
         for name in learners:
