@@ -1390,7 +1390,7 @@ two AS (
     ),
     "contract_offenders": on_closed(
         f"""SELECT * FROM (
-  SELECT rule_no, rule, row_number() OVER (PARTITION BY rule_no ORDER BY key) AS place, key, observed, expected,
+  SELECT rule_no, rule, CAST(row_number() OVER (PARTITION BY rule_no ORDER BY key) AS INTEGER) AS place, key, observed, expected,
          count(*) OVER (PARTITION BY rule_no) AS n_offenders
   FROM ({REPORT})) WHERE place <= 3""",
         PAYLOAD,
