@@ -117,7 +117,12 @@ def judge_urls(
         if len(head) > max_trie_rules:
             return judge_by_join(urls, rules, default)
         rules = [Rule(*row) for row in head]
-    listed = df.sparkSession.sparkContext.broadcast(sorted(rules))
+    rules = sorted(rules)
+    if len(rules) > max_trie_rules:
+        fields = [(rule.host, rule.path, rule.verdict) for rule in rules]
+        table = df.sparkSession.createDataFrame(fields, "host string, path string, verdict string")
+        return judge_by_join(urls, table, default)
+    listed = df.sparkSession.sparkContext.broadcast(rules)
 
     def judge(batches):
         match = UrlTrie(listed.value).match

@@ -79,3 +79,15 @@ def test_trie_and_join_equal_brute_force(spark):
     assert rows_of(judge_urls(frame(spark, urls), table), *columns) == expected
     assert rows_of(judge_urls(frame(spark, urls), table, max_trie_rules=3), *columns) == expected
     assert UrlTrie([]).match("a", "/") is None
+
+
+def test_a_long_list_is_joined_and_repeated_rows_stay(spark):
+    rng = random.Random(4)
+    rules = random_rules(rng)
+    urls = ["s://a.b/x/y", "s://a.b/x/y", None, None, "s://c/", "", "s://a.b/x/y", "x" * 100_000, "s://b." + "a." * 300 + "c/x"]
+    expected = [(i, *brute(rules, u)) for i, u in enumerate(urls)]
+    columns = ("page_id", "host", "path", "rule", "verdict")
+    for most in (1000, 3):
+        assert rows_of(judge_urls(frame(spark, urls), rules, max_trie_rules=most), *columns) == expected
+    twice = frame(spark, urls).unionByName(frame(spark, urls))
+    assert rows_of(judge_urls(twice, rules), *columns) == sorted(expected * 2)
