@@ -23,26 +23,30 @@ SPARK_KIND = {"row": "long", "doc_id": "long", "pos": "int", "blocks": "int", "c
 
 
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Rows (block, who holds it): within a window of a task, equal blocks are sent once.
+    """Rows (held, block, who holds it), written: within a window of a task, equal blocks are one.
 
-    So a text on a third of all rows crosses the network once a window, with its rows'
-    numbers beside it. White space is deleted first; a text without anything else is
+    So a text on a third of all rows crosses the network once a window, and ``held``
+    numbers the rows of all tasks. White space is deleted first; a text without anything else is
     one empty block.
     """
 
     def work(batches):
         held: dict[bytes, list[tuple]] = {}
         size, counter, task = 0, 0, task_number() << TASK_SHIFT
+        number = task
 
         def flush():
+            nonlocal number
             for lo in range(0, len(held), 500):
                 part = list(held.items())[lo : lo + 500]
                 lists = []
                 for i, (_, kind) in enumerate(REFS):
                     lists.append(pa.array([[r[i] for r in refs] for _, refs in part], pa.list_(kind)))
+                numbers = pa.array(range(number, number + len(part)), pa.int64())
+                number += len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, _ in part], pa.binary()), *lists],
-                    ["block", *(name for name, _ in REFS)],
+                    [numbers, pa.array([b for b, _ in part], pa.binary()), *lists],
+                    ["held", "block", *(name for name, _ in REFS)],
                 )
 
         for batch in batches:
@@ -67,8 +71,8 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
                     held, size = {}, 0
         yield from flush()
 
-    schema = "block binary, " + ", ".join(f"{n} array<{SPARK_KIND[n]}>" for n, _ in REFS)
-    return arrow_pass(docs, work, schema)
+    schema = "held long, block binary, " + ", ".join(f"{n} array<{SPARK_KIND[n]}>" for n, _ in REFS)
+    return materialise(arrow_pass(docs, work, schema))
 
 
 def _named_blocks(blocks: DataFrame) -> DataFrame:
@@ -76,7 +80,9 @@ def _named_blocks(blocks: DataFrame) -> DataFrame:
 
     Blocks are dealt by content and sorted, so equal ones are neighbours; a name is the
     task's number with a counter that steps where the content changes. Contents are
-    compared themselves, never their digests. Only one block is held at a time.
+    compared themselves, never their digests. Only one block is held at a time. What is dealt
+    is a number and a content; who holds them is joined by that number, so the rows of a
+    block that very many documents have stay spread over the tasks that found them.
     """
 
     def work(batches):
@@ -88,16 +94,13 @@ def _named_blocks(blocks: DataFrame) -> DataFrame:
                 if block != last:
                     last, name = block, name + 1
                 names[i] = name
-            first = batch.column("row")
-            repeat = np.diff(first.offsets.to_numpy())
-            columns = [batch.column(n).flatten() for n, _ in REFS]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(np.repeat(names, repeat))], [*(n for n, _ in REFS), "name"]
-            )
-
-    dealt = blocks.repartition("block").sortWithinPartitions("block")
-    schema = ", ".join(f"{n} {SPARK_KIND[n]}" for n, _ in REFS) + ", name long"
-    return materialise(arrow_pass(dealt, work, schema))
+            yield pa.RecordBatch.from_arrays([batch.column("held"), pa.array(names)], ["held", "name"])
+
+    dealt = blocks.select("held", "block").repartition("block").sortWithinPartitions("block")
+    names = materialise(arrow_pass(dealt, work, "held long, name long"))
+    refs = [n for n, _ in REFS]
+    rows = blocks.select("held", F.arrays_zip(*refs).alias("refs")).join(names, "held")
+    return materialise(rows.select(F.inline("refs"), "name"))
 
 
 def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 from llm_rows import no_docs, odd_docs, rows_of  # noqa: F401
 
+from panelcast.llm import exact_dedup
 from panelcast.llm.exact_dedup import exact_copies, without_copies
 
 COLUMNS = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -51,3 +52,15 @@ def test_rows_that_stay(odd_docs, spark):  # noqa: F811
     assert rows_of(without_copies(plain), "doc_id") == [(1,), (5,), (6,), (7,)]
     twice = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a ")], "doc_id long, text string")
     assert rows_of(without_copies(twice), "doc_id", "text") == [(1, "b"), (2, "a ")]
+
+
+def test_a_block_on_most_rows_stays_spread(spark):
+    """One text on most rows, over many tasks and windows: who has it is not gathered by content."""
+    rng = random.Random(3)
+    rows = [(i, "the same words again " * 3 if i % 3 else f"text {rng.random()}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    assert rows_of(exact_copies(df), *COLUMNS) == brute(rows)
+    held = exact_dedup._blocks(df, 4096)
+    hot = held.where("block = unhex(hex('thesamewordsagainthesamewordsagainthesamewordsagain'))")
+    assert hot.count() == 16 and hot.selectExpr("sum(size(row)) AS n").first()["n"] == 2000
+    assert held.select("held").distinct().count() == held.count()
