@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from panelcast.functions import ordering
+from panelcast.operators import encoding
 from panelcast.operators.encoding import NEW_ROWS, apply_target_encoding, target_encoding
 
 
@@ -43,3 +45,28 @@ def test_one_fold_alone_falls_back_to_all_rows(spark):
     nothing = target_encoding(train.where("false"), "part", "y", F.col("fold"))
     assert nothing.count() == 0
     assert {r["e"] for r in apply_target_encoding(train, nothing, "part", "e").collect()} == {None}
+
+
+def test_only_members_with_very_many_rows_are_sent_more_than_once(spark, monkeypatch):
+    """Without broadcasts: the same values, and one entry per member and fold but for the split ones."""
+    rows = [(i, "hot" if i % 2 else f"m{i % 40}", i % 3, float(i % 7)) for i in range(400)] + [(900 + i, None, 0, 1.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "id int, part string, fold int, y double")
+    table = target_encoding(df, "part", "y", F.col("fold"))
+    want = {r["id"]: r["e"] for r in apply_target_encoding(df, table, "part", "e", F.col("fold")).collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(encoding, "keys_to_split", lambda rows, key: ordering.keys_to_split(rows, key, least=100))
+    sent = []
+    explode = F.explode
+    monkeypatch.setattr(ordering.F, "explode", lambda c: sent.append(c) or explode(c))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = apply_target_encoding(df, table, "part", "e", F.col("fold"))
+        assert {r["id"]: r["e"] for r in joined.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    split = ordering.keys_to_split(df, "part", least=100)
+    assert [r["part"] for r in split.collect()] == ["hot"]
+    marked = table.where("part IS NOT NULL").join(split.withColumn("_split", F.lit(True)), "part", "left")
+    copies = marked.select("part", explode(sent[0]).alias("salt")).groupBy("part").agg(F.countDistinct("salt").alias("n"))
+    assert {r["part"]: r["n"] for r in copies.collect()} == {r["part"]: 8 if r["part"] == "hot" else 1 for r in copies.collect()}
+    assert copies.count() == 21
